@@ -10,7 +10,9 @@ Two documents agree in a coordinate with the probability of their weighted Jacca
 Bands of the signature put texts in buckets. A bucket's members meet one leader each (another
 random one in every band), which is linear in the bucket; links are verified exactly on the
 texts. What the leaders leave open, members of one bucket in different components, is then
-compared as well, so no link between texts that share a bucket is lost.
+compared as well, so no link between texts that share a bucket is lost: pair by pair in small
+buckets, and block against block (sparse matrix products over packed sets, of which only the
+links that join components come out) in large ones.
 """
 
 from __future__ import annotations
@@ -173,6 +175,86 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(a, "_a").join(b, "_b").select("_a", "_b", "_text_a", "_text_b").mapInArrow(_verify(threshold), "_a binary, _b binary, similarity double")
 
 
+def _pack_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [one_set(t) for t in batch.column("_text").to_pylist()]
+        grams = pa.array([g.astype("<u8").tobytes() for g, _ in sets], pa.binary())
+        weights = pa.array([w.astype("<i8").tobytes() for _, w in sets], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("_node"), grams, weights], ["_node", "_grams", "_weights"])
+
+
+def block_links(a: list[dict], b: list[dict], threshold: float, same: bool) -> list[tuple[bytes, bytes]]:
+    """Links between two blocks of packed sets that join components not joined yet.
+
+    Common weight is the number of shared (gram, unit) cells, a product of 0/1 matrices over
+    the cells that both blocks hold.
+    """
+
+    def cells(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        owner, key, total = [], [], []
+        for i, r in enumerate(rows):
+            g, w = np.frombuffer(r["_grams"], "<u8"), np.frombuffer(r["_weights"], "<i8")
+            unit = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
+            key.append(mix(np.repeat(g, w) + unit.astype(U64) * keys(1, 4321)[0]))
+            owner.append(np.full(len(unit), i))
+            total.append(len(unit))
+        return np.concatenate(owner), np.concatenate(key), np.array(total)
+
+    (oa, ka, ta), (ob, kb, tb) = cells(a), cells(b)
+    shared = np.intersect1d(ka, kb)
+    common = np.zeros((len(a), len(b)), np.float32)
+    for at in range(0, len(shared), 4096):
+        part = shared[at : at + 4096]
+        m, n = np.zeros((len(a), len(part)), np.float32), np.zeros((len(b), len(part)), np.float32)
+        for o, k, out in ((oa, ka, m), (ob, kb, n)):
+            j = np.minimum(np.searchsorted(part, k), len(part) - 1)
+            hit = part[j] == k
+            out[o[hit], j[hit]] = 1
+        common += m @ n.T
+    near = common.astype(np.float64) >= threshold * (ta[:, None] + tb[None, :] - common.astype(np.float64)) - 1e-9
+    parent: dict[bytes, bytes] = {}
+
+    def find(x: bytes) -> bytes:
+        while (y := parent.get(x, x)) != x:
+            x = y
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(near)):
+        if same and i >= j:
+            continue
+        x, y = find(a[i]["_root"]), find(b[j]["_root"])
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            out.append((a[i]["_node"], b[j]["_node"]))
+    return out
+
+
+def linked_in_blocks(members: DataFrame, sets: DataFrame, threshold: float, block_rows: int) -> DataFrame:
+    """_a, _b: links that join the components of members (_band, _key, _n, _node, _root) of one bucket.
+
+    A bucket is dealt into blocks of about `block_rows` by hash; a pair of blocks is one row, so a
+    large bucket spreads over many tasks and its pairs never leave a task.
+    """
+    blocks = F.ceil(F.col("_n") / F.lit(block_rows)).cast("int")
+    dealt = members.join(sets, "_node").withColumn("_blk", F.pmod(F.xxhash64("_node", F.lit("block")), blocks).cast("int"))
+    packed = materialize(dealt.groupBy("_band", "_key", "_blk").agg(F.collect_list(F.struct("_node", "_root", "_grams", "_weights")).alias("_rows")), "set-blocks")
+    ids = packed.select("_band", "_key", "_blk")
+    pairs = ids.withColumnRenamed("_blk", "_i").join(ids.withColumnRenamed("_blk", "_j"), ["_band", "_key"]).where("_i <= _j")
+    left = packed.select("_band", "_key", F.col("_blk").alias("_i"), F.col("_rows").alias("_ra"))
+    right = packed.select("_band", "_key", F.col("_blk").alias("_j"), F.col("_rows").alias("_rb"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                same = batch.column("_i")[i].as_py() == batch.column("_j")[i].as_py()
+                found = block_links(batch.column("_ra")[i].as_py(), batch.column("_rb")[i].as_py(), threshold, same)
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.binary())], ["_a", "_b"])
+
+    both = pairs.join(left, ["_band", "_key", "_i"]).join(right, ["_band", "_key", "_j"]).repartition("_band", "_key", "_i", "_j")
+    return both.select("_i", "_j", "_ra", "_rb").mapInArrow(run, "_a binary, _b binary")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """_node, _root of the connected components of (_a, _b).
 
@@ -197,7 +279,7 @@ def components(edges: DataFrame) -> DataFrame:
     return roots if roots is not None else links.select(F.col("_a").alias("_node"), F.col("_b").alias("_root"))
 
 
-def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, bands: int = 25, rows: int = 5) -> DataFrame:
+def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, bands: int = 25, rows: int = 5, small_bucket: int = 32, block_rows: int = 128) -> DataFrame:
     """doc_id, class_id, kept for every row: class_id is the smallest doc_id of the group, which stays.
 
     Groups are the connected components of texts with weighted Jaccard similarity of five-word
@@ -224,17 +306,19 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, bands: int =
     roots = components(links)
     # Members of one bucket that are still apart: compare them too, but for the pairs tried.
     at = member.join(roots, "_node", "left").withColumn("_root", F.coalesce("_root", "_node"))
-    apart = at.groupBy("_band", "_key").agg(F.min("_root").alias("_lo"), F.max("_root").alias("_hi"), F.count("*").alias("_n")).where("_lo <> _hi and _n > 2").select("_band", "_key")
+    apart = at.groupBy("_band", "_key").agg(F.min("_root").alias("_lo"), F.max("_root").alias("_hi"), F.count("*").alias("_n")).where("_lo <> _hi and _n > 2").select("_band", "_key", "_n")
     left = materialize(at.join(apart, ["_band", "_key"]), "apart")
-    other = left.select("_band", "_key", F.col("_node").alias("_b"), F.col("_root").alias("_rb"))
-    rest = left.withColumnRenamed("_node", "_a").join(other, ["_band", "_key"]).where("_a < _b and _root <> _rb").select("_a", "_b").distinct().join(pairs, ["_a", "_b"], "left_anti")
-    rest = materialize(rest, "pairs-apart")
-    if not rest.isEmpty():
-        more = rest.select(F.explode(F.array("_a", "_b")).alias("_node")).distinct().join(first, "_node")
-        more_texts = nodes.join(more, ["_node", "_d"]).select("_node", "_text").dropDuplicates(["_node"])
-        found = materialize(verified(rest, materialize(more_texts, "texts-apart"), threshold), "verified-apart")
+    if not left.isEmpty():
+        open_nodes = left.select("_node").distinct().join(first, "_node")
+        open_texts = materialize(nodes.join(open_nodes, ["_node", "_d"]).select("_node", "_text").dropDuplicates(["_node"]), "texts-apart")
+        small = left.where(F.col("_n") <= small_bucket)
+        other = small.select("_band", "_key", F.col("_node").alias("_b"), F.col("_root").alias("_rb"))
+        rest = small.withColumnRenamed("_node", "_a").join(other, ["_band", "_key"]).where("_a < _b and _root <> _rb").select("_a", "_b").distinct().join(pairs, ["_a", "_b"], "left_anti")
+        found = verified(rest, open_texts, threshold).select("_a", "_b")
+        sets = open_texts.mapInArrow(_pack_sets, "_node binary, _grams binary, _weights binary")
+        found = materialize(found.unionByName(linked_in_blocks(left.where(F.col("_n") > small_bucket), sets, threshold, block_rows)), "links-apart")
         if not found.isEmpty():
-            roots = components(links.unionByName(found))
+            roots = components(links.select("_a", "_b").unionByName(found))
     classed = named.join(roots, "_node", "left").withColumn("_root", F.coalesce("_root", "_node"))
     ids = classed.groupBy("_root").agg(F.min("_d").alias("_class"))
     none = F.lit(-(2**63)).cast("long")
