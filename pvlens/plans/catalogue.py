@@ -41,7 +41,11 @@ def r6(c):
     return F.round(c, 6)
 
 
-BY_USER = ordered(["user_id"], ["ts", "event_id"])
+def by_user():
+    """Columns and windows need a session, so they are made when a query runs."""
+    return ordered(["user_id"], ["ts", "event_id"])
+
+
 NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
@@ -100,16 +104,15 @@ def missing_and_distinct(spark, d):
     return rows.groupBy("column_name").agg(F.count_if(null).alias("missing"), (F.count_distinct("value") + F.max(null.cast("long"))).alias("n_unique"))
 
 
-RULES = {"quantity_over_45": F.col("l_quantity") > 45, "discount_over_5": F.col("l_discount") > 0.05, "tax_zero": F.col("l_tax") <= 0, "price_over_50k": F.col("l_extendedprice") > 50000}
 RULES_SQL = {"quantity_over_45": ("l_quantity > 45", "l_quantity"), "discount_over_5": ("l_discount > 0.05", "l_discount"), "tax_zero": ("l_tax <= 0", "l_tax"), "price_over_50k": ("l_extendedprice > 50000", "l_extendedprice")}
 
 
 @query(" UNION ALL ".join(f"SELECT '{k}' AS rule, count(*) AS n, round(min({c}), 6) AS lo, round(max({c}), 6) AS hi FROM lineitem WHERE {s}" for k, (s, c) in RULES_SQL.items()))
 def range_flags(spark, d):
     """Rows outside physical ranges are counted, never dropped; one scan for all rules."""
-    li = table(spark, d, "lineitem")
-    stats = [F.struct(F.lit(k).alias("rule"), F.count_if(RULES[k]).alias("n"), r6(F.min(F.when(RULES[k], F.col(c)))).alias("lo"), r6(F.max(F.when(RULES[k], F.col(c)))).alias("hi")) for k, (_, c) in RULES_SQL.items()]
-    return li.agg(F.array(*stats).alias("a")).select(F.inline("a"))
+    rules = {"quantity_over_45": F.col("l_quantity") > 45, "discount_over_5": F.col("l_discount") > 0.05, "tax_zero": F.col("l_tax") <= 0, "price_over_50k": F.col("l_extendedprice") > 50000}
+    stats = [F.struct(F.lit(k).alias("rule"), F.count_if(rules[k]).alias("n"), r6(F.min(F.when(rules[k], F.col(c)))).alias("lo"), r6(F.max(F.when(rules[k], F.col(c)))).alias("hi")) for k, (_, c) in RULES_SQL.items()]
+    return table(spark, d, "lineitem").agg(F.array(*stats).alias("a")).select(F.inline("a"))
 
 
 @query(f"SELECT column_name, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, round(min(value), 6) AS lo, round(quantile_cont(value, 0.5), 6) AS median, round(max(value), 6) AS hi FROM ({UNPIVOT}) GROUP BY column_name")
@@ -197,7 +200,7 @@ LAG = "lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id)"
 
 @query(f"SELECT event_id, CASE WHEN abs(p) >= 10 THEN round((value - p) / p, 6) END AS change FROM (SELECT event_id, value, {LAG} AS p FROM events)")
 def relative_change_safe(spark, d):
-    return events(spark, d).select("event_id", r6(safe_relative_change(F.col("value"), F.lag("value").over(BY_USER), 10)).alias("change"))
+    return events(spark, d).select("event_id", r6(safe_relative_change(F.col("value"), F.lag("value").over(by_user()), 10)).alias("change"))
 
 
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN abs(l_discount) >= 0.02 THEN round(l_tax / l_discount, 6) END AS ratio FROM lineitem")
@@ -221,7 +224,7 @@ def label_line_parse(spark, d):
 for _n in (5, 15, 30):
 
     def _rolling(spark, d, n=_n):
-        f = lambda agg: full(agg("value"), F.col("value"), n, BY_USER)
+        f = lambda agg: full(agg("value"), F.col("value"), n, by_user())
         return events(spark, d).select("event_id", r6(f(F.avg)).alias("mean"), F.round(f(F.stddev_pop), 5).alias("std"), r6(f(F.min)).alias("lo"), r6(f(F.max)).alias("hi"))
 
     _w = f"(PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN {_n - 1} PRECEDING AND CURRENT ROW)"
@@ -230,13 +233,13 @@ for _n in (5, 15, 30):
 
 @query(f"SELECT event_id, round(value - {LAG}, 6) AS diff, round((value - {LAG}) / 2.0, 6) AS rate FROM events")
 def diff_rate(spark, d):
-    diff = F.col("value") - F.lag("value").over(BY_USER)
+    diff = F.col("value") - F.lag("value").over(by_user())
     return events(spark, d).select("event_id", r6(diff).alias("diff"), r6(diff / 2).alias("rate"))
 
 
 @query("SELECT event_id, CASE WHEN n = 15 THEN round(value - m, 6) END AS deviation FROM (SELECT event_id, value, count(value) OVER w AS n, avg(value) OVER w AS m FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 14 PRECEDING AND CURRENT ROW))")
 def deviation_from_rolling(spark, d):
-    return events(spark, d).select("event_id", r6(F.col("value") - full(F.avg("value"), F.col("value"), 15, BY_USER)).alias("deviation"))
+    return events(spark, d).select("event_id", r6(F.col("value") - full(F.avg("value"), F.col("value"), 15, by_user())).alias("deviation"))
 
 
 @query("""WITH s AS (SELECT *, value > 50 AS state, lag(value > 50) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events),
@@ -244,7 +247,7 @@ r AS (SELECT *, sum(CASE WHEN prev IS NULL OR prev <> state THEN 1 ELSE 0 END) O
 SELECT user_id, CAST(run AS BIGINT) AS run, state, count(*) AS n, min(event_id) AS first_id, max(event_id) AS last_id FROM r GROUP BY user_id, run, state""")
 def run_length_periods(spark, d):
     e = events(spark, d).withColumn("state", F.col("value") > 50)
-    return islands(e, changed(F.col("state"), BY_USER), BY_USER, "run").groupBy("user_id", "run", "state").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))
+    return islands(e, changed(F.col("state"), by_user()), by_user(), "run").groupBy("user_id", "run", "state").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))
 
 
 @query("WITH f AS (SELECT event_id, event_id - row_number() OVER (ORDER BY event_id) AS g FROM events WHERE value > 100) SELECT min(event_id) AS first_id, max(event_id) AS last_id, count(*) AS n FROM f GROUP BY g HAVING count(*) > 1")
@@ -257,7 +260,7 @@ def consecutive_positions(spark, d):
 
 
 def _scored(spark, d):
-    m, s = full(F.avg("value"), F.col("value"), 5, BY_USER), full(F.stddev_pop("value"), F.col("value"), 5, BY_USER)
+    m, s = full(F.avg("value"), F.col("value"), 5, by_user()), full(F.stddev_pop("value"), F.col("value"), 5, by_user())
     z = F.round(safe_ratio(F.col("value") - m, s, 1e-9), 6)
     return events(spark, d).withColumn("anomaly_score", z).withColumn("status", status(F.col("anomaly_score"), 0.5))
 
@@ -283,7 +286,7 @@ query(_islands_sql(36000, "<="), "alert_islands_gap")(lambda spark, d: _alerts(s
 @query("SELECT event_id, lag(event_id) OVER w AS previous_id, lead(event_id) OVER w AS next_id, round(lag(value) OVER w, 6) AS previous_value, round(lead(value) OVER w, 6) AS next_value FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
 def neighbour_rows(spark, d):
     row = F.struct("event_id", "value")
-    return events(spark, d).select("event_id", F.lag(row).over(BY_USER).alias("p"), F.lead(row).over(BY_USER).alias("n")).select("event_id", F.col("p.event_id").alias("previous_id"), F.col("n.event_id").alias("next_id"), r6("p.value").alias("previous_value"), r6("n.value").alias("next_value"))
+    return events(spark, d).select("event_id", F.lag(row).over(by_user()).alias("p"), F.lead(row).over(by_user()).alias("n")).select("event_id", F.col("p.event_id").alias("previous_id"), F.col("n.event_id").alias("next_id"), r6("p.value").alias("previous_value"), r6("n.value").alias("next_value"))
 
 
 @query("SELECT event_type, max(n) AS max_count FROM (SELECT event_type, count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN CURRENT ROW AND INTERVAL 60 MINUTE FOLLOWING) AS n FROM events) GROUP BY event_type")
@@ -309,7 +312,7 @@ def rank_min_desc(spark, d):
 
 @query(f"WITH c AS (SELECT event_id, value - {LAG} AS diff FROM events) SELECT event_id, round(diff, 6) AS diff FROM c WHERE diff IS NOT NULL ORDER BY abs(diff) DESC, event_id LIMIT 10")
 def topk_abs_change(spark, d):
-    diff = F.col("value") - F.lag("value").over(BY_USER)
+    diff = F.col("value") - F.lag("value").over(by_user())
     return events(spark, d).select("event_id", diff.alias("diff")).where("diff is not null").orderBy(F.desc(F.abs("diff")), "event_id").limit(10).select("event_id", r6("diff").alias("diff"))
 
 
@@ -321,12 +324,12 @@ def topk_per_group(spark, d):
 
 @query("SELECT event_id, max(CASE WHEN value > 400 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 14 PRECEDING AND CURRENT ROW) AS affected FROM events")
 def dependency_spread(spark, d):
-    return events(spark, d).select("event_id", F.max((F.col("value") > 400).cast("int")).over(BY_USER.rowsBetween(-14, 0)).alias("affected"))
+    return events(spark, d).select("event_id", F.max((F.col("value") > 400).cast("int")).over(by_user().rowsBetween(-14, 0)).alias("affected"))
 
 
 @query("SELECT event_id, CASE WHEN ok = 5 AND n = 5 AND bad = 0 THEN true ELSE false END AS eligible FROM (SELECT event_id, sum(CASE WHEN value > 20 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS ok, count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS n, max(CASE WHEN value > 480 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING) AS bad FROM events)")
 def eligible_starts(spark, d):
-    near, guard = BY_USER.rowsBetween(0, 4), BY_USER.rowsBetween(0, 34)
+    near, guard = by_user().rowsBetween(0, 4), by_user().rowsBetween(0, 34)
     ok = (F.min((F.col("value") > 20).cast("int")).over(near) == 1) & (F.count("*").over(near) == 5) & (F.max((F.col("value") > 480).cast("int")).over(guard) == 0)
     return events(spark, d).select("event_id", ok.alias("eligible"))
 
@@ -458,7 +461,7 @@ def effect_context(spark, d):
     for _, a, b in WINDOWS:
         direct = F.greatest(direct, F.col("event_id").between(a, b).cast("int"))
     e = events(spark, d).withColumn("direct", direct)
-    spread = F.max("direct").over(BY_USER.rowsBetween(-29, 0))
+    spread = F.max("direct").over(by_user().rowsBetween(-29, 0))
     return e.select("event_id", category(F.col("direct"), [(F.col("direct") == 1, "direct"), (spread == 1, "propagated")], "none").alias("context"))
 
 
@@ -517,7 +520,7 @@ def condition_summary(spark, d):
 @query("SELECT event_id, event_id % 3 = 0 AS analysed, round(event_id / 5.0, 6) AS video_time, CASE WHEN event_id % 3 = 0 THEN count(CASE WHEN event_id % 3 = 0 THEN 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) END AS running FROM events")
 def frame_stride_log(spark, d):
     hit = F.col("event_id") % 3 == 0
-    return events(spark, d).select("event_id", hit.alias("analysed"), r6(F.col("event_id") / 5.0).alias("video_time"), F.when(hit, F.count(F.when(hit, 1)).over(BY_USER)).alias("running"))
+    return events(spark, d).select("event_id", hit.alias("analysed"), r6(F.col("event_id") / 5.0).alias("video_time"), F.when(hit, F.count(F.when(hit, 1)).over(by_user())).alias("running"))
 
 
 @query("SELECT event_id, round(value - 400, 6) AS threshold_margin, CASE WHEN value > 400 THEN 'ALERT' ELSE 'NORMAL' END AS status FROM events")
