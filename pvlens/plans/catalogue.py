@@ -261,22 +261,22 @@ def consecutive_positions(spark, d):
 
 def _scored(spark, d):
     m, s = full(F.avg("value"), F.col("value"), 5, by_user()), full(F.stddev_pop("value"), F.col("value"), 5, by_user())
-    z = F.round(safe_ratio(F.col("value") - m, s, 1e-9), 6)
+    z = safe_ratio(F.col("value") - m, s, 1e-9)
     return events(spark, d).withColumn("anomaly_score", z).withColumn("status", status(F.col("anomaly_score"), 0.5))
 
 
-SCORED = """SELECT *, CASE WHEN z > 0.5 THEN 'ALERT' ELSE 'NORMAL' END AS status FROM (SELECT *, CASE WHEN n = 5 AND s >= 1e-9 THEN round((value - m) / s, 6) END AS z FROM (SELECT *, count(value) OVER w AS n, avg(value) OVER w AS m, stddev_pop(value) OVER w AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)))"""
+SCORED = """SELECT *, CASE WHEN z > 0.5 THEN 'ALERT' ELSE 'NORMAL' END AS status FROM (SELECT *, CASE WHEN n = 5 AND s >= 1e-9 THEN (value - m) / s END AS z FROM (SELECT *, count(value) OVER w AS n, avg(value) OVER w AS m, stddev_pop(value) OVER w AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)))"""
 
 
 def _islands_sql(seconds: int, test: str) -> str:
     return f"""WITH a AS (SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM ({SCORED}) WHERE status = 'ALERT'),
 r AS (SELECT *, sum(CASE WHEN gap {test} {seconds * 1000000} THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts) AS run FROM a)
-SELECT 'alert-' || lpad(CAST(run AS VARCHAR), 3, '0') AS event_id, user_id, epoch_us(min(ts)) AS start_us, count(*) AS row_count, CAST(floor(((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 + {seconds}) / 60) AS BIGINT) AS duration_minutes, max(z) AS max_score, round(avg(z), 4) AS mean_score FROM r GROUP BY user_id, run"""
+SELECT 'alert-' || lpad(CAST(run AS VARCHAR), 3, '0') AS event_id, user_id, epoch_us(min(ts)) AS start_us, count(*) AS row_count, CAST(floor(((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 + {seconds}) / 60) AS BIGINT) AS duration_minutes, round(max(z), 6) AS max_score, round(avg(z), 6) AS mean_score FROM r GROUP BY user_id, run"""
 
 
 def _alerts(spark, d, seconds, exact):
     g = group_alert_events(_scored(spark, d), "ts", by=("user_id",), gap_seconds=seconds, exact=exact)
-    return g.select("event_id", "user_id", F.unix_micros(F.col("start_timestamp").cast("timestamp")).alias("start_us"), "row_count", "duration_minutes", F.col("maximum_anomaly_score").alias("max_score"), F.round("mean_anomaly_score", 4).alias("mean_score"))
+    return g.select("event_id", "user_id", F.unix_micros(F.col("start_timestamp").cast("timestamp")).alias("start_us"), "row_count", "duration_minutes", r6("maximum_anomaly_score").alias("max_score"), r6("mean_anomaly_score").alias("mean_score"))
 
 
 query(_islands_sql(120, "="), "alert_islands_exact")(lambda spark, d: _alerts(spark, d, 120, True))
