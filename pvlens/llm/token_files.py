@@ -14,6 +14,7 @@ A document is reached by its index entry alone, without reading its neighbours.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import struct
 import zlib
@@ -52,10 +53,15 @@ class Encoder:
     def __init__(self, path: str, limit: int = 600_000):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a worker a core
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.code = "H" if self.width == 2 else "I"
         self.limit = limit
+        vocab = self.tokenizer.get_vocab()
+        #: Ids whose token begins with a blank, which the byte alphabet writes as U+0120.
+        self.starts = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        self.starts[[i for token, i in vocab.items() if token.startswith("\u0120")]] = True
         self.inner: dict[str, bytes | None] = {}
         self.older: dict[str, bytes | None] = {}
 
@@ -71,8 +77,17 @@ class Encoder:
                 self.inner[x] = None
             else:
                 fresh.append(x)
-        for x, e in zip(fresh, self.tokenizer.encode_batch_fast([" " + x for x in fresh], add_special_tokens=False)):
-            self.inner[x] = self.pack(e.ids)
+        groups = [fresh[a : a + 64] for a in range(0, len(fresh), 64)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" " + " ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, self.code)
+            cuts = np.flatnonzero(self.starts[ids]) * self.width
+            if len(cuts) == len(group):  # each piece begins with its blank and holds no other
+                packed, cuts = ids.tobytes(), cuts.tolist()
+                for x, a, b in zip(group, cuts, [*cuts[1:], len(packed)]):
+                    self.inner[x] = packed[a:b]
+            else:
+                for x, own in zip(group, self._whole([" " + x for x in group])):
+                    self.inner[x] = own
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [self.pack(e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
