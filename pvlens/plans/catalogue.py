@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import category, corr, cyclic, row_stats, safe_ratio, safe_relative_change, status
 from ..functions.windows import average_rank, changed, full, islands, ordered, seconds_between
+from ..operators.calibration import candidate_thresholds, rank_stability
 from ..operators.events import confusion, group_alert_events
 
 FOUND: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -419,6 +420,26 @@ def threshold_select(spark, d):
     return events(spark, d).agg(F.array(*cells).alias("x")).select(F.inline("x")).orderBy(F.abs(F.col("pct") - 2.5), "threshold").limit(1).select("threshold", "n", r6("pct").alias("pct"))
 
 
+RULES = [("p95", "percentile", 95.0), ("p97_5", "percentile", 97.5), ("p99", "percentile", 99.0), ("mad_1_5", "mad", 1.5), ("mad_2", "mad", 2.0), ("mad_2_5", "mad", 2.5)]
+
+
+@query(
+    "WITH m AS (SELECT quantile_cont(value, 0.5) AS med FROM events), d AS (SELECT med, quantile_cont(abs(value - med), 0.5) AS mad FROM events, m GROUP BY med) "
+    + " UNION ALL ".join(f"SELECT '{n}' AS rule, round({f'quantile_cont(value, {v / 100})' if k == 'percentile' else f'max(med + {v} * mad)'}, 6) AS threshold FROM events, d" for n, k, v in RULES)
+)
+def threshold_rules(spark, d):
+    return candidate_thresholds(events(spark, d), RULES, "value").select("rule", r6("threshold").alias("threshold"))
+
+
+@query("""WITH s AS (SELECT event_type AS run, user_id AS k, count(*) AS score FROM events WHERE user_id IS NOT NULL GROUP BY 1, 2),
+r AS (SELECT run, k, rank() OVER (PARTITION BY run ORDER BY score) + (count(*) OVER (PARTITION BY run, score) - 1) / 2.0 AS mean_rank, row_number() OVER (PARTITION BY run ORDER BY score DESC, k) AS place FROM s)
+SELECT a.run AS run_a, b.run AS run_b, round(corr(a.mean_rank, b.mean_rank), 6) AS spearman, count(CASE WHEN a.place <= 10 AND b.place <= 10 THEN 1 END) AS top_10, count(CASE WHEN a.place <= 20 AND b.place <= 20 THEN 1 END) AS top_20
+FROM r a JOIN r b ON a.k = b.k AND a.run < b.run GROUP BY 1, 2""")
+def rank_stability_pairs(spark, d):
+    s = events(spark, d).where("user_id is not null").groupBy(F.col("event_type").alias("run"), F.col("user_id").alias("k")).agg(F.count("*").alias("score"))
+    return rank_stability(s, "k", "run", "score").select(F.col("left").alias("run_a"), F.col("right").alias("run_b"), r6("spearman").alias("spearman"), F.col("top_10_overlap").alias("top_10"), F.col("top_20_overlap").alias("top_20"))
+
+
 # --- evaluation, joins, sets --------------------------------------------------------------------
 
 
