@@ -4,9 +4,9 @@ Vectors are packed into blocks of neighbours (same nearest pivot, similar distan
 Each vector keeps its distances to all pivots. For a query q and a candidate x, the largest
 |d(q, p) - d(x, p)| over the pivots p bounds their distance from below, and so
 q.x = (|q|^2 + |x|^2 - d^2) / 2 from above. A query's own block gives a first k-th score;
-pairs of blocks whose bound stays below it are dropped from their summaries alone; in the
-pairs that remain, candidates are evaluated in the order of their bounds until the next bound
-is below the k-th score found. A bound equal to it is still evaluated, so ties are exact.
+pairs of blocks whose bound stays below it are dropped from their summaries alone; the
+pairs that remain are dealt into cells of a grid, where candidates are evaluated in the order of
+their bounds until the next bound is below the k-th score found. A bound equal to it is still evaluated, so ties are exact.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from .common import materialize
 
 #: Room left for rounding in the distances, relative to the squared norms.
 SLACK = 1e-6
+#: A place in a list of the best that is still free.
+NONE = -(2**63 - 1)
 
 
 def quantized(vectors: DataFrame, scale: float = 64.0) -> DataFrame:
@@ -46,11 +48,12 @@ def matrix(column: pa.Array, dim: int | None = None) -> np.ndarray:
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact integer inner products."""
+    """Exact integer inner products, those beyond a long at its ends."""
     top = np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * a.shape[1]
     if top < 2**53:
         return (a @ b.T).astype(np.int64)
-    return np.array((a.astype(object) @ b.T.astype(object)).tolist(), dtype=object)
+    exact = np.vectorize(int, otypes=[object])
+    return np.clip(exact(a) @ exact(b).T, NONE + 1, -NONE).astype(np.int64)
 
 
 def choose_pivots(vectors: DataFrame, n: int, sample: int, dim: int) -> np.ndarray:
@@ -83,48 +86,56 @@ def upper_bounds(q_sq: np.ndarray, q_far: np.ndarray, x_sq: np.ndarray, x_far: n
     return (both * (1 + SLACK) - (low * (1 - SLACK)).astype(np.float64) ** 2) / 2 + 1
 
 
-def best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    order = np.lexsort((ids, -scores))[:k]
-    return scores[order], ids[order]
+def search(q_ids, q, q_far, x_ids, x, x_far, top: np.ndarray, top_ids: np.ndarray, kth: np.ndarray, chunk: int = 256) -> None:
+    """Put the candidates that belong to the best of each query into top and top_ids, in place.
 
-
-def search(q_ids, q, q_far, x_ids, x, x_far, k: int, floor: list, chunk: int = 128) -> list[tuple[int, int, int]]:
-    """(query, candidate, score) of up to k candidates a query that can still be among its best.
-
-    floor[i] is a score that the k-th best of query i is known to reach, or None.
+    kth[i] is a score that the k-th best of query i is known to reach; it rises with what is found.
     """
-    q_sq, x_sq = (q**2).sum(1), (x**2).sum(1)
-    bounds = upper_bounds(q_sq, q_far.astype(np.float32), x_sq, x_far.astype(np.float32))
+    k = top.shape[1]
+    bounds = upper_bounds((q**2).sum(1), q_far, (x**2).sum(1), x_far)
     order = np.argsort(-bounds.max(axis=0), kind="stable")
-    kth = [-np.inf if f is None else f for f in floor]
-    found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64)) for _ in q_ids]
+    bounds = bounds[:, order]
+    rest = np.maximum.accumulate(bounds[:, ::-1], axis=1)[:, ::-1]
     for a in range(0, len(order), chunk):
-        part = order[a : a + chunk]
-        live = [i for i in range(len(q_ids)) if bounds[i, order[a:]].max() >= kth[i]] if a % (chunk * 4) == 0 or a == 0 else live
-        if not live:
+        live = np.flatnonzero(rest[:, a] >= kth)
+        if not len(live):
             break
-        scores = products(q[live], x[part])
-        for row, i in enumerate(live):
-            keep = (bounds[i, part] >= kth[i]) & (x_ids[part] != q_ids[i]) & (scores[row] >= kth[i])
-            if keep.any():
-                s, c = found[i]
-                found[i] = best(np.concatenate([s, scores[row][keep]]), np.concatenate([c, x_ids[part][keep]]), k)
-                if len(found[i][0]) == k:
-                    kth[i] = max(kth[i], found[i][0][-1])
-    return [(int(q_ids[i]), int(c), int(s)) for i, (ss, cc) in enumerate(found) for s, c in zip(ss, cc)]
+        part = order[a : a + chunk]
+        scores, ids, least = products(q[live], x[part]), x_ids[part], kth[live, None]
+        r, c = np.nonzero((bounds[live, a : a + chunk] >= least) & (scores >= least) & (ids[None, :] != q_ids[live, None]))
+        if not len(r):
+            continue
+        at = np.unique(r)
+        better = live[at]
+        row, score, cand = np.concatenate([np.repeat(at, k), r]), np.concatenate([top[better].ravel(), scores[r, c]]), np.concatenate([top_ids[better].ravel(), ids[c]])
+        by = np.lexsort((cand, -score, row))
+        first = np.searchsorted(row[by], at)[:, None] + np.arange(k)
+        top[better], top_ids[better] = score[by][first], cand[by][first]
+        kth[better] = np.maximum(kth[better], top[better, -1].astype(np.float64))
+
 
+def raw(x: np.ndarray) -> bytes:
+    """Components as 32-bit floats where these hold them exactly, else as 64-bit ones."""
+    return x.astype("<f4" if np.abs(x).max(initial=0) <= 2**24 else "<f8").tobytes()
 
-PACKED = "block long, n int, dim int, ids binary, data binary, far binary, lo array<double>, hi array<double>, sq_hi double, nq int, q_at binary, q_floor binary, q_lo array<double>, q_hi array<double>, q_sq_hi double, q_min double"
 
+def components_of(data: pa.Scalar, n: int, width: int) -> np.ndarray:
+    buffer = data.as_buffer()
+    return np.frombuffer(buffer, "<f4" if buffer.size == 4 * n * width else "<f8").reshape(n, width).astype(np.float64)
 
-def exact_topk(vectors: DataFrame, k: int = 20, query_every: int = 20, n_pivots: int = 16, pivot_sample: int = 2048, block_rows: int = 1024) -> DataFrame:
+
+PACKED = "block long, n int, ids binary, data binary, far binary, lo array<double>, hi array<double>, sq_hi double, nq int, qi binary, qd binary, qf binary, q_floor binary, q_lo array<double>, q_hi array<double>, q_sq_hi double, q_min double"
+
+
+def exact_topk(vectors: DataFrame, k: int = 20, query_every: int = 20, n_pivots: int = 16, pivot_sample: int = 2048, block_rows: int = 1024, q_blocks: int = 64, x_blocks: int = 4) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest inner products of each query with other rows.
 
     Queries are the rows whose vec_id is divisible by `query_every`; a query meets every row
     but those with its own id. Vectors that are null or hold null or non-finite components, and
     rows without an id, take no part; vectors of different lengths meet as if ended by zeros.
     Equal scores go to the smaller vec_id; repeated rows count each. Fewer than k candidates
-    give all of them; an empty table gives no rows. Other columns are ignored.
+    give all of them; an empty table gives no rows. Scores beyond a long stay at its ends. Other
+    columns are ignored.
     """
     base = quantized(vectors)
     dim = base.select(F.max(F.size("v"))).first()[0] or 0
@@ -152,15 +163,15 @@ def exact_topk(vectors: DataFrame, k: int = 20, query_every: int = 20, n_pivots:
                     scores[ids[qs][:, None] == ids[None, :]] = -np.inf
                     floors = np.sort(scores, axis=1)[:, -k]
                 own = {
-                    "block": [0], "n": [len(ids)], "dim": [width], "ids": [ids.astype("<i8").tobytes()], "data": [x.astype("<f8").tobytes()], "far": [far.astype("<f4").tobytes()],
-                    "lo": [far.min(0)], "hi": [far.max(0)], "sq_hi": [sq.max()], "nq": [len(qs)], "q_at": [qs.astype("<i4").tobytes()], "q_floor": [floors.astype("<f8").tobytes()],
+                    "block": [0], "n": [len(ids)], "ids": [ids.astype("<i8").tobytes()], "data": [raw(x)], "far": [far.astype("<f4").tobytes()],
+                    "lo": [far.min(0)], "hi": [far.max(0)], "sq_hi": [sq.max()], "nq": [len(qs)], "qi": [ids[qs].astype("<i8").tobytes()], "qd": [raw(x[qs])], "qf": [far[qs].astype("<f4").tobytes()], "q_floor": [floors.astype("<f8").tobytes()],
                     "q_lo": [far[qs].min(0) if len(qs) else None], "q_hi": [far[qs].max(0) if len(qs) else None], "q_sq_hi": [sq[qs].max() if len(qs) else None], "q_min": [floors.min() if len(qs) else None],
                 }
                 yield pa.RecordBatch.from_pydict(own, schema=arrow_schema)
 
     arrow_schema = pa.schema([
-        ("block", pa.int64()), ("n", pa.int32()), ("dim", pa.int32()), ("ids", pa.binary()), ("data", pa.binary()), ("far", pa.binary()), ("lo", pa.list_(pa.float64())), ("hi", pa.list_(pa.float64())), ("sq_hi", pa.float64()),
-        ("nq", pa.int32()), ("q_at", pa.binary()), ("q_floor", pa.binary()), ("q_lo", pa.list_(pa.float64())), ("q_hi", pa.list_(pa.float64())), ("q_sq_hi", pa.float64()), ("q_min", pa.float64()),
+        ("block", pa.int64()), ("n", pa.int32()), ("ids", pa.binary()), ("data", pa.binary()), ("far", pa.binary()), ("lo", pa.list_(pa.float64())), ("hi", pa.list_(pa.float64())), ("sq_hi", pa.float64()),
+        ("nq", pa.int32()), ("qi", pa.binary()), ("qd", pa.binary()), ("qf", pa.binary()), ("q_floor", pa.binary()), ("q_lo", pa.list_(pa.float64())), ("q_hi", pa.list_(pa.float64())), ("q_sq_hi", pa.float64()), ("q_min", pa.float64()),
     ])
     placed = base.mapInArrow(place, "cell int, near double, vec_id long, v array<double>")
     ordered = placed.repartitionByRange("cell", "near", "vec_id").sortWithinPartitions("cell", "near", "vec_id")
@@ -171,21 +182,36 @@ def exact_topk(vectors: DataFrame, k: int = 20, query_every: int = 20, n_pivots:
     right = blocks.select(F.col("block").alias("xb"), "lo", "hi", "sq_hi")
     gap = "array_max(transform(sequence(0, size(lo) - 1), i -> greatest(0D, q_lo[i] - hi[i], lo[i] - q_hi[i])))"
     pairs = left.join(right, F.expr(f"((q_sq_hi + sq_hi) * {1 + SLACK} - pow({gap} * {1 - SLACK}, 2)) / 2 + 1 >= q_min")).select("qb", "xb")
-    q_side = blocks.select(F.col("block").alias("qb"), F.col("ids").alias("qi"), F.col("data").alias("qd"), F.col("far").alias("qf"), "q_at", "q_floor")
-    x_side = blocks.select(F.col("block").alias("xb"), "ids", "data", "far")
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n_far = len(pivots)
-        unpack = lambda b, kind, cols=None: (m := np.frombuffer(b.as_buffer(), kind)).reshape(-1, cols) if cols else np.frombuffer(b.as_buffer(), kind)  # noqa: E731,F841
-        for batch in batches:
-            for i in range(len(batch)):
-                at = unpack(batch.column("q_at")[i], "<i4")
-                q_ids, q, q_far = (unpack(batch.column(c)[i], kind, cols)[at] for c, kind, cols in (("qi", "<i8", None), ("qd", "<f8", width), ("qf", "<f4", n_far)))
-                floor = list(unpack(batch.column("q_floor")[i], "<f8"))
-                x_ids, x, x_far = unpack(batch.column("ids")[i], "<i8"), unpack(batch.column("data")[i], "<f8", width), unpack(batch.column("far")[i], "<f4", n_far)
-                found = search(q_ids, q, q_far, x_ids, x, x_far, k, floor)
-                yield pa.RecordBatch.from_arrays([pa.array([f[j] for f in found], pa.int64()) for j in range(3)], ["query_id", "vec_id", "score"])
-
-    met = pairs.join(q_side, "qb").join(x_side, "xb").select("qi", "qd", "qf", "q_at", "q_floor", "ids", "data", "far").mapInArrow(meet, "query_id long, vec_id long, score long")
+    # Blocks are dealt into a grid of cells: a cell holds about q_blocks blocks of queries and x_blocks
+    # blocks of candidates, so a block moves once a cell and a query keeps its best through a cell.
+    n_blocks = blocks.count()
+    group = lambda c, size: F.pmod(F.xxhash64(c), F.lit(-(-n_blocks // size))).cast("int")
+    cells = pairs.select(group("qb", q_blocks).alias("qg"), group("xb", x_blocks).alias("xg")).distinct()
+    cells = materialize(cells, "cells")
+    n_cells = max(1, min(cells.count(), 20_000))
+    q_side = blocks.where("nq > 0").select(group("block", q_blocks).alias("qg"), "nq", "qi", "qd", "qf", "q_floor").join(cells, "qg").repartition(n_cells, "qg", "xg")
+    x_side = blocks.select(group("block", x_blocks).alias("xg"), "n", "ids", "data", "far").join(cells, "xg").repartition(n_cells, "qg", "xg")
+    n_far = len(pivots)
+
+    def meet(queries: pa.Table, candidates: pa.Table) -> pa.Table:
+        held = []
+        for r in candidates.to_batches():
+            for i in range(len(r)):
+                n = r.column("n")[i].as_py()
+                held.append((np.frombuffer(r.column("ids")[i].as_buffer(), "<i8"), components_of(r.column("data")[i], n, width), np.frombuffer(r.column("far")[i].as_buffer(), "<f4").reshape(n, n_far)))
+        out = []
+        for r in queries.to_batches():
+            for i in range(len(r)):
+                n = r.column("nq")[i].as_py()
+                q_ids, q, q_far = np.frombuffer(r.column("qi")[i].as_buffer(), "<i8"), components_of(r.column("qd")[i], n, width), np.frombuffer(r.column("qf")[i].as_buffer(), "<f4").reshape(n, n_far)
+                kth = np.frombuffer(r.column("q_floor")[i].as_buffer(), "<f8").copy()
+                top, top_ids = np.full((n, k), NONE), np.zeros((n, k), np.int64)
+                for x_ids, x, x_far in held:
+                    search(q_ids, q, q_far, x_ids, x, x_far, top, top_ids, kth)
+                row, place = np.nonzero(top != NONE)
+                out.append((q_ids[row], top_ids[row, place], top[row, place]))
+        return pa.table({name: np.concatenate([o[j] for o in out]) if out else np.zeros(0, np.int64) for j, name in enumerate(("query_id", "vec_id", "score"))})
+
+    met = q_side.groupBy("qg", "xg").cogroup(x_side.groupBy("qg", "xg")).applyInArrow(meet, "query_id long, vec_id long, score long")
     by = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return met.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -249,3 +249,17 @@ def test_toxicity(spark, empty):
     assert toxicity.score_documents(empty, labels).count() == 0
     alone = {r.doc_id: r.predicted for r in toxicity.score_documents(docs, labels.where("doc_id < 0")).collect()}
     assert alone[130] == 1 and alone[5] == 0
+
+
+def test_topk_ties_and_large_values(spark):
+    rng = np.random.default_rng(8)
+    x = [[0.5, 0.25, 0.0]] * 90 + [[float(v) for v in r] for r in rng.normal(size=(60, 3))] + [[3e7, -2e7, 1e6], [2e7, 1e7, -5e6]]
+    rows = [(i, v) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.exact_topk(df, k=7, block_rows=16, q_blocks=2, x_blocks=2).collect())
+    whole = [[int(np.floor(64 * c)) for c in v] for v in x]
+    want = []
+    for q in range(0, len(x), 20):
+        found = sorted((-sum(a * b for a, b in zip(whole[q], whole[i])), i) for i in range(len(x)) if i != q)
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(found[:7])]
+    assert got == sorted(want)
