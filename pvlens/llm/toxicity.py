@@ -1,8 +1,8 @@
 """Toxicity by weak supervision.
 
-Voters: a general list of insults, words that labelled rows show in toxic texts in ever
-different company (a lexicon learned per table), and patterns (shouting, exclamation runs,
-symbol noise, an insult after "you"). Each voter speaks or stays silent; the human label is one
+Voters: words that labelled rows show in toxic texts in ever different company (a lexicon
+learned per table), and patterns (shouting, exclamation runs, symbol noise, a word of the
+lexicon soon after "you"). Each voter speaks or stays silent; the human label is one
 more, noisy voter. A generative model (EM over latent classes) estimates how often every voter
 speaks in each class; voters whose residuals go together count as one in proportion to their
 correlation. A logistic classifier on votes and hashed words learns the posterior labels.
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A general list of English insults; each is a voter of its own.
+#: A general list of English insults, for tables without any labelled row alone.
 INSULTS = (
     "idiot", "idiots", "stupid", "moron", "morons", "scum", "trash", "loser", "losers", "worthless", "pathetic",
     "disgusting", "clown", "dumb", "garbage", "filth", "vermin", "imbecile", "jerk", "liar", "ugly", "hate",
@@ -32,7 +32,6 @@ PATTERNS = {
     "shouting": re.compile(r"(?:\b[A-Z]{4,}\b\W+){3,}"),
     "exclaiming": re.compile(r"!{2,}"),
     "symbols": re.compile(r"[%#&*$@^]{3,}"),
-    "you_insult": re.compile(r"(?i)\byou(?:'re| are)?(?: an?| such an?)? (?:" + "|".join(INSULTS) + r")\b"),
     "stretched": re.compile(r"(?i)([a-z])\1{3,}"),
 }
 WORDS = re.compile(r"[^\W\d_]+")
@@ -55,18 +54,19 @@ class Scorer:
 
     @property
     def voters(self) -> list[str]:
-        return [*self.lexicon, *PATTERNS, "two_insults", "many_insults"]
+        return [*self.lexicon, *PATTERNS, "you_insult", "two_insults", "many_insults"]
 
     def votes(self, text: str, words: list[str]) -> np.ndarray:
         at = self.__dict__.get("_at")
         if at is None:
             at = self.__dict__["_at"] = {w: i for i, w in enumerate(self.lexicon)}
         n = len(self.lexicon)
-        out = np.zeros(n + len(PATTERNS) + 2, np.int8)
-        hits = [at[w] for w in words if w in at]
-        out[hits] = 1
+        out = np.zeros(n + len(PATTERNS) + 3, np.int8)
+        hits = [i for i, w in enumerate(words) if w in at]
+        out[[at[words[i]] for i in hits]] = 1
         for j, pattern in enumerate(PATTERNS.values()):
             out[n + j] = pattern.search(text) is not None
+        out[-3] = any("you" in words[max(0, i - 3) : i] for i in hits)
         out[-2], out[-1] = len(hits) >= 2, len(hits) >= 4
         return out
 
@@ -171,8 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 8192, max_char
     ids = F.broadcast(some.select("doc_id", "toxic"))  # at most max_labelled rows
     rows = docs.select(key.alias("doc_id"), "text").where(F.length("text").between(1, max_chars)).join(ids, "doc_id")
     rows = rows.groupBy(F.md5("text").alias("_t")).agg(F.first("text").alias("text"), F.min("toxic").alias("toxic")).drop("_t")
-    learned = learn_lexicon(rows)
-    scorer = Scorer(list(dict.fromkeys([*INSULTS, *learned])))
+    scorer = Scorer(learn_lexicon(rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,6 +180,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 8192, max_char
 
     sample = rows.mapInArrow(run, "v binary, m binary, toxic int").collect()  # at most max_labelled rows
     if not sample:
+        scorer = Scorer(list(INSULTS))
         scorer.weights = np.where([w in INSULTS or w == "you_insult" for w in scorer.voters], 4.0, 0.0)
         scorer.bias = -3.0
         return scorer

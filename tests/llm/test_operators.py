@@ -263,3 +263,66 @@ def test_topk_ties_and_large_values(spark):
         found = sorted((-sum(a * b for a, b in zip(whole[q], whole[i])), i) for i in range(len(x)) if i != q)
         want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(found[:7])]
     assert got == sorted(want)
+
+
+def test_lexicon_comes_from_training_labels_alone(spark):
+    """A word that only held-out rows mark as toxic never becomes a voter."""
+    rng = random.Random(11)
+    ids = list(range(400))
+    away = [i for i in ids if zlib.crc32(str(i).encode()) % 4 == 2]
+    name = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    texts = [(i, f"{words(rng, 30)} {name()}" + (" stupid " if i in away[::2] else " blorf " if i not in away and i % 3 == 0 else " ") + words(rng, 30)) for i in ids]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int("stupid" in t or "blorf" in t)) for i, t in texts], "doc_id long, toxic int")
+    assert toxicity.train(docs, labels).lexicon == ["blorf"]
+
+
+def _library_twin(path):
+    """The model file as a unigram model with the log scores used here, for the sentencepiece library."""
+    import struct
+
+    def varint(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    def coded(field, x):
+        if isinstance(x, float):
+            return varint(field << 3 | 5) + struct.pack("<f", x)
+        return varint(field << 3) + varint(x) if isinstance(x, int) else varint(field << 3 | 2) + varint(len(x)) + bytes(x)
+
+    rows, i = pieces.read_model(path)[0], 0
+    with open(path, "rb") as f:
+        data = memoryview(f.read())
+    parts = []
+    for field, x in pieces._fields(data):
+        if field == 1:
+            x = coded(1, rows[i][0].encode()) + coded(2, rows[i][1]) + coded(3, rows[i][2])
+            i += 1
+        elif field == 2:
+            x = b"".join(coded(k, v) for k, v in pieces._fields(x) if k != 3) + coded(3, 1)
+        parts.append(coded(field, x))
+    return b"".join(parts)
+
+
+def test_viterbi_equals_the_library_but_for_ties(rows):
+    import public_tokenizers
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    theirs = sentencepiece.SentencePieceProcessor()
+    theirs.LoadFromSerializedProto(_library_twin(path))
+    own = pieces.model(None)
+    rng = random.Random(7)
+    odd = ["".join(rng.choice("abthenrst eiou  éü日本\n\t$%&{}=0123") for _ in range(rng.randrange(1, 60))) for _ in range(3000)]
+    texts = [*odd, *(r[1] for r in rows if r[1] and len(r[1]) < 3000)]
+    low = own.lowest
+    cost = lambda ids: sum(low / 3 if own.types[i] == pieces.BYTE else own.scores[i] for i in ids)
+    same = 0
+    for text in texts:
+        a, b = theirs.encode(text), own.encode(text)
+        same += a == b
+        assert sorted(x for x in a if own.types[x] == pieces.BYTE) == sorted(x for x in b if own.types[x] == pieces.BYTE)
+        assert abs(cost(a) - cost(b)) <= 1e-5 * abs(cost(b)), text
+    assert same >= 0.9 * len(texts)
