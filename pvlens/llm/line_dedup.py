@@ -1,14 +1,14 @@
 """Line dedup by pairwise alignment.
 
-Long lines are rare lines: they are hashed, and a hash that several documents hold links each
-later one (by doc_id) to the earliest that holds it. Each link joins two documents whose
-shared lines are aligned by patience diff: lines that are unique in both give the longest
-increasing chain, repeated lines (by occurrence) and the short lines in between extend it.
-Aligned blocks are deleted from the later document.
-
-Only hashes are shuffled. A line meets the earliest holder alone, so links grow with the number
-of shared lines and never with the square of a group; the statistics of a hot line are
-combined before the shuffle.
+Every line that is not blank is hashed. Documents are linked by the long lines they share. Two linked documents are aligned by patience diff over all their lines: lines that are unique in both give
+the longest increasing chain, repeated lines (by occurrence) extend it. Aligned blocks are deleted
+from the later document (by doc_id), but not a single short line that many documents hold.
+
+A document first meets the earliest holder of each of its links. Where the alignments leave
+linked lines, it meets the other earlier holders of those lines, until the lines go or no holder
+is left; so the result is that of aligning it with every earlier document. Only line
+hashes are shuffled. Pairs grow with the links, and with the square of a group only where
+holder after holder has the line in an order that does not align.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import identified, materialize
@@ -31,25 +31,36 @@ def _digest(text: str) -> tuple[int, int]:
     return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
 
 
-def line_units(text: str, min_chars: int) -> list[tuple[int, int, int, int, int, int, int, int]]:
-    """(position, ordinal, h1, h2, occurrence, times, tail, head) of each long line.
+#: What a link rests on: a long line, a short line, two adjacent lines of which one is short.
+LONG, SHORT, PAIR = 0, 1, 2
 
-    tail: hash of the short lines up to the next long line, 0 if none; head: hash of the short
-    lines before the first long line, for it alone.
+
+def numbered(marks: list[tuple[int, int]]) -> tuple[list[tuple[int, int, int]], Counter]:
+    """Each line's hashes with its occurrence among equal lines; how often each line occurs."""
+    seen: Counter = Counter()
+    out = []
+    for mark in marks:
+        out.append((*mark, seen[mark]))
+        seen[mark] += 1
+    return out, seen
+
+
+def line_units(text: str, min_chars: int) -> tuple[list[int], list[int], int, list[dict]]:
+    """Hashes (two a line), hashes of the blank lines after each line (0 if none) and before the first; links.
+
+    Only lines that are not blank count.
     """
     lines = text.split("\n")
-    long = [i for i, x in enumerate(lines) if len(x.strip()) >= min_chars]
-    if not long:
-        return []
-    marks = [_digest(lines[i]) for i in long]
-    times, seen, out = Counter(marks), Counter(), []
-    for n, (i, mark) in enumerate(zip(long, marks)):
-        end = long[n + 1] if n + 1 < len(long) else len(lines)
-        tail = _digest("\n".join(lines[i + 1 : end]))[0] if end > i + 1 else 0
-        head = _digest("\n".join(lines[:i]))[0] if n == 0 and i else 0
-        out.append((i, n, *mark, seen[mark], times[mark], tail, head))
-        seen[mark] += 1
-    return out
+    full = [i for i, x in enumerate(lines) if x.strip()]
+    if not full:
+        return [], [], 0, []
+    marks = [_digest(lines[i]) for i in full]
+    tails = [_digest("\n".join(lines[i + 1 : j]))[0] if j > i + 1 else 0 for i, j in zip(full, [*full[1:], len(lines)])]
+    head = _digest("\n".join(lines[: full[0]]))[0] if full[0] else 0
+    names, _ = numbered(marks)
+    short = [len(lines[i].strip()) < min_chars for i in full]
+    links = [{"key": _digest(f"{LONG} {n}")[0], "o": o, "kind": LONG} for o, (n, s) in enumerate(zip(names, short)) if not s]
+    return [h for mark in marks for h in mark], tails, head, links
 
 
 def longest_chain(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -94,103 +105,140 @@ def patience(matches: list[tuple[int, int, bool]]) -> list[tuple[int, int]]:
 
 
 def _unit_batches(min_chars: int):
-    names = ["_pos", "_ord", "_h1", "_h2", "_occ", "_times", "_tail", "_head"]
+    links = pa.list_(pa.struct([("key", pa.int64()), ("o", pa.int32()), ("kind", pa.int32())]))
+    longs = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for a in range(0, len(whole), 1024):
                 batch = whole.slice(a, 1024)
-                rows, owner = [], []
-                for i, text in enumerate(batch.column("_text").to_pylist()):
-                    own = line_units(text, min_chars)
-                    rows += own
-                    owner += [i] * len(own)
-                took = pa.array(owner, pa.int64())
-                table = np.array(rows, np.int64).reshape(-1, len(names))
-                cols = [batch.column("_d").take(took), batch.column("_t").take(took), *(pa.array(np.ascontiguousarray(table[:, j])) for j in range(len(names)))]
-                yield pa.RecordBatch.from_arrays(cols, ["_d", "_t", *names])
+                marks, tails, heads, found = [], [], [], []
+                for text in batch.column("_text").to_pylist():
+                    for column, x in zip((marks, tails, heads, found), line_units(text, min_chars)):
+                        column.append(x)
+                cols = [batch.column("_d"), batch.column("_t"), pa.array(marks, longs), pa.array(tails, longs), pa.array(heads, pa.int64()), pa.array(found, links)]
+                yield pa.RecordBatch.from_arrays(cols, ["_d", "_t", "_marks", "_tails", "_head", "_links"])
+
+    return run, "_d long, _t long, _marks array<long>, _tails array<long>, _head long, _links array<struct<key: long, o: int, kind: int>>"
+
 
-    return run, ", ".join(f"{c} long" for c in ("_d", "_t", *names))
+def align(own: dict, other: dict, firm: set[int], min_block_lines: int) -> list[int]:
+    """Codes 8 * line + bits of own's lines that go; lines are counted without blank ones.
+
+    firm: own's lines that may go alone. Bits: 1 the line, 2 the blank lines after it, 4 those
+    before the first one.
+    """
+    a_names, a_times = numbered(list(zip(own["marks"][::2], own["marks"][1::2])))
+    b_names, b_times = numbered(list(zip(other["marks"][::2], other["marks"][1::2])))
+    at = {x: o for o, x in enumerate(b_names)}
+    matches = [(a, at[x], a_times[x[:2]] == 1 and b_times[x[:2]] == 1) for a, x in enumerate(a_names) if x in at]
+    blocks: list[list[tuple[int, int]]] = []
+    for a, b in patience(matches):
+        if blocks and blocks[-1][-1] == (a - 1, b - 1):
+            blocks[-1].append((a, b))
+        else:
+            blocks.append([(a, b)])
+    gone = []
+    for block in blocks:
+        if len(block) < min_block_lines or (len(block) == 1 and block[0][0] not in firm):
+            continue
+        for a, b in block:
+            tail = own["tails"][a] != 0 and ((a, b) != block[-1] or own["tails"][a] == other["tails"][b])
+            gone.append(a * 8 + 1 + 2 * tail + 4 * (a == 0 and b == 0 and own["head"] != 0 and own["head"] == other["head"]))
+    return gone
 
 
 def _align_batches(min_block_lines: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out, partners = [], []
-            for row in batch.column("_found").to_pylist():
-                by: dict[tuple[int, int], list[dict]] = {}
-                for m in row:
-                    by.setdefault((m["fd"], m["ft"]), []).append(m)
-                gone: set[tuple[int, int]] = set()
-                used = 0
-                for own in by.values():
-                    at = {m["o"]: m for m in own}
-                    chain = patience([(m["o"], m["fo"], m["n"] == 1 and m["fn"] == 1) for m in own])
-                    blocks: list[list[tuple[int, int]]] = []
-                    for a, b in chain:
-                        if blocks and blocks[-1][-1] == (a - 1, b - 1) and at[a - 1]["tail"] == at[a - 1]["ftail"]:
-                            blocks[-1].append((a, b))
-                        else:
-                            blocks.append([(a, b)])
-                    kept = [x for block in blocks if len(block) >= min_block_lines for x in block]
-                    used += bool(kept)
-                    for a, b in kept:
-                        m = at[a]
-                        # 1: the line, 2: the short lines after it, 4: the short lines before the first one
-                        bits = 1 + 2 * (m["tail"] != 0 and m["tail"] == m["ftail"]) + 4 * (a == 0 and b == 0 and m["head"] != 0 and m["head"] == m["fhead"])
-                        gone.add((m["p"], bits))
-                out.append([p * 8 + bits for p, bits in sorted(gone)])
-                partners.append(used)
-            yield pa.RecordBatch.from_arrays([batch.column("_d"), batch.column("_t"), pa.array(out, pa.list_(pa.int64())), pa.array(partners, pa.int32())], ["_d", "_t", "_gone", "partners"])
-
-    return run, "_d long, _t long, _gone array<long>, partners int"
-
-
-def deleted_lines(docs: DataFrame, min_chars: int = 20, min_block_lines: int = 1) -> DataFrame:
-    """_d, _t, _gone, partners of the documents that lose lines; _gone codes 8 * line + what goes with it."""
+        for whole in batches:
+            for i in range(0, len(whole), 256):
+                batch = whole.slice(i, 256)
+                out = []
+                for r in batch.select(["_marks", "_tails", "_head", "_firm", "_fmarks", "_ftails", "_fhead"]).to_pylist():
+                    own = {"marks": r["_marks"], "tails": r["_tails"], "head": r["_head"]}
+                    other = {"marks": r["_fmarks"], "tails": r["_ftails"], "head": r["_fhead"]}
+                    out.append(align(own, other, set(r["_firm"]), min_block_lines))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("_d", "_t", "_fd", "_ft")), pa.array(out, pa.list_(pa.int64()))], ["_d", "_t", "_fd", "_ft", "_gone"])
+
+    return run, "_d long, _t long, _fd long, _ft long, _gone array<long>"
+
+
+def deleted_lines(docs: DataFrame, min_chars: int = 20, min_block_lines: int = 1, rare_docs: int = 10) -> DataFrame:
+    """_d, _t, _gone, partners of the documents that lose lines; _gone as in `align`."""
     run, schema = _unit_batches(min_chars)
-    units = materialize(identified(docs).mapInArrow(run, schema), "line-units")
-    key = ["_h1", "_h2", "_occ"]
-    first = F.min(F.struct("_d", "_t", "_ord", "_times", "_tail", "_head"))
-    lines = units.groupBy(*key).agg(first.alias("_first"), F.max(F.struct("_d", "_t")).alias("_last")).where(F.struct("_first._d", "_first._t") != F.col("_last"))
-    joined = units.join(lines.drop("_last"), key).where(F.struct("_d", "_t") != F.struct("_first._d", "_first._t"))
-    match = F.struct(
-        F.col("_first._d").alias("fd"), F.col("_first._t").alias("ft"), F.col("_first._ord").alias("fo"), F.col("_first._times").alias("fn"), F.col("_first._tail").alias("ftail"), F.col("_first._head").alias("fhead"),
-        F.col("_ord").alias("o"), F.col("_pos").alias("p"), F.col("_times").alias("n"), F.col("_tail").alias("tail"), F.col("_head").alias("head"),
-    )
-    # Repeated rows (same id and text) give each match several times; the set keeps one.
-    align, out = _align_batches(min_block_lines)
-    return joined.groupBy("_d", "_t").agg(F.collect_set(match).alias("_found")).mapInArrow(align, out)
-
-
-def remove_lines(text: str, gone: list[int], min_chars: int) -> tuple[str, int, int]:
+    # Rows that repeat id and text are one document.
+    units = materialize(identified(docs).mapInArrow(run, schema).dropDuplicates(["_d", "_t"]), "line-units")
+    links = units.select("_d", "_t", F.inline("_links"))
+    first = links.groupBy("key").agg(F.min(F.struct("_d", "_t")).alias("_first"), F.count("*").alias("_n"), F.min("kind").alias("_kind"))
+    first = first.where((F.col("_n") > 1) & ((F.col("_kind") != SHORT) | (F.col("_n") <= rare_docs))).select("key", "_first")
+    met = links.join(first, "key").where(F.struct("_d", "_t") != F.col("_first"))
+    lines = units.select("_d", "_t", "_marks", "_tails", "_head")
+    by = met.groupBy("_d", "_t").agg(F.collect_list(F.struct("key", "o", "kind")).alias("_met"), F.collect_set("_first").alias("_with"))
+    firm = F.transform(F.filter("_met", lambda x: x["kind"] != PAIR), lambda x: x["o"])
+    later = materialize(by.join(lines, ["_d", "_t"]).withColumn("_firm", firm), "line-later")
+    own = ["_d", "_t", "_marks", "_tails", "_head", "_firm"]
+    other = lines.select(*(F.col(c).alias(f"_f{c[1:]}") for c in lines.columns))
+    pair, out = _align_batches(min_block_lines)
+
+    def aligned(pairs: DataFrame) -> DataFrame:
+        return materialize(pairs.join(other, ["_fd", "_ft"]).mapInArrow(pair, out).where(F.size("_gone") > 0), "line-aligned")
+
+    def left_of(links: DataFrame, found: DataFrame) -> DataFrame:
+        """Links with a line that no alignment has taken so far."""
+        gone = found.select("_d", "_t", F.explode("_gone").alias("_o")).select("_d", "_t", F.shiftright("_o", 3).cast("int").alias("_o")).distinct()
+        need = links.select("*", F.explode(F.when(F.col("kind") == PAIR, F.array("o", F.col("o") + 1)).otherwise(F.array("o"))).alias("_o"))
+        return need.join(gone, ["_d", "_t", "_o"], "left_anti").drop("_o").distinct()
+
+    found = aligned(later.select(*own, F.explode("_with").alias("_w")).select(*own, F.col("_w._d").alias("_fd"), F.col("_w._t").alias("_ft")))
+    left = materialize(left_of(later.select("_d", "_t", F.inline("_met")), found), "line-left")
+    ranks = Window.partitionBy("key").orderBy("_d", "_t")
+    holders = links.select("key", "_d", "_t").join(left.select("key").distinct(), "key", "left_semi").withColumn("_rank", F.row_number().over(ranks))
+    holders = materialize(holders, "line-holders")
+    left = left.join(holders, ["key", "_d", "_t"])
+    # Holders 2 to 16 of a link, then 17 to 256, and so on, while lines are left.
+    lo, hi = 1, 16
+    while not (left := materialize(left.where(F.col("_rank") > lo + 1), "line-left")).isEmpty():
+        earlier = holders.where(F.col("_rank").between(lo + 1, hi)).select("key", F.col("_d").alias("_fd"), F.col("_t").alias("_ft"), F.col("_rank").alias("_frank"))
+        pairs = left.join(earlier, "key").where("_frank < _rank").select("_d", "_t", "_fd", "_ft").distinct()
+        more = aligned(pairs.join(later.select(*own), ["_d", "_t"]))
+        found = found.unionByName(more)
+        left = left_of(left, more)
+        lo, hi = hi, hi * 16
+    # A pair met by two links in two rounds counts once.
+    once = found.dropDuplicates(["_d", "_t", "_fd", "_ft"])
+    return once.groupBy("_d", "_t").agg(F.array_distinct(F.flatten(F.collect_list("_gone"))).alias("_gone"), F.count("*").cast("int").alias("partners"))
+
+
+def remove_lines(text: str, gone: list[int]) -> tuple[str, int, int]:
     """The kept text, the number of lines, the number of lines removed."""
     lines = text.split("\n")
     if not gone:
         return text, len(lines), 0
     drop = np.zeros(len(lines), bool)
-    long = [i for i, x in enumerate(lines) if len(x.strip()) >= min_chars]
-    after = dict(zip(long, [*long[1:], len(lines)]))
+    full = [i for i, x in enumerate(lines) if x.strip()]
+    after = [*full[1:], len(lines)]
     for code in gone:
-        p, bits = code >> 3, code & 7
+        o, bits = code >> 3, code & 7
+        p = full[o]
         drop[p] = True
         if bits & 2:
-            drop[p + 1 : after[p]] = True
+            drop[p + 1 : after[o]] = True
         if bits & 4:
             drop[:p] = True
     return "\n".join(x for x, d in zip(lines, drop) if not d), len(lines), int(drop.sum())
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 20, min_block_lines: int = 1, keep: tuple[str, ...] = ()) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 20, min_block_lines: int = 1, keep: tuple[str, ...] = (), rare_docs: int = 10) -> DataFrame:
     """doc_id, kept_text, n_lines, n_removed, partners (and kept columns) for every row.
 
     "Later" is by doc_id, then by text hash; null ids come first. Lines shorter than `min_chars`
-    never link documents and go only inside aligned blocks. A document that holds one line several
+    that more than `rare_docs` documents hold go only beside another line of an aligned block; blank
+    lines go with the lines before them. A document that holds one line several
     times keeps it unless an earlier document holds it as often. Rows repeating id and text are
     one document and get the same result. Null and empty texts have one empty line and lose
     nothing; an empty table gives no rows; clashing or extra columns are ignored unless kept.
     """
-    gone = deleted_lines(docs, min_chars, min_block_lines)
+    gone = deleted_lines(docs, min_chars, min_block_lines, rare_docs)
     extra = [F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)]
     body = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
@@ -202,7 +250,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_block_lines: int = 1,
         for batch in batches:
             texts, n_lines, n_removed = [], [], []
             for text, own in zip(batch.column("_text").to_pylist(), batch.column("_gone").to_pylist()):
-                kept, n, m = remove_lines(text, own or [], min_chars)
+                kept, n, m = remove_lines(text, own or [])
                 texts.append(kept)
                 n_lines.append(n)
                 n_removed.append(m)
