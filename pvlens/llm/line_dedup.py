@@ -1,8 +1,11 @@
 """Line dedup by pairwise alignment.
 
-Every line that is not blank is hashed. Documents are linked by the long lines they share. Two linked documents are aligned by patience diff over all their lines: lines that are unique in both give
+Every line that is not blank is hashed. Documents are linked by what they share: a long line, a
+short line that few documents hold, or two adjacent lines of which one is short. Two linked
+documents are aligned by patience diff over all their lines: lines that are unique in both give
 the longest increasing chain, repeated lines (by occurrence) extend it. Aligned blocks are deleted
-from the later document (by doc_id), but not a single short line that many documents hold.
+from the later document (by doc_id), but not a single short line that many documents hold, unless
+it is the whole of both.
 
 A document first meets the earliest holder of each of its links. Where the alignments leave
 linked lines, it meets the other earlier holders of those lines, until the lines go or no holder
@@ -59,7 +62,10 @@ def line_units(text: str, min_chars: int) -> tuple[list[int], list[int], int, li
     head = _digest("\n".join(lines[: full[0]]))[0] if full[0] else 0
     names, _ = numbered(marks)
     short = [len(lines[i].strip()) < min_chars for i in full]
-    links = [{"key": _digest(f"{LONG} {n}")[0], "o": o, "kind": LONG} for o, (n, s) in enumerate(zip(names, short)) if not s]
+    links = [{"key": _digest(f"{SHORT if s else LONG} {n}")[0], "o": o, "kind": SHORT if s else LONG} for o, (n, s) in enumerate(zip(names, short))]
+    links += [{"key": _digest(f"{PAIR} {names[o]} {names[o + 1]}")[0], "o": o, "kind": PAIR} for o in range(len(full) - 1) if short[o] or short[o + 1]]
+    if len(full) == 1 and short[0]:  # a copy of a whole document goes, however many hold it
+        links.append({"key": _digest(f"only {names[0]}")[0], "o": 0, "kind": LONG})
     return [h for mark in marks for h in mark], tails, head, links
 
 
