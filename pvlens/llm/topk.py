@@ -22,6 +22,8 @@ from .common import materialize
 
 #: Room left for rounding in the distances, relative to the squared norms.
 SLACK = 1e-6
+#: Rounding of a distance to a pivot, relative to it; a far pivot's grows beyond SLACK.
+FAR_SLACK = 1e-12
 #: A place in a list of the best that is still free.
 NONE = -(2**63 - 1)
 
@@ -73,17 +75,18 @@ def choose_pivots(vectors: DataFrame, n: int, sample: int, dim: int) -> np.ndarr
 
 
 def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    sq = (x**2).sum(1)[:, None] + (pivots**2).sum(1)[None, :] - 2 * x @ pivots.T
-    return np.sqrt(np.maximum(sq, 0))
+    """By differences: |x|^2 + |p|^2 - 2xp would round in steps of the squared norms."""
+    return np.stack([np.sqrt(((x - p) ** 2).sum(1)) for p in pivots], 1)
 
 
 def upper_bounds(q_sq: np.ndarray, q_far: np.ndarray, x_sq: np.ndarray, x_far: np.ndarray) -> np.ndarray:
     """Upper bounds of the inner products of every query with every candidate."""
-    low = np.zeros((len(q_sq), len(x_sq)), np.float32)
+    low = np.zeros((len(q_sq), len(x_sq)))
     for p in range(q_far.shape[1]):
-        np.maximum(low, np.abs(q_far[:, p, None] - x_far[None, :, p]), out=low)
+        a, b = q_far[:, p, None], x_far[None, :, p]
+        np.maximum(low, np.abs(a - b) - FAR_SLACK * (a + b), out=low)
     both = q_sq[:, None] + x_sq[None, :]
-    return (both * (1 + SLACK) - (low * (1 - SLACK)).astype(np.float64) ** 2) / 2 + 1
+    return (both * (1 + SLACK) - (low * (1 - SLACK)) ** 2) / 2 + 1
 
 
 def search(q_ids, q, q_far, x_ids, x, x_far, top: np.ndarray, top_ids: np.ndarray, kth: np.ndarray, chunk: int = 256) -> None:
@@ -163,8 +166,8 @@ def exact_topk(vectors: DataFrame, k: int = 20, query_every: int = 20, n_pivots:
                     scores[ids[qs][:, None] == ids[None, :]] = -np.inf
                     floors = np.sort(scores, axis=1)[:, -k]
                 own = {
-                    "block": [0], "n": [len(ids)], "ids": [ids.astype("<i8").tobytes()], "data": [raw(x)], "far": [far.astype("<f4").tobytes()],
-                    "lo": [far.min(0)], "hi": [far.max(0)], "sq_hi": [sq.max()], "nq": [len(qs)], "qi": [ids[qs].astype("<i8").tobytes()], "qd": [raw(x[qs])], "qf": [far[qs].astype("<f4").tobytes()], "q_floor": [floors.astype("<f8").tobytes()],
+                    "block": [0], "n": [len(ids)], "ids": [ids.astype("<i8").tobytes()], "data": [raw(x)], "far": [far.astype("<f8").tobytes()],
+                    "lo": [far.min(0)], "hi": [far.max(0)], "sq_hi": [sq.max()], "nq": [len(qs)], "qi": [ids[qs].astype("<i8").tobytes()], "qd": [raw(x[qs])], "qf": [far[qs].astype("<f8").tobytes()], "q_floor": [floors.astype("<f8").tobytes()],
                     "q_lo": [far[qs].min(0) if len(qs) else None], "q_hi": [far[qs].max(0) if len(qs) else None], "q_sq_hi": [sq[qs].max() if len(qs) else None], "q_min": [floors.min() if len(qs) else None],
                 }
                 yield pa.RecordBatch.from_pydict(own, schema=arrow_schema)
@@ -180,7 +183,7 @@ def exact_topk(vectors: DataFrame, k: int = 20, query_every: int = 20, n_pivots:
     # Pairs of block summaries: queries (a stated set) against all rows, in blocks of block_rows.
     left = blocks.where("nq > 0").select(F.col("block").alias("qb"), "q_lo", "q_hi", "q_sq_hi", "q_min")
     right = blocks.select(F.col("block").alias("xb"), "lo", "hi", "sq_hi")
-    gap = "array_max(transform(sequence(0, size(lo) - 1), i -> greatest(0D, q_lo[i] - hi[i], lo[i] - q_hi[i])))"
+    gap = f"array_max(transform(sequence(0, size(lo) - 1), i -> greatest(0D, greatest(q_lo[i] - hi[i], lo[i] - q_hi[i]) - {FAR_SLACK} * (q_hi[i] + hi[i]))))"
     pairs = left.join(right, F.expr(f"((q_sq_hi + sq_hi) * {1 + SLACK} - pow({gap} * {1 - SLACK}, 2)) / 2 + 1 >= q_min")).select("qb", "xb")
     # Blocks are dealt into a grid of cells: a cell holds about q_blocks blocks of queries and x_blocks
     # blocks of candidates, so a block moves once a cell and a query keeps its best through a cell.
@@ -198,12 +201,12 @@ def exact_topk(vectors: DataFrame, k: int = 20, query_every: int = 20, n_pivots:
         for r in candidates.to_batches():
             for i in range(len(r)):
                 n = r.column("n")[i].as_py()
-                held.append((np.frombuffer(r.column("ids")[i].as_buffer(), "<i8"), components_of(r.column("data")[i], n, width), np.frombuffer(r.column("far")[i].as_buffer(), "<f4").reshape(n, n_far)))
+                held.append((np.frombuffer(r.column("ids")[i].as_buffer(), "<i8"), components_of(r.column("data")[i], n, width), np.frombuffer(r.column("far")[i].as_buffer(), "<f8").reshape(n, n_far)))
         out = []
         for r in queries.to_batches():
             for i in range(len(r)):
                 n = r.column("nq")[i].as_py()
-                q_ids, q, q_far = np.frombuffer(r.column("qi")[i].as_buffer(), "<i8"), components_of(r.column("qd")[i], n, width), np.frombuffer(r.column("qf")[i].as_buffer(), "<f4").reshape(n, n_far)
+                q_ids, q, q_far = np.frombuffer(r.column("qi")[i].as_buffer(), "<i8"), components_of(r.column("qd")[i], n, width), np.frombuffer(r.column("qf")[i].as_buffer(), "<f8").reshape(n, n_far)
                 kth = np.frombuffer(r.column("q_floor")[i].as_buffer(), "<f8").copy()
                 top, top_ids = np.full((n, k), NONE), np.zeros((n, k), np.int64)
                 for x_ids, x, x_far in held:
