@@ -553,9 +553,10 @@ def replay_status(spark, d):
 def iforest_fit_score(spark, d):
     from ..operators.iforest import fit, score
 
-    x = [f"x{i}" for i in range(8)]
-    rows = table(spark, d, "embeddings").select("vec_id", *(F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(x)))
-    return score(rows, fit(rows, x, "vec_id", trees=50, seed=42), x).select("vec_id", "anomaly_score")
+    e = table(spark, d, "embeddings")
+    x = [f"x{i}" for i in range(e.agg(F.max(F.size("embedding"))).first()[0] or 0)]
+    rows = e.select("vec_id", *(F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(x)))
+    return score(rows, fit(rows, x, "vec_id", seed=42), x).select("vec_id", "anomaly_score")
 
 
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 4) AS quantity, CAST(grouping(l_returnflag) + grouping(l_linestatus) AS BIGINT) AS level FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
