@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes handled at once by vectorised code; bounds the memory of a Python worker.
@@ -20,14 +20,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; only where that is unset (tests) a local one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder named in spark.checkpoint.dir; a temporary one only where it is unset in local mode.
+
+    On a cluster an unset folder is an error: a local one would be another on every machine.
+    """
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="pvlens-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if context.applicationId not in _local:
+            _local[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="pvlens-shared-")
+        found = _local[context.applicationId]
     return found.rstrip("/")
 
 
+_local: dict[str, str] = {}
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df to the shared folder as Parquet and read it again.
 
@@ -37,21 +47,61 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def release(*written: DataFrame) -> None:
+    """Delete tables of `materialize` that no later plan reads."""
+    for df in written:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def join_counted(rows: DataFrame, keyed: DataFrame, on: Sequence[str], n: str = "_n", most: int = 4096) -> DataFrame:
+    """Inner join of rows with keyed, a written table of one row a key whose column `n` counts the rows of the key.
+
+    Keys that hold more than a `most`-th of all rows number fewer than `most`, so they are
+    broadcast and their rows stay where they are; the other keys are shuffled. `n` is left out.
+    """
+    on = list(on)
+    bound = (keyed.agg(F.sum(n)).first()[0] or 0) / most
+    hot = keyed.where(F.col(n) > bound).drop(n)
+    near = rows.join(F.broadcast(hot), on)
+    rest = rows.join(F.broadcast(hot.select(on)), on, "left_anti").join(keyed.where(F.col(n) <= bound).drop(n), on)
+    return near.unionByName(rest)
+
+
+def identity(text: str = "text", doc_id: str = "doc_id") -> list[Column]:
+    """_d, _t, _text: what makes two rows the same document, and its text; a null text counts as empty.
+
+    _t hashes the text and whether the id is null, so a null id, which takes the smallest long
+    in _d, is another document than that long itself.
+    """
+    body, key = F.coalesce(F.col(text), F.lit("")), F.col(doc_id).cast("long")
+    return [F.coalesce(key, F.lit(-(2**63)).cast("long")).alias("_d"), F.xxhash64(body, key.isNull()).alias("_t"), body.alias("_text")]
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    """_d, _t, _text of `identity` and _id, the id itself.
+
+    Rows that repeat id and text are one document for the operators; extra columns are left
+    out, so their names cannot clash.
+    """
+    return docs.select(*identity(), F.col("doc_id").cast("long").alias("_id"))
 
 
-def identified(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(_d, _t, text): documents keyed by id and text hash; a null text counts as empty.
+def smallest_hashes(rows: DataFrame, order: Column, n: int) -> DataFrame:
+    """The n rows of smallest `order` (a hash) and more: a hash bound that about 4 n rows pass comes first.
 
-    A null id takes the smallest long. Rows that repeat id and text are one document
-    for the operators; extra columns are left out, so their names cannot clash.
+    So a sample that goes to the driver does not grow with the number of partitions. Where the
+    bound lets fewer than n of them pass by chance, those are the sample.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(
-        F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63)).cast("long")).alias("_d"),
-        F.xxhash64(body).alias("_t"),
-        body.alias("_text"),
-    )
+    share = min(1.0, 4.0 * n / max(1, rows.count()))
+    unit = F.shiftrightunsigned(order, 11).cast("double") * F.lit(2.0**-53)
+    return rows.where(unit <= F.lit(share))
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import identified, materialize, slices, text_buffers
+from .common import identified, join_counted, materialize, slices, text_buffers
 
 #: The two moduli (primes) and the base of the polynomials.
 PRIMES = (2147483647, 2147483629)
@@ -89,8 +89,8 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
         view = memoryview(raw)
         sha = [hashlib.sha256(view[offsets[i] : offsets[i + 1]]).hexdigest() for i in range(len(batch))]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("_d"), batch.column("_t"), pa.array(h1), pa.array(h2), pa.array(np.diff(offsets)), pa.array(sha)],
-            ["_d", "_t", "h1", "h2", "n_bytes", "text_sha256"],
+            [batch.column("_d"), batch.column("_t"), batch.column("_id"), pa.array(h1), pa.array(h2), pa.array(np.diff(offsets)), pa.array(sha)],
+            ["_d", "_t", "_id", "h1", "h2", "n_bytes", "text_sha256"],
         )
 
 
@@ -115,16 +115,16 @@ def _pieces(df: DataFrame, *keep: str) -> DataFrame:
 
 
 def fingerprint_table(docs: DataFrame, huge_bytes: int = 1 << 24) -> DataFrame:
-    """_d, _t, h1, h2, n_bytes, text_sha256 of every document."""
+    """_d, _t, _id, h1, h2, n_bytes, text_sha256 of every document."""
     keyed = identified(docs)
-    schema = "_d long, _t long, h1 long, h2 long, n_bytes long, text_sha256 string"
+    schema = "_d long, _t long, _id long, h1 long, h2 long, n_bytes long, text_sha256 string"
     short = keyed.where(F.octet_length("_text") <= huge_bytes).mapInArrow(_fingerprint_batches, schema)
     long = keyed.where(F.octet_length("_text") > huge_bytes)
     parts = _pieces(long.dropDuplicates(["_d", "_t"]), "_d", "_t").repartition("_d", "_t", "_no").mapInArrow(_chunk_batches, "_d long, _t long, _no int, a long, b long, pa long, pb long")
     rows = parts.groupBy("_d", "_t").agg(F.sort_array(F.collect_list(F.struct("_no", "a", "b", "pa", "pb"))).alias("_parts"))
     fold = lambda h, w, p: F.aggregate("_parts", F.lit(0).cast("long"), lambda acc, x: (acc * x[w] + x[h]) % p)
     whole = rows.select("_d", "_t", fold("a", "pa", PRIMES[0]).alias("h1"), fold("b", "pb", PRIMES[1]).alias("h2"))
-    sizes = long.select("_d", "_t", F.octet_length("_text").cast("long").alias("n_bytes"), F.sha2(F.encode("_text", "UTF-8"), 256).alias("text_sha256"))
+    sizes = long.select("_d", "_t", "_id", F.octet_length("_text").cast("long").alias("n_bytes"), F.sha2(F.encode("_text", "UTF-8"), 256).alias("text_sha256"))
     return short.unionByName(whole.join(sizes, ["_d", "_t"]))
 
 
@@ -137,15 +137,15 @@ def exact_groups(docs: DataFrame, huge_bytes: int = 1 << 24) -> DataFrame:
     """
     prints = materialize(fingerprint_table(docs, huge_bytes), "fingerprints")
     fp = ["h1", "h2", "n_bytes"]
-    groups = prints.groupBy(*fp).agg(F.count("*").alias("_c")).where("_c > 1").drop("_c")
-    members = prints.join(groups, fp).select("_d", "_t", *fp).distinct()
+    groups = materialize(prints.groupBy(*fp).agg(F.count("*").alias("_n")).where("_n > 1"), "fingerprint-groups")
+    members = join_counted(prints, groups, fp).select("_d", "_t", *fp).distinct()
     bodies = identified(docs).join(members, ["_d", "_t"])
     chunks = _pieces(bodies, *fp).groupBy(*fp, "_no").agg(F.min("_piece").alias("_lo"), F.max("_piece").alias("_hi"))
     split = chunks.groupBy(*fp).agg(F.min(F.col("_lo") == F.col("_hi")).alias("_same")).where(~F.col("_same"))
     marked = prints.join(split, fp, "left").withColumn("_variant", F.when(F.col("_same").isNotNull(), F.col("text_sha256")).otherwise(F.lit("")))
-    sets = marked.groupBy(*fp, "_variant").agg(F.max("_d").alias("_keep"), F.count("*").alias("group_size"))
-    none = F.lit(-(2**63)).cast("long")
-    unless = lambda c: F.when(F.col(c) != none, F.col(c))
-    return marked.join(sets, [*fp, "_variant"]).select(
-        unless("_d").alias("doc_id"), unless("_keep").alias("keep_id"), "group_size", (F.col("_d") == F.col("_keep")).alias("kept"), "text_sha256", "n_bytes"
+    marked = materialize(marked.select("_id", *fp, "_variant", "text_sha256"), "fingerprint-variants")
+    key = [*fp, "_variant"]
+    sets = materialize(marked.groupBy(*key).agg(F.max("_id").alias("keep_id"), F.count("*").alias("group_size")).withColumn("_n", F.col("group_size")), "fingerprint-sets")
+    return join_counted(marked, sets, key).select(
+        F.col("_id").alias("doc_id"), "keep_id", "group_size", F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "n_bytes"
     )

@@ -1,17 +1,19 @@
 """Line dedup by pairwise alignment.
 
-Every line that is not blank is hashed. Documents are linked by what they share: a long line, a
-short line that few documents hold, or two adjacent lines of which one is short. Two linked
-documents are aligned by patience diff over all their lines: lines that are unique in both give
-the longest increasing chain, repeated lines (by occurrence) extend it. Aligned blocks are deleted
-from the later document (by doc_id), but not a single short line that many documents hold, unless
-it is the whole of both.
-
-A document first meets the earliest holder of each of its links. Where the alignments leave
-linked lines, it meets the other earlier holders of those lines, until the lines go or no holder
-is left; so the result is that of aligning it with every earlier document. Only line
-hashes are shuffled. Pairs grow with the links, and with the square of a group only where
-holder after holder has the line in an order that does not align.
+Every line that is not blank is hashed. Documents are linked by what they share: a line, or two
+adjacent lines of which one is short. A link is rare if at most `rare_docs` documents hold it;
+the holders of a rare link are paired, each with every earlier one. Two paired documents are
+aligned by patience diff over all their lines: lines that are unique in both give the longest
+increasing chain, repeated lines (by occurrence) extend it. Aligned blocks are deleted from the
+later document (by doc_id), but not a single short line that many documents hold, unless it is
+the whole of both.
+
+A link that many documents hold pairs each of them with its earliest holder first. Where the
+alignments leave linked lines, a document meets the other earlier holders of those lines, in
+ever larger samples by hash, until the lines go or no holder is left; so the result is that of
+aligning it with every earlier document. Only line hashes are shuffled. Pairs grow with the
+links, and with the square of a group only where holder after holder has the line in an order
+that does not align.
 """
 
 from __future__ import annotations
@@ -23,10 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import identified, materialize
+from .common import identified, identity, join_counted, materialize
 
 
 def _digest(text: str) -> tuple[int, int]:
@@ -169,17 +171,23 @@ def _align_batches(min_block_lines: int):
     return run, "_d long, _t long, _fd long, _ft long, _gone array<long>"
 
 
-def deleted_lines(docs: DataFrame, min_chars: int = 20, min_block_lines: int = 1, rare_docs: int = 10) -> DataFrame:
+def deleted_lines(docs: DataFrame, min_chars: int = 20, min_block_lines: int = 1, rare_docs: int = 10, salt_rows: int = 4096) -> DataFrame:
     """_d, _t, _gone, partners of the documents that lose lines; _gone as in `align`."""
     run, schema = _unit_batches(min_chars)
     # Rows that repeat id and text are one document.
-    units = materialize(identified(docs).mapInArrow(run, schema).dropDuplicates(["_d", "_t"]), "line-units")
+    units = materialize(identified(docs).select("_d", "_t", "_text").mapInArrow(run, schema).dropDuplicates(["_d", "_t"]), "line-units")
     links = units.select("_d", "_t", F.inline("_links"))
-    first = links.groupBy("key").agg(F.min(F.struct("_d", "_t")).alias("_first"), F.count("*").alias("_n"), F.min("kind").alias("_kind"))
-    first = first.where((F.col("_n") > 1) & ((F.col("_kind") != SHORT) | (F.col("_n") <= rare_docs))).select("key", "_first")
-    met = links.join(first, "key").where(F.struct("_d", "_t") != F.col("_first"))
+    held = links.groupBy("key").agg(F.min(F.struct("_d", "_t")).alias("_first"), F.count("*").alias("_n"), F.min("kind").alias("_kind"))
+    held = materialize(held.where((F.col("_n") > 1) & ((F.col("_kind") != SHORT) | (F.col("_n") <= rare_docs))), "line-keys")
+    rare = links.join(held.where(F.col("_n") <= rare_docs).select("key"), "key")
+    members = rare.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("_d", "_t", "o", "kind"))).alias("_all"))  # at most rare_docs
+    paired = members.select("key", "_all", F.posexplode("_all").alias("_i", "_own")).where("_i > 0")
+    earlier = F.transform(F.slice("_all", F.lit(1), F.col("_i")), lambda x: F.struct(x["_d"].alias("_d"), x["_t"].alias("_t")))
+    paired = paired.select("_own._d", "_own._t", "key", "_own.o", "_own.kind", earlier.alias("_others"), F.lit(1).cast("long").alias("_n"))
+    often = join_counted(links, held.where(F.col("_n") > rare_docs).select("key", "_first", "_n", F.col("_n").alias("_held")), ["key"]).where(F.struct("_d", "_t") != F.col("_first"))
+    often = often.select("_d", "_t", "key", "o", "kind", F.array("_first").alias("_others"), F.col("_held").alias("_n"))
+    by = paired.unionByName(often).groupBy("_d", "_t").agg(F.collect_list(F.struct("key", "o", "kind", "_n")).alias("_met"), F.array_distinct(F.flatten(F.collect_list("_others"))).alias("_with"))
     lines = units.select("_d", "_t", "_marks", "_tails", "_head")
-    by = met.groupBy("_d", "_t").agg(F.collect_list(F.struct("key", "o", "kind")).alias("_met"), F.collect_set("_first").alias("_with"))
     firm = F.transform(F.filter("_met", lambda x: x["kind"] != PAIR), lambda x: x["o"])
     later = materialize(by.join(lines, ["_d", "_t"]).withColumn("_firm", firm), "line-later")
     own = ["_d", "_t", "_marks", "_tails", "_head", "_firm"]
@@ -196,20 +204,23 @@ def deleted_lines(docs: DataFrame, min_chars: int = 20, min_block_lines: int = 1
         return need.join(gone, ["_d", "_t", "_o"], "left_anti").drop("_o").distinct()
 
     found = aligned(later.select(*own, F.explode("_with").alias("_w")).select(*own, F.col("_w._d").alias("_fd"), F.col("_w._t").alias("_ft")))
-    left = materialize(left_of(later.select("_d", "_t", F.inline("_met")), found), "line-left")
-    ranks = Window.partitionBy("key").orderBy("_d", "_t")
-    holders = links.select("key", "_d", "_t").join(left.select("key").distinct(), "key", "left_semi").withColumn("_rank", F.row_number().over(ranks))
-    holders = materialize(holders, "line-holders")
-    left = left.join(holders, ["key", "_d", "_t"])
-    # Holders 2 to 16 of a link, then 17 to 256, and so on, while lines are left.
-    lo, hi = 1, 16
-    while not (left := materialize(left.where(F.col("_rank") > lo + 1), "line-left")).isEmpty():
-        earlier = holders.where(F.col("_rank").between(lo + 1, hi)).select("key", F.col("_d").alias("_fd"), F.col("_t").alias("_ft"), F.col("_rank").alias("_frank"))
-        pairs = left.join(earlier, "key").where("_frank < _rank").select("_d", "_t", "_fd", "_ft").distinct()
+    frequent = later.select("_d", "_t", F.inline("_met")).where("_n > 1")
+    left = materialize(left_of(frequent, found), "line-left")
+    # The holders of a link are met in samples of about 16, 256, ... of them, by hash, while lines are left.
+    unit = F.shiftrightunsigned(F.xxhash64("_d", "_t", "key"), 11).cast("double") * F.lit(2.0**-53)
+    reach = 16
+    while not left.isEmpty():
+        open_keys = left.groupBy("key").agg(F.count("*").alias("_open"))
+        sample = links.join(open_keys, "key").join(held.select("key", "_n"), "key").where((unit * F.col("_n") >= reach / 16 - (reach == 16)) & (unit * F.col("_n") < reach))
+        # Many open documents of one link spread over salts; each salt has the sample.
+        salts = F.ceil(F.col("_open") / F.lit(salt_rows)).cast("int")
+        sample = sample.select("key", F.col("_d").alias("_fd"), F.col("_t").alias("_ft"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("_salt"))
+        dealt = left.join(open_keys, "key").withColumn("_salt", F.pmod(F.xxhash64("_d", "_t"), salts).cast("int"))
+        pairs = dealt.join(sample, ["key", "_salt"]).where(F.struct("_fd", "_ft") < F.struct("_d", "_t")).select("_d", "_t", "_fd", "_ft").distinct()
         more = aligned(pairs.join(later.select(*own), ["_d", "_t"]))
         found = found.unionByName(more)
-        left = left_of(left, more)
-        lo, hi = hi, hi * 16
+        left = materialize(left_of(left, more).where(F.col("_n") > reach), "line-left")
+        reach *= 16
     # A pair met by two links in two rounds counts once.
     once = found.dropDuplicates(["_d", "_t", "_fd", "_ft"])
     return once.groupBy("_d", "_t").agg(F.array_distinct(F.flatten(F.collect_list("_gone"))).alias("_gone"), F.count("*").cast("int").alias("partners"))
@@ -237,7 +248,7 @@ def remove_lines(text: str, gone: list[int]) -> tuple[str, int, int]:
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_block_lines: int = 1, keep: tuple[str, ...] = (), rare_docs: int = 10) -> DataFrame:
     """doc_id, kept_text, n_lines, n_removed, partners (and kept columns) for every row.
 
-    "Later" is by doc_id, then by text hash; null ids come first. Lines shorter than `min_chars`
+    "Later" is by doc_id, then by text hash; null ids come first, with the smallest long. Lines shorter than `min_chars`
     that more than `rare_docs` documents hold go only beside another line of an aligned block; blank
     lines go with the lines before them. A document that holds one line several
     times keeps it unless an earlier document holds it as often. Rows repeating id and text are
@@ -246,10 +257,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_block_lines: int = 1,
     """
     gone = deleted_lines(docs, min_chars, min_block_lines, rare_docs)
     extra = [F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)]
-    body = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(
-        F.col("doc_id").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long")).alias("_d"), F.xxhash64(body).alias("_t"), body.alias("_text"), *extra
-    )
+    rows = docs.select(F.col("doc_id").alias("doc_id"), *identity(), *extra)
     fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

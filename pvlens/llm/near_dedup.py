@@ -21,10 +21,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, gram_hashes, identified, keys, materialize, mix, slices, text_buffers, word_hashes
+from .common import U64, gram_hashes, identified, join_counted, keys, materialize, mix, release, slices, text_buffers, word_hashes
 
 SHINGLE = 5
 
@@ -268,39 +268,49 @@ def components(edges: DataFrame) -> DataFrame:
         both = links.select(F.col("_a").alias("_node"), F.col("_b").alias("_other")).unionByName(links.select(F.col("_b").alias("_node"), F.col("_a").alias("_other")))
         hook = materialize(both.groupBy("_node").agg(F.min("_other").alias("_m")).select("_node", F.least("_node", "_m").alias("_root")), "hooks")
         if roots is None:
-            roots = hook
+            further = hook
         else:
             step = hook.select(F.col("_node").alias("_root"), F.col("_root").alias("_next"))
-            roots = materialize(roots.join(step, "_root", "left").select("_node", F.coalesce("_next", "_root").alias("_root")), "roots")
+            further = materialize(roots.join(step, "_root", "left").select("_node", F.coalesce("_next", "_root").alias("_root")), "roots")
         left = hook.select(F.col("_node").alias("_a"), F.col("_root").alias("_ra"))
         right = hook.select(F.col("_node").alias("_b"), F.col("_root").alias("_rb"))
         moved = links.join(left, "_a").join(right, "_b").where("_ra <> _rb").select(F.least("_ra", "_rb").alias("_a"), F.greatest("_ra", "_rb").alias("_b")).distinct()
-        links = materialize(moved, "links")
+        before, links = links, materialize(moved, "links")
+        release(before, *([] if roots is None else [roots, hook]))
+        roots = further
     return roots if roots is not None else links.select(F.col("_a").alias("_node"), F.col("_b").alias("_root"))
 
 
+def text_key(text: Column) -> Column:
+    """The first 16 bytes of the text's SHA-256: no two texts are known or can be made to share them."""
+    return F.substring(F.unhex(F.sha2(F.encode(text, "UTF-8"), 256)), 1, 16)
+
+
 def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, bands: int = 25, rows: int = 5, small_bucket: int = 32, block_rows: int = 128) -> DataFrame:
-    """doc_id, class_id, kept for every row: class_id is the smallest doc_id of the group, which stays.
+    """doc_id, class_id, kept for every row: class_id is the smallest doc_id of the group, whose text stays.
 
     Groups are the connected components of texts with weighted Jaccard similarity of five-word
     shingles of at least `threshold`; equal texts are one node, so copies are never paired.
     With 25 bands of 5, a pair at 0.8 meets in a bucket with probability 0.99995. Texts
-    without words group only with equal texts; null counts as empty; null ids rank below all and
-    come out null; rows repeating id and text share their class and all count as kept where it
-    is theirs. Other columns are ignored; an empty table gives no rows.
+    without words group only with equal texts; null counts as empty; null ids rank above all, so
+    class_id is null only where all ids of the group are. One (doc_id, text) of a group is kept,
+    the smallest; rows that repeat it cannot be told apart and all count as kept. Other columns
+    are ignored; an empty table gives no rows.
     """
-    nodes = identified(docs).select("_d", F.unhex(F.md5(F.encode("_text", "UTF-8"))).alias("_node"), "_text")
-    named = materialize(nodes.select("_d", "_node"), "nodes")
-    first = named.groupBy("_node").agg(F.min("_d").alias("_d"))
+    nodes = identified(docs).select("_d", "_id", text_key(F.col("_text")).alias("_node"), "_text")
+    named = materialize(nodes.select("_d", "_id", "_node"), "nodes")
+    least = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id"))
+    first = materialize(named.groupBy("_node").agg(F.min("_d").alias("_d"), least.alias("_least"), F.count("*").alias("_n")), "texts-named")
     signed = nodes.select("_node", "_text").mapInArrow(_sign(bands, rows), "_node binary, _bands array<long>")
     member = signed.select("_node", F.posexplode("_bands").alias("_band", "_key")).distinct()
     member = materialize(member, "bands")
     order = F.xxhash64("_node", "_band")
-    lead = member.groupBy("_band", "_key").agg(F.min(F.struct(order.alias("o"), "_node")).alias("_lead"), F.count("*").alias("_n")).where("_n > 1").select("_band", "_key", F.col("_lead._node").alias("_b"))
-    met = member.join(lead, ["_band", "_key"]).where("_node <> _b")
+    lead = member.groupBy("_band", "_key").agg(F.min(F.struct(order.alias("o"), "_node")).alias("_lead"), F.count("*").alias("_n")).where("_n > 1").select("_band", "_key", F.col("_lead._node").alias("_b"), "_n")
+    lead = materialize(lead, "leaders")
+    met = join_counted(member, lead, ["_band", "_key"]).where("_node <> _b")
     pairs = materialize(met.select(F.least("_node", "_b").alias("_a"), F.greatest("_node", "_b").alias("_b")).distinct(), "pairs")
     # One row a distinct text: the row of its smallest id. Rows that repeat id and text are dropped with it.
-    wanted = pairs.select(F.explode(F.array("_a", "_b")).alias("_node")).distinct().join(first, "_node")
+    wanted = pairs.select(F.explode(F.array("_a", "_b")).alias("_node")).distinct().join(first.select("_node", "_d"), "_node")
     texts = materialize(nodes.join(wanted, ["_node", "_d"]).select("_node", "_text").dropDuplicates(["_node"]), "texts")
     links = materialize(verified(pairs, texts, threshold), "verified")
     roots = components(links)
@@ -309,7 +319,7 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, bands: int =
     apart = at.groupBy("_band", "_key").agg(F.min("_root").alias("_lo"), F.max("_root").alias("_hi"), F.count("*").alias("_n")).where("_lo <> _hi and _n > 2").select("_band", "_key", "_n")
     left = materialize(at.join(apart, ["_band", "_key"]), "apart")
     if not left.isEmpty():
-        open_nodes = left.select("_node").distinct().join(first, "_node")
+        open_nodes = left.select("_node").distinct().join(first.select("_node", "_d"), "_node")
         open_texts = materialize(nodes.join(open_nodes, ["_node", "_d"]).select("_node", "_text").dropDuplicates(["_node"]), "texts-apart")
         small = left.where(F.col("_n") <= small_bucket)
         other = small.select("_band", "_key", F.col("_node").alias("_b"), F.col("_root").alias("_rb"))
@@ -319,9 +329,12 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, bands: int =
         found = materialize(found.unionByName(linked_in_blocks(left.where(F.col("_n") > small_bucket), sets, threshold, block_rows)), "links-apart")
         if not found.isEmpty():
             roots = components(links.select("_a", "_b").unionByName(found))
-    classed = named.join(roots, "_node", "left").withColumn("_root", F.coalesce("_root", "_node"))
-    ids = classed.groupBy("_root").agg(F.min("_d").alias("_class"))
-    none = F.lit(-(2**63)).cast("long")
-    unless = lambda c: F.when(F.col(c) != none, F.col(c))
-    return classed.join(ids, "_root").select(unless("_d").alias("doc_id"), unless("_class").alias("class_id"), (F.col("_d") == F.col("_class")).alias("kept"))
-
+    # Classes are found over distinct texts and only then given to the rows.
+    rooted = materialize(first.join(roots, "_node", "left").select("_node", "_least", "_n", F.coalesce("_root", "_node").alias("_root")), "rooted")
+    classes = rooted.groupBy("_root").agg(F.min(F.struct("_least", "_node")).alias("_best"), F.count("*").alias("_n"))
+    classes = materialize(classes, "classes")
+    classed = join_counted(rooted.withColumnRenamed("_n", "_rows"), classes, ["_root"])
+    classed = materialize(classed.select("_node", "_best", F.col("_rows").alias("_n")), "classed")
+    out = join_counted(named.select("_id", "_node"), classed, ["_node"])
+    best = F.col("_best._least._id")
+    return out.select(F.col("_id").alias("doc_id"), best.alias("class_id"), ((F.col("_node") == F.col("_best._node")) & F.col("_id").eqNullSafe(best)).alias("kept"))

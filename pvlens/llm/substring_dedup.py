@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, gram_hashes, identified, materialize, slices, text_buffers, word_hashes
+from .common import gram_hashes, identified, identity, join_counted, materialize, slices, text_buffers, word_hashes
 
 GRAM = 10
 BLOCK = 64
@@ -71,11 +71,11 @@ def _block_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         raw, offsets = text_buffers(batch.column("_text"))
         wanted = batch.column("_blocks").to_pylist()
         for i, own in enumerate(wanted):
-            h = word_hashes(raw, offsets[i : i + 2])[0].astype("<u4")
-            own = sorted(own)
-            cells = [h[k * BLOCK : (k + 1) * BLOCK].tobytes() for k in own]
+            h = word_hashes(raw, offsets[i : i + 2])[0].astype("<u8")
+            cells = [h[b["_k"] * BLOCK : (b["_k"] + 1) * BLOCK].tobytes() for b in own]
             took = pa.array([i] * len(own), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("_d").take(took), batch.column("_t").take(took), pa.array(own, pa.int32()), pa.array(cells, pa.binary())], ["_rd", "_rt", "_k", "_cells"])
+            columns = [batch.column("_d").take(took), batch.column("_t").take(took), pa.array([b["_k"] for b in own], pa.int32()), pa.array([b["_n"] for b in own], pa.int64()), pa.array(cells, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["_rd", "_rt", "_k", "_n", "_cells"])
 
 
 def factor(h: np.ndarray, found: list[tuple[int, tuple, int]], blocks: dict[tuple, dict[int, np.ndarray]], window: int, gram: int) -> tuple[list[list], list[int]]:
@@ -97,7 +97,7 @@ def factor(h: np.ndarray, found: list[tuple[int, tuple, int]], blocks: dict[tupl
             at += len(part)
             if not len(part) or at % BLOCK:
                 break
-        return np.concatenate(parts) if parts else np.zeros(0, "<u4")
+        return np.concatenate(parts) if parts else np.zeros(0, "<u8")
 
     def agreed(mine: np.ndarray, other: np.ndarray) -> int:
         n = min(len(mine), len(other))
@@ -133,10 +133,10 @@ def _parse_batches(window: int, gram: int):
                 mine = batch.column("_anchors")[i].as_py()
                 cells: dict[tuple, dict[int, np.ndarray]] = {}
                 for c in batch.column("_cells")[i].as_py() or ():
-                    cells.setdefault((c["_rd"], c["_rt"]), {})[c["_k"]] = np.frombuffer(c["_cells"], "<u4")
+                    cells.setdefault((c["_rd"], c["_rt"]), {})[c["_k"]] = np.frombuffer(c["_cells"], "<u8")
                 mine.sort(key=lambda m: m["_p"])
                 found = [(m["_p"], (m["_rd"], m["_rt"]), m["_q"]) for m in mine if not m["_own"]]
-                factors, of = factor(h.astype("<u4"), found, cells, window, gram)
+                factors, of = factor(h, found, cells, window, gram)
                 own_spans, own_refs = [], set()
                 for start, end, ref, q in factors:
                     if end - start >= window:
@@ -168,20 +168,23 @@ def _parse_batches(window: int, gram: int):
 
 def duplicate_spans(docs: DataFrame, window: int = 35, gram: int = GRAM) -> DataFrame:
     """_d, _t, _spans of the documents that hold a window found elsewhere; spans are word ranges."""
-    keyed = identified(docs)
+    keyed = identified(docs).drop("_id")
     run, schema = _anchor_batches(window, gram)
     places = materialize(keyed.mapInArrow(run, schema), "anchors")
     index = places.groupBy("_h").agg(F.min(F.struct("_d", "_t", "_p")).alias("_r"), F.count("*").alias("_n")).where("_n > 1")
+    index = materialize(index, "anchor-index")
     own = (F.col("_d") == F.col("_r._d")) & (F.col("_t") == F.col("_r._t")) & (F.col("_p") == F.col("_r._p"))
-    shared = materialize(
-        places.join(index, "_h").select("_d", "_t", "_p", F.col("_r._d").alias("_rd"), F.col("_r._t").alias("_rt"), F.col("_r._p").alias("_q"), own.alias("_own")).distinct(), "shared-anchors"
-    )
+    met = join_counted(places, index, ["_h"]).select("_d", "_t", "_p", F.col("_r._d").alias("_rd"), F.col("_r._t").alias("_rt"), F.col("_r._p").alias("_q"), own.alias("_own"))
+    shared = materialize(met.distinct(), "shared-anchors")
     reach = window - gram
     lo, hi = F.expr(f"int(greatest(0, _q - {reach}) div {BLOCK})"), F.expr(f"int((_q + {window - 1}) div {BLOCK})")
     needs = shared.where("not _own").select("_d", "_t", "_rd", "_rt", F.explode(F.sequence(lo, hi)).alias("_k")).distinct()
-    wanted = needs.groupBy(F.col("_rd").alias("_d"), F.col("_rt").alias("_t")).agg(F.collect_set("_k").alias("_blocks"))
-    cells = keyed.join(wanted, ["_d", "_t"]).mapInArrow(_block_batches, "_rd long, _rt long, _k int, _cells binary").dropDuplicates(["_rd", "_rt", "_k"])
-    fetched = needs.join(cells, ["_rd", "_rt", "_k"]).groupBy("_d", "_t").agg(F.collect_list(F.struct("_rd", "_rt", "_k", "_cells")).alias("_cells"))
+    needs = materialize(needs, "block-needs")
+    asked_for = needs.groupBy("_rd", "_rt", "_k").agg(F.count("*").alias("_n"))
+    wanted = asked_for.groupBy(F.col("_rd").alias("_d"), F.col("_rt").alias("_t")).agg(F.collect_list(F.struct("_k", "_n")).alias("_blocks"))
+    cells = keyed.join(wanted, ["_d", "_t"]).dropDuplicates(["_d", "_t"]).mapInArrow(_block_batches, "_rd long, _rt long, _k int, _n long, _cells binary")
+    cells = materialize(cells, "reference-blocks")
+    fetched = join_counted(needs, cells, ["_rd", "_rt", "_k"]).groupBy("_d", "_t").agg(F.collect_list(F.struct("_rd", "_rt", "_k", "_cells")).alias("_cells"))
     asked = shared.groupBy("_d", "_t").agg(F.collect_list(F.struct("_p", "_rd", "_rt", "_q", "_own")).alias("_anchors"))
     parse, parsed_schema = _parse_batches(window, gram)
     parsed = materialize(keyed.join(asked.join(fetched, ["_d", "_t"], "left"), ["_d", "_t"]).mapInArrow(parse, parsed_schema), "factors")
@@ -219,8 +222,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, gram: int = GRAM, with_tex
     than a window stay whole; an empty table gives no rows; other columns are ignored.
     """
     spans = duplicate_spans(docs, window, gram)
-    body = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long")).alias("_d"), F.xxhash64(body).alias("_t"), body.alias("_text"))
+    rows = docs.select("doc_id", *identity())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
