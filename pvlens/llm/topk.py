@@ -1,12 +1,15 @@
 """Exact top-k inner products by pivot-table elimination.
 
-Vectors are packed into blocks of neighbours (same nearest pivot, similar distance to it).
-Each vector keeps its distances to all pivots. For a query q and a candidate x, the largest
+Equal vectors are one node, with the smallest ids that hold it; so a vector that many rows share
+is searched once. Nodes are sorted by (nearest pivot, distance to it) and packed into blocks of
+neighbours; each keeps its distances to all pivots. For a query q and a candidate x, the largest
 |d(q, p) - d(x, p)| over the pivots p bounds their distance from below, and so
-q.x = (|q|^2 + |x|^2 - d^2) / 2 from above. A query's own block gives a first k-th score;
-pairs of blocks whose bound stays below it are dropped from their summaries alone; the
-pairs that remain are dealt into cells of a grid, where candidates are evaluated in the order of
-their bounds until the next bound is below the k-th score found. A bound equal to it is still evaluated, so ties are exact.
+q.x = (|q|^2 + |x|^2 - d^2) / 2 from above. A query's own block gives a first k-th score, and with
+it the range of distances to each pivot in which a candidate can reach it: blocks are joined on
+the pivot and bins of that range, and pairs whose bound stays below the k-th score are dropped
+from their summaries alone. The pairs that remain are dealt into cells of neighbouring blocks,
+where candidates are evaluated in the order of their bounds until the next bound is below the
+k-th score found. A bound equal to it is still evaluated, so ties are exact.
 """
 
 from __future__ import annotations
@@ -15,10 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import join_counted, materialize, smallest_hashes
 
 #: Room left for rounding in the distances, relative to the squared norms.
 SLACK = 1e-6
@@ -60,7 +64,8 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def choose_pivots(vectors: DataFrame, n: int, sample: int, dim: int) -> np.ndarray:
     """Farthest-first pivots among the `sample` vectors with the smallest hashes (a bounded sample)."""
-    rows = vectors.orderBy(F.xxhash64("vec_id", F.lit("pivot")), "vec_id").limit(sample).collect()
+    order = F.xxhash64("_a", F.lit("pivot"))
+    rows = smallest_hashes(vectors.select("_a", "_b", "v"), order, sample).orderBy(order, "_b").limit(sample).collect()
     if not rows:
         return np.zeros((0, max(1, dim)))
     own = np.zeros((len(rows), max(1, dim)))
@@ -89,32 +94,39 @@ def upper_bounds(q_sq: np.ndarray, q_far: np.ndarray, x_sq: np.ndarray, x_far: n
     return (both * (1 + SLACK) - (low * (1 - SLACK)) ** 2) / 2 + 1
 
 
-def search(q_ids, q, q_far, x_ids, x, x_far, top: np.ndarray, top_ids: np.ndarray, kth: np.ndarray, chunk: int = 256) -> None:
-    """Put the candidates that belong to the best of each query into top and top_ids, in place.
+def search(q: dict, x: dict, best: dict, chunk: int = 256) -> None:
+    """Put the candidates that belong to the best of each query into `best`, in place.
 
-    kth[i] is a score that the k-th best of query i is known to reach; it rises with what is found.
+    q: vectors, distances, the id that does not count (`out`, where `bar`); x: vectors, distances,
+    smallest and second id of each (`one`, `two`), the number of the first (`at`). best["kth"][i]
+    is a score that the last of query i's best is known to reach; it rises with what is found.
     """
-    k = top.shape[1]
-    bounds = upper_bounds((q**2).sum(1), q_far, (x**2).sum(1), x_far)
+    k = best["score"].shape[1]
+    bounds = upper_bounds((q["v"] ** 2).sum(1), q["far"], (x["v"] ** 2).sum(1), x["far"])
     order = np.argsort(-bounds.max(axis=0), kind="stable")
     bounds = bounds[:, order]
     rest = np.maximum.accumulate(bounds[:, ::-1], axis=1)[:, ::-1]
     for a in range(0, len(order), chunk):
-        live = np.flatnonzero(rest[:, a] >= kth)
+        live = np.flatnonzero(rest[:, a] >= best["kth"])
         if not len(live):
             break
         part = order[a : a + chunk]
-        scores, ids, least = products(q[live], x[part]), x_ids[part], kth[live, None]
-        r, c = np.nonzero((bounds[live, a : a + chunk] >= least) & (scores >= least) & (ids[None, :] != q_ids[live, None]))
+        scores, least = products(q["v"][live], x["v"][part]), best["kth"][live, None]
+        r, c = np.nonzero((bounds[live, a : a + chunk] >= least) & (scores >= least))
+        own, other = live[r], part[c]
+        ids = np.where(q["bar"][own] & (x["one"][other] == q["out"][own]), x["two"][other], x["one"][other])
+        some = ids != NONE
+        r, c, ids, other = r[some], c[some], ids[some], other[some]
         if not len(r):
             continue
         at = np.unique(r)
         better = live[at]
-        row, score, cand = np.concatenate([np.repeat(at, k), r]), np.concatenate([top[better].ravel(), scores[r, c]]), np.concatenate([top_ids[better].ravel(), ids[c]])
+        row = np.concatenate([np.repeat(at, k), r])
+        score, cand, ref = (np.concatenate([best[name][better].ravel(), new]) for name, new in (("score", scores[r, c]), ("id", ids), ("ref", x["at"] + other)))
         by = np.lexsort((cand, -score, row))
-        first = np.searchsorted(row[by], at)[:, None] + np.arange(k)
-        top[better], top_ids[better] = score[by][first], cand[by][first]
-        kth[better] = np.maximum(kth[better], top[better, -1].astype(np.float64))
+        first = by[np.searchsorted(row[by], at)[:, None] + np.arange(k)]
+        best["score"][better], best["id"][better], best["ref"][better] = score[first], cand[first], ref[first]
+        best["kth"][better] = np.maximum(best["kth"][better], best["score"][better, -1].astype(np.float64))
 
 
 def raw(x: np.ndarray) -> bytes:
@@ -127,94 +139,187 @@ def components_of(data: pa.Scalar, n: int, width: int) -> np.ndarray:
     return np.frombuffer(buffer, "<f4" if buffer.size == 4 * n * width else "<f8").reshape(n, width).astype(np.float64)
 
 
-PACKED = "block long, n int, ids binary, data binary, far binary, lo array<double>, hi array<double>, sq_hi double, nq int, qi binary, qd binary, qf binary, q_floor binary, q_lo array<double>, q_hi array<double>, q_sq_hi double, q_min double"
+def distinct_vectors(base: DataFrame, k: int) -> DataFrame:
+    """_a, _b (hashes), v, _ids: one row a distinct vector, with its k smallest ids and how often each holds it."""
+    held = base.groupBy("_a", "_b", "vec_id").agg(F.count("*").alias("n"))
+    few = held.withColumn("_r", F.row_number().over(Window.partitionBy("_a", "_b").orderBy("vec_id"))).where(F.col("_r") <= k)
+    ids = few.groupBy("_a", "_b").agg(F.sort_array(F.collect_list(F.struct("vec_id", "n"))).alias("_ids"))  # at most k
+    return base.groupBy("_a", "_b").agg(F.first("v").alias("v")).join(ids, ["_a", "_b"])
+
+
+BLOCK = pa.schema([
+    ("part", pa.int32()), ("seq", pa.int32()), ("cell", pa.int32()), ("n", pa.int32()), ("near_lo", pa.float64()), ("near_hi", pa.float64()), ("data", pa.binary()), ("far", pa.binary()),
+    ("held", pa.binary()), ("ids", pa.binary()), ("times", pa.binary()), ("lo", pa.list_(pa.float64())), ("hi", pa.list_(pa.float64())), ("sq_hi", pa.float64()),
+    ("nq", pa.int32()), ("qkey", pa.binary()), ("qd", pa.binary()), ("qf", pa.binary()), ("q_floor", pa.binary()), ("q_lo", pa.list_(pa.float64())), ("q_hi", pa.list_(pa.float64())), ("q_sq_hi", pa.float64()), ("q_min", pa.float64()),
+])
+PACKED = "part int, seq int, cell int, n int, near_lo double, near_hi double, data binary, far binary, held binary, ids binary, times binary, lo array<double>, hi array<double>, sq_hi double, nq int, qkey binary, qd binary, qf binary, q_floor binary, q_lo array<double>, q_hi array<double>, q_sq_hi double, q_min double"
+QKEY = np.dtype([("a", "<i8"), ("b", "<i8"), ("out", "<i8"), ("bar", "?")])
+
+
+def pack_block(part: pa.RecordBatch, pivots: np.ndarray, k: int) -> dict:
+    """Columns of one block from its sorted rows: candidates (_q false) and queries."""
+    x, asks = matrix(part.column("v"), pivots.shape[1]), part.column("_q").to_numpy(zero_copy_only=False)
+    far, sq, c, q = distances(x, pivots), (x**2).sum(1), np.flatnonzero(~asks), np.flatnonzero(asks)
+    out = {"cell": part.column("cell")[0].as_py(), "n": len(c), "nq": len(q)}
+    lists = part.column("_ids").take(pa.array(c))
+    held = np.diff(lists.offsets.to_numpy())
+    if len(c):
+        near, flat = part.column("near").to_numpy()[c], lists.flatten()
+        out |= {"near_lo": near.min(), "near_hi": near.max(), "data": raw(x[c]), "far": far[c].astype("<f8").tobytes(), "held": held.astype("<i4").tobytes()}
+        out |= {"ids": flat.field("vec_id").to_numpy().astype("<i8").tobytes(), "times": flat.field("n").to_numpy().astype("<i8").tobytes(), "lo": far[c].min(0), "hi": far[c].max(0), "sq_hi": sq[c].max()}
+    if len(q):
+        keys = np.zeros(len(q), QKEY)
+        for name, column in (("a", "_a"), ("b", "_b"), ("out", "_x"), ("bar", "_m")):
+            keys[name] = part.column(column).to_numpy(zero_copy_only=False)[q]
+        floors = np.full(len(q), -np.inf)
+        if len(c):
+            scores = products(x[q], x[c]).astype(np.float64)
+            order = np.argsort(-scores, axis=1)
+            enough = np.cumsum(held[order] - keys["bar"][:, None], axis=1) >= k  # an id that does not count may be in each
+            sure = enough.any(1)
+            floors[sure] = np.take_along_axis(scores, order, 1)[sure, enough.argmax(1)[sure]]
+        out |= {"qkey": keys.tobytes(), "qd": raw(x[q]), "qf": far[q].astype("<f8").tobytes(), "q_floor": floors.astype("<f8").tobytes(), "q_lo": far[q].min(0), "q_hi": far[q].max(0), "q_sq_hi": sq[q].max(), "q_min": floors.min()}
+    return out
+
+
+def block_pairs(blocks: DataFrame, bins: int) -> DataFrame:
+    """(qp, qs, xp, xs): blocks of queries and blocks of candidates whose bound does not rule each other out.
+
+    A query block asks, for each pivot (a handful of rows), the bins of candidate distances to it
+    that its radius reaches; candidate blocks lie in the bins of their own nearest pivot.
+    """
+    cells = blocks.where("n > 0").groupBy("cell").agg(F.min("near_lo").alias("c_lo"), F.max("near_hi").alias("c_hi"), F.max("sq_hi").alias("c_sq"))
+    bin_of = lambda c: F.when(F.col("c_hi") > F.col("c_lo"), F.least(F.lit(bins - 1), F.floor((c - F.col("c_lo")) / (F.col("c_hi") - F.col("c_lo")) * bins).cast("int"))).otherwise(F.lit(0))
+    span = lambda lo, hi: F.explode(F.sequence(bin_of(lo), bin_of(hi))).alias("bin")
+    x = blocks.where("n > 0").select(F.col("part").alias("xp"), F.col("seq").alias("xs"), "cell", "near_lo", "near_hi", "lo", "hi", "sq_hi").join(F.broadcast(cells), "cell")
+    x = x.select("xp", "xs", "cell", "lo", "hi", "sq_hi", span(F.col("near_lo"), F.col("near_hi")))
+    q = blocks.where("nq > 0").select(F.col("part").alias("qp"), F.col("seq").alias("qs"), "q_lo", "q_hi", "q_sq_hi", "q_min").crossJoin(F.broadcast(cells))  # one row a pivot
+    radius = F.sqrt(F.greatest(F.lit(0.0), (F.col("q_sq_hi") + F.col("c_sq")) * (1 + SLACK) + 2 - 2 * F.col("q_min"))) / (1 - SLACK)
+    own_lo, own_hi = F.col("q_lo")[F.col("cell")], F.col("q_hi")[F.col("cell")]
+    room = radius + 2 * SLACK * (own_hi + F.col("c_hi")) + SLACK
+    q = q.withColumns({"_from": own_lo - room, "_to": own_hi + room}).where("_to >= c_lo and _from <= c_hi")
+    q = q.select("qp", "qs", "q_lo", "q_hi", "q_sq_hi", "q_min", "cell", span(F.greatest("_from", "c_lo"), F.least("_to", "c_hi")))
+    gap = f"array_max(transform(sequence(0, size(lo) - 1), i -> greatest(0D, greatest(q_lo[i] - hi[i], lo[i] - q_hi[i]) - {FAR_SLACK} * (q_hi[i] + hi[i]))))"
+    near = F.expr(f"((q_sq_hi + sq_hi) * {1 + SLACK} - pow({gap} * {1 - SLACK}, 2)) / 2 + 1 >= q_min")
+    return q.join(x, ["cell", "bin"]).where(near).select("qp", "qs", "xp", "xs").distinct()
 
 
-def exact_topk(vectors: DataFrame, k: int = 20, query_every: int = 20, n_pivots: int = 16, pivot_sample: int = 2048, block_rows: int = 1024, q_blocks: int = 64, x_blocks: int = 4) -> DataFrame:
+def exact_topk(vectors: DataFrame, k: int = 20, query_every: int = 20, n_pivots: int = 16, pivot_sample: int = 2048, block_rows: int = 1024, q_blocks: int = 64, x_blocks: int = 4, bins: int = 32) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest inner products of each query with other rows.
 
     Queries are the rows whose vec_id is divisible by `query_every`; a query meets every row
-    but those with its own id. Vectors that are null or hold null or non-finite components, and
-    rows without an id, take no part; vectors of different lengths meet as if ended by zeros.
-    Equal scores go to the smaller vec_id; repeated rows count each. Fewer than k candidates
-    give all of them; an empty table gives no rows. Scores beyond a long stay at its ends. Other
-    columns are ignored.
+    but those with its own id, and rows that share a query's id are one query. Vectors that are
+    null or hold null or non-finite components, and rows without an id, take no part; vectors of
+    different lengths meet as if ended by zeros. Equal scores go to the smaller vec_id; repeated
+    rows count each. Fewer than k candidates give all of them; an empty table gives no rows.
+    Scores beyond a long stay at its ends. Other columns are ignored.
     """
-    base = quantized(vectors)
-    dim = base.select(F.max(F.size("v"))).first()[0] or 0
-    pivots = choose_pivots(base, n_pivots, pivot_sample, dim)
-    width = max(1, dim)
+    base = quantized(vectors).select(F.xxhash64("v").alias("_a"), F.xxhash64(F.lit(1), "v").alias("_b"), "vec_id", "v")
+    most = k + 1  # one of them may be the query's own id
+    nodes = materialize(distinct_vectors(base, most), "vectors")
+    width = max(1, nodes.select(F.max(F.size("v"))).first()[0] or 0)
+    pivots = choose_pivots(nodes, n_pivots, pivot_sample, width)
     if not len(pivots):
         return base.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0).cast("long").alias("score")).where(F.lit(False))
 
+    # A query id with several vectors leaves its id out in the search itself (_m, _x).
+    asked = base.where(F.col("vec_id") % query_every == 0).select("vec_id", "_a", "_b").distinct()
+    several = asked.groupBy("vec_id").agg(F.count("*").alias("_several")).where("_several > 1")
+    bar = F.col("_several").isNotNull()
+    asked = materialize(asked.join(several, "vec_id", "left").select("vec_id", "_a", "_b", bar.alias("_m"), F.when(bar, F.col("vec_id")).otherwise(F.lit(0)).alias("_x")), "queries")
+    by_node = materialize(asked.groupBy("_a", "_b", "_m", "_x").agg(F.count("*").alias("_n")), "query-nodes")
+
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             far = distances(matrix(batch.column("v"), width), pivots)
             cell = far.argmin(1)
-            yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(far[np.arange(len(cell)), cell]), batch.column("vec_id"), batch.column("v")], ["cell", "near", "vec_id", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(far[np.arange(len(cell)), cell]), *batch.columns], ["cell", "near", *batch.schema.names])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, seq = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for a in range(0, len(batch), block_rows):
-                part = batch.slice(a, block_rows)
-                ids, x = part.column("vec_id").to_numpy(), matrix(part.column("v"), width)
-                far, sq = distances(x, pivots), (x**2).sum(1)
-                qs = np.flatnonzero(ids % query_every == 0)
-                floors = np.full(len(qs), -np.inf)
-                if len(qs) and len(ids) > k:
-                    scores = products(x[qs], x).astype(np.float64)
-                    scores[ids[qs][:, None] == ids[None, :]] = -np.inf
-                    floors = np.sort(scores, axis=1)[:, -k]
-                own = {
-                    "block": [0], "n": [len(ids)], "ids": [ids.astype("<i8").tobytes()], "data": [raw(x)], "far": [far.astype("<f8").tobytes()],
-                    "lo": [far.min(0)], "hi": [far.max(0)], "sq_hi": [sq.max()], "nq": [len(qs)], "qi": [ids[qs].astype("<i8").tobytes()], "qd": [raw(x[qs])], "qf": [far[qs].astype("<f8").tobytes()], "q_floor": [floors.astype("<f8").tobytes()],
-                    "q_lo": [far[qs].min(0) if len(qs) else None], "q_hi": [far[qs].max(0) if len(qs) else None], "q_sq_hi": [sq[qs].max() if len(qs) else None], "q_min": [floors.min() if len(qs) else None],
-                }
-                yield pa.RecordBatch.from_pydict(own, schema=arrow_schema)
-
-    arrow_schema = pa.schema([
-        ("block", pa.int64()), ("n", pa.int32()), ("ids", pa.binary()), ("data", pa.binary()), ("far", pa.binary()), ("lo", pa.list_(pa.float64())), ("hi", pa.list_(pa.float64())), ("sq_hi", pa.float64()),
-        ("nq", pa.int32()), ("qi", pa.binary()), ("qd", pa.binary()), ("qf", pa.binary()), ("q_floor", pa.binary()), ("q_lo", pa.list_(pa.float64())), ("q_hi", pa.list_(pa.float64())), ("q_sq_hi", pa.float64()), ("q_min", pa.float64()),
-    ])
-    placed = base.mapInArrow(place, "cell int, near double, vec_id long, v array<double>")
-    ordered = placed.repartitionByRange("cell", "near", "vec_id").sortWithinPartitions("cell", "near", "vec_id")
-    blocks = materialize(ordered.mapInArrow(pack, PACKED).withColumn("block", F.expr("uuid()")), "pivot-blocks")
-
-    # Pairs of block summaries: queries (a stated set) against all rows, in blocks of block_rows.
-    left = blocks.where("nq > 0").select(F.col("block").alias("qb"), "q_lo", "q_hi", "q_sq_hi", "q_min")
-    right = blocks.select(F.col("block").alias("xb"), "lo", "hi", "sq_hi")
-    gap = f"array_max(transform(sequence(0, size(lo) - 1), i -> greatest(0D, greatest(q_lo[i] - hi[i], lo[i] - q_hi[i]) - {FAR_SLACK} * (q_hi[i] + hi[i]))))"
-    pairs = left.join(right, F.expr(f"((q_sq_hi + sq_hi) * {1 + SLACK} - pow({gap} * {1 - SLACK}, 2)) / 2 + 1 >= q_min")).select("qb", "xb")
-    # Blocks are dealt into a grid of cells: a cell holds about q_blocks blocks of queries and x_blocks
-    # blocks of candidates, so a block moves once a cell and a query keeps its best through a cell.
-    n_blocks = blocks.count()
-    group = lambda c, size: F.pmod(F.xxhash64(c), F.lit(-(-n_blocks // size))).cast("int")
-    cells = pairs.select(group("qb", q_blocks).alias("qg"), group("xb", x_blocks).alias("xg")).distinct()
-    cells = materialize(cells, "cells")
+            cell = batch.column("cell").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(cell)) + 1).tolist(), len(cell)]
+            for lo, hi in zip(cuts, cuts[1:]):  # a block lies in one cell
+                for a in range(lo, hi, block_rows):
+                    own = {"part": number, "seq": seq} | pack_block(batch.slice(a, min(block_rows, hi - a)), pivots, most)
+                    yield pa.RecordBatch.from_pylist([own], schema=BLOCK)
+                    seq += 1
+
+    columns = ["_q", "_a", "_b", "_m", "_x", "v", "_ids"]
+    candidates = nodes.select(F.lit(False).alias("_q"), "_a", "_b", F.lit(False).alias("_m"), F.lit(0).cast("long").alias("_x"), "v", "_ids")
+    queries = by_node.join(nodes.select("_a", "_b", "v"), ["_a", "_b"]).select(F.lit(True).alias("_q"), "_a", "_b", "_m", F.col("_x").cast("long").alias("_x"), "v", F.lit(None).cast(nodes.schema["_ids"].dataType).alias("_ids"))
+    kinds = {f.name: f.dataType.simpleString() for f in candidates.schema}
+    placed = candidates.unionByName(queries).mapInArrow(place, "cell int, near double, " + ", ".join(f"{c} {kinds[c]}" for c in columns))
+    order = ["cell", "near", "_a", "_b", "_q", "_x"]
+    blocks = materialize(placed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(pack, PACKED), "pivot-blocks")
+
+    # Blocks number through all partitions, so that neighbours can share a cell of the grid: one row a partition in the window.
+    sizes = blocks.groupBy("part").agg(F.count("*").alias("_c"))
+    before = sizes.select("part", (F.sum("_c").over(Window.orderBy("part")) - F.col("_c")).alias("_before"))
+    numbered = blocks.select("part", "seq", "n", "nq").join(before, "part").withColumn("_no", F.col("_before") + F.col("seq"))
+    group = lambda size: F.floor(F.col("_no") / F.lit(size)).cast("long")
+    q_group = numbered.where("nq > 0").select(F.col("part").alias("qp"), F.col("seq").alias("qs"), group(q_blocks).alias("qg"))
+    x_group = numbered.where("n > 0").select(F.col("part").alias("xp"), F.col("seq").alias("xs"), group(x_blocks).alias("xg"))
+    cells = materialize(block_pairs(blocks, bins).join(q_group, ["qp", "qs"]).join(x_group, ["xp", "xs"]).select("qg", "xg").distinct(), "cells")
     n_cells = max(1, min(cells.count(), 20_000))
-    q_side = blocks.where("nq > 0").select(group("block", q_blocks).alias("qg"), "nq", "qi", "qd", "qf", "q_floor").join(cells, "qg").repartition(n_cells, "qg", "xg")
-    x_side = blocks.select(group("block", x_blocks).alias("xg"), "n", "ids", "data", "far").join(cells, "xg").repartition(n_cells, "qg", "xg")
+    q_keys = q_group.join(cells, "qg").select("qp", "qs", "qg", "xg")
+    x_keys = x_group.join(cells, "xg").select("xp", "xs", "qg", "xg")
+    q_rows = blocks.where("nq > 0").select(F.col("part").alias("qp"), F.col("seq").alias("qs"), "nq", "qkey", "qd", "qf", "q_floor")
+    x_rows = blocks.where("n > 0").select(F.col("part").alias("xp"), F.col("seq").alias("xs"), "n", "data", "far", "held", "ids", "times")
+    q_side = q_rows.join(q_keys, ["qp", "qs"]).drop("qp", "qs").repartition(n_cells, "qg", "xg")
+    x_side = x_rows.join(x_keys, ["xp", "xs"]).drop("xp", "xs").repartition(n_cells, "qg", "xg")
     n_far = len(pivots)
 
     def meet(queries: pa.Table, candidates: pa.Table) -> pa.Table:
-        held = []
+        held, starts, ids, times = [], [np.zeros(1, np.int64)], [], []
+        at = total = 0
         for r in candidates.to_batches():
             for i in range(len(r)):
-                n = r.column("n")[i].as_py()
-                held.append((np.frombuffer(r.column("ids")[i].as_buffer(), "<i8"), components_of(r.column("data")[i], n, width), np.frombuffer(r.column("far")[i].as_buffer(), "<f8").reshape(n, n_far)))
-        out = []
+                n, read = r.column("n")[i].as_py(), lambda c, kind: np.frombuffer(r.column(c)[i].as_buffer(), kind)  # noqa: B023
+                own, mine = read("held", "<i4").astype(np.int64), read("ids", "<i8")
+                ends = np.cumsum(own)
+                two = np.where(own > 1, mine[np.minimum(ends - own + 1, len(mine) - 1)], NONE)
+                held.append({"v": components_of(r.column("data")[i], n, width), "far": read("far", "<f8").reshape(n, n_far), "one": mine[ends - own], "two": two, "at": at})
+                starts.append(ends + total)
+                ids.append(mine)
+                times.append(read("times", "<i8"))
+                at, total = at + n, total + len(mine)
+        edges = np.concatenate(starts)
+        ids, times = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (ids, times))
+        out = {name: [] for name in ("_a", "_b", "_m", "_x", "score", "id", "ref")}
         for r in queries.to_batches():
             for i in range(len(r)):
-                n = r.column("nq")[i].as_py()
-                q_ids, q, q_far = np.frombuffer(r.column("qi")[i].as_buffer(), "<i8"), components_of(r.column("qd")[i], n, width), np.frombuffer(r.column("qf")[i].as_buffer(), "<f8").reshape(n, n_far)
-                kth = np.frombuffer(r.column("q_floor")[i].as_buffer(), "<f8").copy()
-                top, top_ids = np.full((n, k), NONE), np.zeros((n, k), np.int64)
-                for x_ids, x, x_far in held:
-                    search(q_ids, q, q_far, x_ids, x, x_far, top, top_ids, kth)
-                row, place = np.nonzero(top != NONE)
-                out.append((q_ids[row], top_ids[row, place], top[row, place]))
-        return pa.table({name: np.concatenate([o[j] for o in out]) if out else np.zeros(0, np.int64) for j, name in enumerate(("query_id", "vec_id", "score"))})
-
-    met = q_side.groupBy("qg", "xg").cogroup(x_side.groupBy("qg", "xg")).applyInArrow(meet, "query_id long, vec_id long, score long")
+                n, keys = r.column("nq")[i].as_py(), np.frombuffer(r.column("qkey")[i].as_buffer(), QKEY)
+                q = {"v": components_of(r.column("qd")[i], n, width), "far": np.frombuffer(r.column("qf")[i].as_buffer(), "<f8").reshape(n, n_far), "out": keys["out"], "bar": keys["bar"]}
+                best = {"score": np.full((n, most), NONE), "id": np.zeros((n, most), np.int64), "ref": np.zeros((n, most), np.int64), "kth": np.frombuffer(r.column("q_floor")[i].as_buffer(), "<f8").copy()}
+                for x in held:
+                    search(q, x, best)
+                row, place = np.nonzero(best["score"] != NONE)
+                for name, column in (("_a", "a"), ("_b", "b"), ("_m", "bar"), ("_x", "out")):
+                    out[name].append(keys[column][row])
+                for name in ("score", "id", "ref"):
+                    out[name].append(best[name][row, place])
+        got = {name: np.concatenate(x) if x else np.zeros(0, bool if name == "_m" else np.int64) for name, x in out.items()}
+        ref = got.pop("ref")
+        own = edges[ref + 1] - edges[ref] if len(ref) else np.zeros(0, np.int64)
+        flat = np.repeat(edges[ref] - (np.cumsum(own) - own), own) + np.arange(own.sum()) if len(ref) else np.zeros(0, np.int64)
+        ends = pa.array(np.concatenate([[0], np.cumsum(own)]).astype(np.int32))
+        return pa.table(got | {"ids": pa.ListArray.from_arrays(ends, pa.array(ids[flat])), "times": pa.ListArray.from_arrays(ends, pa.array(times[flat]))})
+
+    schema = "_a long, _b long, _m boolean, _x long, score long, id long, ids array<long>, times array<long>"
+    met = q_side.groupBy("qg", "xg").cogroup(x_side.groupBy("qg", "xg")).applyInArrow(meet, schema)
+    key = ["_a", "_b", "_m", "_x"]
+    leading = met.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy(F.col("score").desc(), "id"))).where(F.col("_r") <= most)
+    tops = leading.groupBy(*key).agg(F.collect_list(F.struct("score", "ids", "times")).alias("_tops")).join(by_node, key)  # at most k + 1
+    found = join_counted(asked, materialize(tops, "query-tops"), key, most=512)
+    return ranked(found, k)
+
+
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score from queries with the ids and scores of their best nodes."""
+    pairs = F.flatten(F.transform("_tops", lambda t: F.transform(F.arrays_zip(t["ids"], t["times"]), lambda e: F.struct((-t["score"]).alias("s"), e["ids"].alias("i"), e["times"].alias("n")))))
+    best: Column = F.slice(F.array_sort(F.filter(pairs, lambda e: e["i"] != F.col("vec_id"))), 1, k)
+    rows = found.select(F.col("vec_id").alias("query_id"), F.explode(best).alias("e")).select("query_id", F.col("e.i").alias("vec_id"), (-F.col("e.s")).alias("score"), F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.col("e.n"), F.lit(k)))).alias("_copy"))
     by = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return met.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return rows.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
