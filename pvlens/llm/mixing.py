@@ -20,7 +20,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, max_repeats: float = 2.0) -> DataFrame:
-    """source, source_size, weight, target from (source, source_size), one row a source.
+    """source, source_size, turn, weight, target from (source, source_size), one row a source.
 
     Sources in code-point order, null last, take the weights in turn. The level L with
     sum(min(L * weight, cap)) = share * total is found by sorting sources by cap / weight: the
@@ -29,7 +29,7 @@ def targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float
     """
     order = Window.orderBy(F.col("source").asc_nulls_last())
     turn = F.pmod(F.row_number().over(order) - 1, F.lit(len(weights)))
-    ranked = sizes.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (turn + 1).cast("int")))
+    ranked = sizes.withColumn("turn", turn).withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (turn + 1).cast("int")))
     ranked = ranked.withColumn("_cap", F.col("source_size") * F.lit(float(max_repeats))).withColumn("_ratio", F.col("_cap") / F.col("weight"))
     full = Window.orderBy("_ratio", F.col("source").asc_nulls_last())
     every = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -39,7 +39,7 @@ def targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float
     level = ranked.withColumn("_level", (demand - before) / rest).withColumn("_fits", F.col("_level") <= F.col("_ratio"))
     found = F.min(F.when(F.col("_fits"), F.struct("_ratio", "_level"))).over(every)["_level"]
     target = F.when(F.col("_cap") <= 0, F.lit(0.0)).when(found.isNull(), F.col("_cap")).otherwise(F.least(found * F.col("weight"), F.col("_cap")))
-    return level.select("source", "source_size", "weight", target.alias("target"))
+    return level.select("source", "source_size", "turn", "weight", target.alias("target"))
 
 
 def due(consumed: Column, target: Column, tilt: Column) -> Column:
@@ -49,9 +49,11 @@ def due(consumed: Column, target: Column, tilt: Column) -> Column:
     return F.when(root > 0, F.least(F.lit(1.0), 2 * u / root)).otherwise(F.lit(0.0))
 
 
-def curriculum(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, max_repeats: int = 2, tilts: Sequence[float] = (-0.5, 0.0, 0.5), rows_per_bucket: int = 1 << 16, seed: int = 0, keep: Sequence[str] = ()) -> DataFrame:
+def curriculum(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, max_repeats: int = 2, tilts: Sequence[float] = (-0.5, 0.0, 0.5), rows_per_bucket: int = 1 << 13, seed: int = 0, keep: Sequence[str] = ()) -> DataFrame:
     """One row a document: doc_id, source, size, source_size, target, taken, takes, kept columns.
 
+    Sources take weights and tilts in turn.
+
     takes: array of (pass, words, position), one for each pass that uses the document; taken
     is the sum of its words. A source takes round(target) words exactly: the document across
     the target is taken in part. Null texts and texts without words have size 0 and take
@@ -72,19 +74,16 @@ def curriculum(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: flo
     before = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     shifted = totals.select("source", "_bucket", F.coalesce(F.sum("_words").over(before), F.lit(0)).alias("_shift"))
     goal = targets(totals.groupBy("source").agg(F.sum("_words").alias("source_size")), weights, share, max_repeats)
-    plan = shifted.alias("a").join(goal.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select("a.*", "b.source_size", "b.weight", "b.target")
+    plan = shifted.alias("a").join(goal.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select("a.*", "b.source_size", "b.turn", "b.target")
     tie = [c for c in ("doc_id", "size", *[k for k in keep if k == "text"])]
     inside = Window.partitionBy("source", "_bucket").orderBy("_order", *tie).rowsBetween(Window.unboundedPreceding, -1)
     queued = sized.withColumn("_inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     joined = (
         queued.alias("q")
         .join(plan.alias("p"), F.col("q.source").eqNullSafe(F.col("p.source")) & (F.col("q._bucket") == F.col("p._bucket")))
-        .select("q.*", "p.source_size", "p.weight", "p.target", (F.col("_shift") + F.col("_inner")).alias("_at"))
+        .select("q.*", "p.source_size", "p.turn", "p.target", (F.col("_shift") + F.col("_inner")).alias("_at"))
     )
-    pairs = [(float(w), float(t)) for w, t in zip(weights, tilts)]
-    tilt = F.lit(0.0)
-    for w, t in pairs:
-        tilt = F.when(F.col("weight") == w, F.lit(t)).otherwise(tilt)
+    tilt = F.element_at(F.array(*[F.lit(float(t)) for t in tilts]), (F.pmod(F.col("turn"), F.lit(len(tilts))) + 1).cast("int"))
     goal_words = F.round("target").cast("long")
     takes = []
     for p in range(max_repeats):

@@ -286,8 +286,8 @@ def text_key(text: Column) -> Column:
     return F.substring(F.unhex(F.sha2(F.encode(text, "UTF-8"), 256)), 1, 16)
 
 
-def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, bands: int = 25, rows: int = 5, small_bucket: int = 32, block_rows: int = 128) -> DataFrame:
-    """doc_id, class_id, kept for every row: class_id is the smallest doc_id of the group, whose text stays.
+def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, bands: int = 25, rows: int = 5, small_bucket: int = 32, block_rows: int = 128, with_key: bool = False) -> DataFrame:
+    """doc_id, class_id, kept (and text_key, if asked for) for every row: class_id is the smallest doc_id of the group, whose text stays.
 
     Groups are the connected components of texts with weighted Jaccard similarity of five-word
     shingles of at least `threshold`; equal texts are one node, so copies are never paired.
@@ -337,4 +337,5 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, bands: int =
     classed = materialize(classed.select("_node", "_best", F.col("_rows").alias("_n")), "classed")
     out = join_counted(named.select("_id", "_node"), classed, ["_node"])
     best = F.col("_best._least._id")
-    return out.select(F.col("_id").alias("doc_id"), best.alias("class_id"), ((F.col("_node") == F.col("_best._node")) & F.col("_id").eqNullSafe(best)).alias("kept"))
+    kept = (F.col("_node") == F.col("_best._node")) & F.col("_id").eqNullSafe(best)
+    return out.select(F.col("_id").alias("doc_id"), best.alias("class_id"), kept.alias("kept"), *[F.col("_node").alias("text_key")] * with_key)

@@ -61,9 +61,12 @@ def _fields(data: memoryview) -> Iterator[tuple[int, object]]:
             at += 8
 
 
-def read_model(path: str) -> tuple[list[tuple[str, float, int]], bool]:
-    """(piece, log score, type) of every id, and whether a marker goes in front of the text."""
-    pieces, prefix, ranked = [], True, False
+def read_model(path: str) -> tuple[list[tuple[str, float, int]], bool, bool]:
+    """(piece, log score, type) of every id; whether a marker goes in front; whether extra blanks go.
+
+    A model that maps characters before encoding (NFKC and the like) is refused.
+    """
+    pieces, prefix, squeeze, ranked = [], True, True, False
     with open(path, "rb") as f:
         data = memoryview(f.read())
     for field, value in _fields(data):
@@ -73,10 +76,13 @@ def read_model(path: str) -> tuple[list[tuple[str, float, int]], bool]:
         elif field == 2:
             ranked = dict(_fields(value)).get(3, 1) == 2  # the type of the model: BPE
         elif field == 3:
-            prefix = bool(dict(_fields(value)).get(3, 1))
+            rules = dict(_fields(value))
+            prefix, squeeze = bool(rules.get(3, 1)), bool(rules.get(4, 1))
+            if len(rules.get(2, b"")):
+                raise ValueError("the model normalises characters, which is not built here")
     if ranked:
         pieces = [(p, -math.log(2 - s), t) for p, s, t in pieces]
-    return pieces, prefix
+    return pieces, prefix, squeeze
 
 
 def double_array(words: list[tuple[bytes, int]]) -> tuple[array, array, array]:
@@ -134,11 +140,12 @@ class Model:
     pieces: list[bytes]
     types: bytes
     prefix: bool
+    squeeze: bool = False
     limit: int = 500_000
 
     @classmethod
     def load(cls, path: str) -> Model:
-        rows, prefix = read_model(path)
+        rows, prefix, squeeze = read_model(path)
         usable = [(p.encode(), i) for i, (p, _, t) in enumerate(rows) if t in (NORMAL, USER) and p]
         if any(MARK in p.lstrip(MARK) for p, _, t in rows if t in (NORMAL, USER)):
             raise ValueError("a piece holds a marker after another character; words cannot be solved alone")
@@ -152,7 +159,7 @@ class Model:
         top = max((s for _, s, t in rows if t == NORMAL), default=0.0)
         scores = array("d", [len(p) * top - 0.1 if t == USER else s for p, s, t in rows])
         spoken = [bytes([int(p[1:-1], 16)]) if t == BYTE else p.replace(MARK, " ").encode() if t in (NORMAL, USER) else b"" for p, _, t in rows]
-        return cls(base, check, value, scores, bytes_at, spoken, bytes(t for _, _, t in rows), prefix)
+        return cls(base, check, value, scores, bytes_at, spoken, bytes(t for _, _, t in rows), prefix, squeeze)
 
     @property
     def lowest(self) -> float:
@@ -203,6 +210,8 @@ class Model:
         return self.__dict__["_low"]
 
     def encode(self, text: str) -> list[int]:
+        if self.squeeze:
+            text = re.sub(" +", " ", text.strip(" "))
         if not text:
             return []
         memory = self.__dict__.setdefault("_memory", {})
@@ -244,7 +253,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool =
 
     ids_crc32 is over the ids as little-endian 32-bit integers; decoded_sha256 is of the text
     that the ids decode to; round_trip says whether that is the text itself (a text holding the
-    marker U+2581 decodes to blanks). Null and empty texts have no ids. Repeated rows are
+    marker U+2581 decodes to blanks, and a model may drop extra blanks). Null and empty texts have no ids. Repeated rows are
     encoded as often as they come; other columns are ignored.
     """
     import hashlib

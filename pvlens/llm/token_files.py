@@ -8,7 +8,8 @@ text writer, through which the bytes reach any file system that Spark can write)
     frames (a zstd frame a document, over its ids as little-endian integers),
     index (doc_id i64, null u8, offset u64, length u32, ids u32 for each document).
 
-A document is reached by its index entry alone, without reading its neighbours.
+A document is reached by its index entry alone, without reading its neighbours. A file holds at
+most `file_segments` segments, so that a reader's memory does not grow with the table.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import smallest_hashes
+
 MAGIC = b"PVTI0001"
 HEAD = struct.Struct("<8sQIIIBQ32s")
 ENTRY = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("length", "<u4"), ("ids", "<u4")])
@@ -139,7 +142,8 @@ def train_dictionary(docs: DataFrame, path: str, sample_docs: int = 1000, max_ch
     smallest hashes: long documents do not need a dictionary. Empty where nothing can be learned.
     """
     order = F.xxhash64(F.col("doc_id").cast("long"), F.lit("dictionary"))
-    rows = docs.where(F.length("text").between(1, max_chars)).select("text", order.alias("_o")).orderBy("_o", "text").limit(sample_docs)
+    rows = smallest_hashes(docs, order, sample_docs).where(F.length("text").between(1, max_chars))
+    rows = rows.select("text", order.alias("_o")).orderBy("_o", "text").limit(sample_docs)
     samples = encoder(path).encode([r.text for r in rows.collect()])
     if not samples:
         return b""
@@ -176,11 +180,12 @@ def segments(content: bytes) -> Iterator[tuple[dict, np.ndarray, memoryview]]:
         at += total + 1
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int | None = 2, segment_bytes: int = 4 << 20, level: int = 3) -> None:
+def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int | None = 2, segment_bytes: int = 4 << 20, level: int = 3, file_segments: int = 16) -> None:
     """Write `folder`/dictionary and `folder`/ids, documents in ascending doc_id order, nulls first.
 
-    A null text is empty; a repeated doc_id is written as often as it comes, ordered by text.
-    Files hold what their range of ids holds; a segment ends at `segment_bytes`.
+    A null text is empty; a repeated doc_id is written as often as it comes, ordered by its
+    text's hash. Parts hold what their range of (id, hash, place in the scan) holds, so rows of
+    one id spread over parts too; a segment ends at `segment_bytes`, a file after `file_segments`.
     """
     path = vocabulary(tokenizer)
     dictionary = train_dictionary(docs, path)
@@ -208,8 +213,10 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None
         if rows:
             yield emit()
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(run, "b binary").select(F.col("b").cast("string")).write.text(f"{folder}/ids")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_h"), F.monotonically_increasing_id().alias("_at"))
+    order = ["doc_id", "_h", "_at"]
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
+    ordered.mapInArrow(run, "b binary").select(F.col("b").cast("string")).write.option("maxRecordsPerFile", file_segments).text(f"{folder}/ids")
 
 
 def read_dictionary(spark: SparkSession, folder: str) -> bytes:

@@ -194,10 +194,11 @@ def test_token_files(spark, docs, rows, tmp_path, empty):
     from tokenizers import Tokenizer
 
     folder = f"file://{tmp_path}/t"
-    token_files.write_token_files(docs, folder, segment_bytes=2000)
+    token_files.write_token_files(docs, folder, segment_bytes=2000, file_segments=2)
     got = sorted(token_files.read_token_files(spark, folder, with_ids=True).collect(), key=lambda r: r.start)
     own = Tokenizer.from_file(token_files.vocabulary(None))
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode()))
+    hashed = {r.text: r.h for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashed[r[1]]))
     at = 0
     for r, (i, t, *_) in zip(got, order, strict=True):
         ids = [*own.encode(t or "", add_special_tokens=False).ids, 2]
@@ -239,8 +240,33 @@ def test_toxicity(spark, empty):
     assert all(got[i].predicted == 0 for i in range(120)) and all(got[i].predicted == 1 for i in range(120, 180))
     assert got[999].predicted == got[998].predicted == 0
     assert toxicity.score_documents(empty, labels).count() == 0
-    alone = {r.doc_id: r.predicted for r in toxicity.score_documents(docs, labels.where("doc_id < 0")).collect()}
-    assert alone[130] == 1 and alone[5] == 0
+    alone = toxicity.score_documents(docs, labels.where("doc_id < 0")).collect()
+    assert len(alone) == 182 and all(r.predicted == 0 for r in alone)
+
+
+def test_label_model_counts_voters_that_repeat_each_other_once():
+    rng = np.random.default_rng(5)
+    n = 6000
+    truth = rng.random(n) < 0.3
+    hears = lambda hit, false: (np.where(truth, rng.random(n) < hit, rng.random(n) < false)).astype(int)
+    first = hears(0.7, 0.2)
+    votes = np.column_stack([first, first, first, hears(0.8, 0.1), hears(0.6, 0.05)])
+    gold = np.where(rng.random(n) < 0.05, ~truth, truth).astype(int)
+    model = toxicity.fit_label_model(votes, gold)
+    linked = {frozenset((j, int(p))) for j, p in enumerate(model.parent) if p >= 0}
+    assert len(linked & {frozenset(x) for x in ((0, 1), (0, 2), (1, 2))}) == 2
+    soft = model.posterior(np.column_stack([votes, gold]))
+    only = (first == 1) & (votes[:, 3] == 0) & (votes[:, 4] == 0) & (gold == 0)
+    assert abs(soft[only].mean() - truth[only].mean()) < 0.05  # three echoes of one voter are one voter
+
+
+def test_held_out_labels(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    got = toxicity.score_documents(docs, labels).join(labels, "doc_id").where("held_out").groupBy("toxic", "predicted").count().collect()
+    n = {(r.toxic, r.predicted): r["count"] for r in got}
+    assert n.get((0, 1), 0) == 0  # clean documents are left alone
+    assert n[1, 1] / (n[1, 1] + n.get((1, 0), 0)) >= 0.6
 
 
 def test_topk_ties_and_large_values(spark):
