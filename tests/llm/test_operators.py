@@ -72,7 +72,7 @@ def test_substring(docs, rows, empty):
     assert substring_dedup.remove_repeats(empty).count() == 0
 
 
-def brute_classes(rows):
+def brute_roots(rows):
     sets = []
     for r in rows:
         t = (r[1] or "").encode().split()
@@ -90,10 +90,14 @@ def brute_classes(rows):
             both = sum((sets[i] | sets[j]).values())
             if (rows[i][1] or "") == (rows[j][1] or "") or both and sum((sets[i] & sets[j]).values()) / both >= 0.8:
                 part[find(i)] = find(j)
-    low = {}
-    for i, r in enumerate(rows):
-        low.setdefault(find(i), []).append(r[0])
-    return [(r[0], min((x for x in low[find(i)] if x is not None), default=None)) for i, r in enumerate(rows)]
+    return [find(i) for i in range(len(rows))]
+
+
+def brute_classes(rows):
+    low, roots = {}, brute_roots(rows)
+    for root, r in zip(roots, rows):
+        low.setdefault(root, []).append(r[0])
+    return [(r[0], min((x for x in low[root] if x is not None), default=None)) for root, r in zip(roots, rows)]
 
 
 @pytest.mark.parametrize("small_bucket", [32, 2])

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 from test_line_dedup import brute
-from test_operators import brute_classes, words
+from test_operators import brute_roots, words
 
 import corpus_pipeline
 from pvlens.llm import toxicity
@@ -77,8 +77,8 @@ def test_lines_of_earlier_documents_go(stages):
 def test_one_of_each_group_stays(stages):
     given, got = stages["near_dedup"]
     classes = collections.defaultdict(set)
-    for r, (_, c) in zip(given, brute_classes([(r.doc_id, r.text) for r in given])):
-        classes[c if c is not None else r.text].add((r.doc_id, r.text))
+    for r, root in zip(given, brute_roots([(r.doc_id, r.text) for r in given])):
+        classes[root].add((r.doc_id, r.text))
     assert len(got) == len(classes)
     for own in classes.values():
         least = min((x for x in own), key=lambda x: (x[0] is None, x[0] or 0))
