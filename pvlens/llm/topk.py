@@ -62,12 +62,12 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip(exact(a) @ exact(b).T, NONE + 1, -NONE).astype(np.int64)
 
 
-def choose_pivots(vectors: DataFrame, n: int, sample: int, dim: int) -> np.ndarray:
-    """Farthest-first pivots among the `sample` vectors with the smallest hashes (a bounded sample)."""
+def choose_pivots(vectors: DataFrame, n: int, sample: int, dim: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Farthest-first pivots among the `sample` vectors with the smallest hashes (a bounded sample); the sample and how many ids hold each."""
     order = F.xxhash64("_a", F.lit("pivot"))
-    rows = smallest_hashes(vectors.select("_a", "_b", "v"), order, sample).orderBy(order, "_b").limit(sample).collect()
+    rows = smallest_hashes(vectors.select("_a", "_b", "v", F.size("_ids").alias("held")), order, sample).orderBy(order, "_b").limit(sample).collect()
     if not rows:
-        return np.zeros((0, max(1, dim)))
+        return np.zeros((0, max(1, dim))), np.zeros((0, max(1, dim))), np.zeros(0, np.int64)
     own = np.zeros((len(rows), max(1, dim)))
     for i, r in enumerate(rows):
         own[i, : len(r.v)] = r.v
@@ -76,7 +76,7 @@ def choose_pivots(vectors: DataFrame, n: int, sample: int, dim: int) -> np.ndarr
     while len(chosen) < min(n, len(rows)):
         chosen.append(int(far.argmax()))
         far = np.minimum(far, ((own - own[chosen[-1]]) ** 2).sum(1))
-    return own[chosen]
+    return own[chosen], own, np.array([r.held for r in rows])
 
 
 def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -156,8 +156,23 @@ PACKED = "part int, seq int, cell int, n int, near_lo double, near_hi double, da
 QKEY = np.dtype([("a", "<i8"), ("b", "<i8"), ("out", "<i8"), ("bar", "?")])
 
 
-def pack_block(part: pa.RecordBatch, pivots: np.ndarray, k: int) -> dict:
-    """Columns of one block from its sorted rows: candidates (_q false) and queries."""
+def floors_of(q: np.ndarray, bar: np.ndarray, x: np.ndarray, held: np.ndarray, k: int) -> np.ndarray:
+    """Scores that the k-th best of each query reaches among the candidates x, each with its number of ids."""
+    floors = np.full(len(q), -np.inf)
+    if len(x):
+        scores = products(q, x).astype(np.float64)
+        order = np.argsort(-scores, axis=1)
+        enough = np.cumsum(held[order] - bar[:, None], axis=1) >= k  # an id that does not count may be in each
+        sure = enough.any(1)
+        floors[sure] = np.take_along_axis(scores, order, 1)[sure, enough.argmax(1)[sure]]
+    return floors
+
+
+def pack_block(part: pa.RecordBatch, pivots: np.ndarray, sample: tuple[np.ndarray, np.ndarray], k: int) -> dict:
+    """Columns of one block from its sorted rows: candidates (_q false) and queries.
+
+    A query's first k-th score is the better one of its own block's and of the sample's.
+    """
     x, asks = matrix(part.column("v"), pivots.shape[1]), part.column("_q").to_numpy(zero_copy_only=False)
     far, sq, c, q = distances(x, pivots), (x**2).sum(1), np.flatnonzero(~asks), np.flatnonzero(asks)
     out = {"cell": part.column("cell")[0].as_py(), "n": len(c), "nq": len(q)}
@@ -171,13 +186,7 @@ def pack_block(part: pa.RecordBatch, pivots: np.ndarray, k: int) -> dict:
         keys = np.zeros(len(q), QKEY)
         for name, column in (("a", "_a"), ("b", "_b"), ("out", "_x"), ("bar", "_m")):
             keys[name] = part.column(column).to_numpy(zero_copy_only=False)[q]
-        floors = np.full(len(q), -np.inf)
-        if len(c):
-            scores = products(x[q], x[c]).astype(np.float64)
-            order = np.argsort(-scores, axis=1)
-            enough = np.cumsum(held[order] - keys["bar"][:, None], axis=1) >= k  # an id that does not count may be in each
-            sure = enough.any(1)
-            floors[sure] = np.take_along_axis(scores, order, 1)[sure, enough.argmax(1)[sure]]
+        floors = np.maximum(floors_of(x[q], keys["bar"], x[c], held, k), floors_of(x[q], keys["bar"], *sample, k))
         out |= {"qkey": keys.tobytes(), "qd": raw(x[q]), "qf": far[q].astype("<f8").tobytes(), "q_floor": floors.astype("<f8").tobytes(), "q_lo": far[q].min(0), "q_hi": far[q].max(0), "q_sq_hi": sq[q].max(), "q_min": floors.min()}
     return out
 
@@ -218,7 +227,7 @@ def exact_topk(vectors: DataFrame, k: int = 20, query_every: int = 20, n_pivots:
     most = k + 1  # one of them may be the query's own id
     nodes = materialize(distinct_vectors(base, most), "vectors")
     width = max(1, nodes.select(F.max(F.size("v"))).first()[0] or 0)
-    pivots = choose_pivots(nodes, n_pivots, pivot_sample, width)
+    pivots, *sample = choose_pivots(nodes, n_pivots, pivot_sample, width)
     if not len(pivots):
         return base.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0).cast("long").alias("score")).where(F.lit(False))
 
@@ -242,7 +251,7 @@ def exact_topk(vectors: DataFrame, k: int = 20, query_every: int = 20, n_pivots:
             cuts = [0, *(np.flatnonzero(np.diff(cell)) + 1).tolist(), len(cell)]
             for lo, hi in zip(cuts, cuts[1:]):  # a block lies in one cell
                 for a in range(lo, hi, block_rows):
-                    own = {"part": number, "seq": seq} | pack_block(batch.slice(a, min(block_rows, hi - a)), pivots, most)
+                    own = {"part": number, "seq": seq} | pack_block(batch.slice(a, min(block_rows, hi - a)), pivots, sample, most)
                     yield pa.RecordBatch.from_pylist([own], schema=BLOCK)
                     seq += 1
 

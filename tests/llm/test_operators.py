@@ -273,6 +273,21 @@ def test_held_out_labels(spark):
     assert n[1, 1] / (n[1, 1] + n.get((1, 0), 0)) >= 0.6
 
 
+def test_topk_shared_vectors_and_repeated_ids(spark):
+    """A vector of a third of all rows, ids with several vectors, rows that repeat."""
+    rng = np.random.default_rng(12)
+    x = [[float(v) for v in r] for r in rng.normal(size=(200, 4)).round(1)]
+    rows = [(i, x[0] if i % 3 == 0 else x[i]) for i in range(200)] + [(20, x[5]), (20, x[0]), (40, x[1]), (40, x[1]), (7, x[1]), (7, x[1])]
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.exact_topk(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=5, block_rows=8, q_blocks=2, x_blocks=2).collect())
+    whole = [(i, [int(np.floor(64 * c)) for c in v]) for i, v in rows]
+    want = []
+    for q in {i for i, _ in whole if i % 20 == 0}:
+        own = {tuple(v) for i, v in whole if i == q}
+        found = sorted((-sum(a * b for a, b in zip(v, w)), i) for v in own for i, w in whole if i != q)
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(found[:5])]
+    assert got == sorted(want)
+
+
 def test_topk_ties_and_large_values(spark):
     rng = np.random.default_rng(8)
     x = [[0.5, 0.25, 0.0]] * 90 + [[float(v) for v in r] for r in rng.normal(size=(60, 3))] + [[3e7, -2e7, 1e6], [2e7, 1e7, -5e6]]
