@@ -31,10 +31,3 @@ def islands(df: DataFrame, starts: Column, w: WindowSpec, name: str = "island")
 def changed(c: Column, w: WindowSpec) -> Column:
     """True on the first row and where the value differs from the row before."""
     return (F.row_number().over(w) == 1) | ~c.eqNullSafe(F.lag(c).over(w))
-
-
-def average_rank(c: Column, partition: Sequence[str] = ()) -> Column:
-    """Rank with ties sharing their mean."""
-    w = Window.partitionBy(*partition).orderBy(c)
-    ties = Window.partitionBy(*partition, c)
-    return F.rank().over(w) + (F.count(F.lit(1)).over(ties) - 1) / 2

@@ -11,23 +11,26 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.windows import average_rank
+from ..functions.ordering import percentiles, with_group, with_ranks
 from .events import group_alert_events
 
 
+#: Rules are declared by hand; more than this many is a mistake.
+MOST_RULES = 1000
+
+
 def candidate_thresholds(scores: DataFrame, rules: Sequence[tuple[str, str, float]], score: str = "anomaly_score") -> DataFrame:
     """declared, rule, threshold of (name, "percentile" | "mad", value) rules.
 
     "mad" is the median plus `value` times the median absolute deviation. An empty table gives
-    null thresholds. Two passes, each ending in one row.
+    null thresholds. Percentiles come from the distribution of the scores.
     """
     if wrong := [kind for _, kind, _ in rules if kind not in ("percentile", "mad")]:
         raise ValueError(f"unknown threshold rule: {wrong[0]}")
-    s = F.col(score)
-    median = scores.agg(F.percentile(s, F.lit(0.5)).alias("_median"))
-    shares = [F.percentile(s, F.lit(v / 100)).alias(f"_p{i}") for i, (_, kind, v) in enumerate(rules) if kind == "percentile"]
-    deviation = F.percentile(F.abs(s - F.col("_median")), F.lit(0.5)).alias("_mad")
-    stats = scores.select(score).crossJoin(F.broadcast(median)).agg(F.max("_median").alias("_median"), deviation, *shares)  # one row
+    shares = {"_median": 0.5} | {f"_p{i}": v / 100 for i, (_, kind, v) in enumerate(rules) if kind == "percentile"}
+    found = percentiles(scores, score, shares)
+    apart = with_group(scores.select(score), found.select("_median"), ()).select(F.abs(F.col(score) - F.col("_median")).alias("_apart"))
+    stats = found.crossJoin(F.broadcast(percentiles(apart, "_apart", {"_mad": 0.5})))  # one row
     value = lambda i, kind, v: F.col(f"_p{i}") if kind == "percentile" else F.col("_median") + F.lit(float(v)) * F.col("_mad")
     rows = [F.struct(F.lit(i).alias("declared"), F.lit(name).alias("rule"), value(i, kind, v).alias("threshold")) for i, (name, kind, v) in enumerate(rules)]
     return stats.select(F.inline(F.array(*rows)))
@@ -42,12 +45,11 @@ def flag_summary(scored: DataFrame, candidates: DataFrame, ts: str = "Timestamp"
     light = F.coalesce(low_light, F.lit(False)) if low_light is not None else F.lit(False)
     odd = F.coalesce(extreme, F.lit(False)) if extreme is not None else F.lit(False)
     rows = scored.select(*by, ts, score, light.alias("_light"), odd.alias("_odd"))
-    flagged = rows.join(F.broadcast(candidates), F.col(score) > F.col("threshold"))
+    flagged = rows.join(F.broadcast(candidates.limit(MOST_RULES)), F.col(score) > F.col("threshold"))
     counts = flagged.groupBy("rule").agg(F.count("*").alias("flagged"), F.count_if("_light").alias("low_light_flagged"), F.count_if("_odd").alias("extreme_flagged"))
     runs = group_alert_events(flagged.withColumn("_status", F.lit("ALERT")), ts, score, "_status", ("rule", *by), gap_seconds)
-    lengths = runs.groupBy("rule").agg(
-        F.count("*").alias("events"), F.percentile("duration_minutes", F.lit(0.5)).alias("median_minutes"), F.max("duration_minutes").alias("maximum_minutes"), F.count_if(F.col("row_count") == 1).alias("isolated_events")
-    )
+    lengths = runs.groupBy("rule").agg(F.count("*").alias("events"), F.max("duration_minutes").alias("maximum_minutes"), F.count_if(F.col("row_count") == 1).alias("isolated_events"))
+    lengths = lengths.join(percentiles(runs, "duration_minutes", {"median_minutes": 0.5}, ["rule"]), "rule")
     total = scored.agg(F.count("*").alias("_n"))
     zero = ["flagged", "low_light_flagged", "extreme_flagged", "events", "maximum_minutes", "isolated_events"]
     out = candidates.join(counts, "rule", "left").join(lengths, "rule", "left").crossJoin(F.broadcast(total))  # one row
@@ -83,8 +85,9 @@ def variant_evidence(scores: DataFrame, n_features: dict[str, int], weights: tup
     odd = F.coalesce(extreme, F.lit(False)) if extreme is not None else F.lit(False)
     whole = scores.groupBy("variant").agg(
         F.avg(F.when(train, s)).alias("training_mean"), F.stddev_pop(F.when(train, s)).alias("training_std"), F.avg(F.when(cal, s)).alias("calibration_mean"),
-        F.percentile(F.when(train, s), F.array(F.lit(0.9), F.lit(0.99))).alias("_tail"), F.avg(F.when(cal, odd.cast("double"))).alias("extreme_fraction"),
+        F.avg(F.when(cal, odd.cast("double"))).alias("extreme_fraction"),
     )
+    whole = whole.join(percentiles(scores.where(train), "score", {"_p90": 0.9, "_p99": 0.99}, ["variant"]), "variant")
     contexts = scores.groupBy("variant", "context").agg((F.avg(F.when(cal, s)) - F.avg(F.when(train, s))).alias("_shift"))
     found = whole.join(contexts.groupBy("variant").agg(F.avg(F.abs("_shift")).alias("_context")), "variant")
     size = F.create_map(*[F.lit(x) for pair in n_features.items() for x in pair])[F.col("variant")]
@@ -93,7 +96,7 @@ def variant_evidence(scores: DataFrame, n_features: dict[str, int], weights: tup
     parts = [shift, F.try_divide("_context", "training_std"), F.coalesce("extreme_fraction", F.lit(0.0)), (size - compact[0]) / F.lit(float(compact[1] - compact[0]))]
     names = ["shift_z", "context_shift_z", "extreme_fraction", "compactness"]
     objective = sum(p * F.lit(float(w)) for p, w in zip(parts, weights))
-    eligible = (F.col("training_std") >= least_std) & (F.col("_tail")[1] - F.col("_tail")[0] >= least_tail)
+    eligible = (F.col("training_std") >= least_std) & (F.col("_p99") - F.col("_p90") >= least_tail)
     return found.select("variant", place.alias("declared"), size.alias("n_features"), *(p.alias(n) for p, n in zip(parts, names)), objective.alias("objective"), F.coalesce(eligible, F.lit(False)).alias("eligible"))
 
 
@@ -107,7 +110,9 @@ def rank_stability(scores: DataFrame, key: str = "Timestamp", run: str = "seed",
     Pairs are of runs, joined on the key: the join grows with the rows times the handful of runs.
     """
     best = Window.partitionBy(run).orderBy(F.col(score).desc(), F.col(key))
-    ranked = scores.select(run, key, average_rank(F.col(score), [run]).alias("_rank"), F.row_number().over(best).alias("_place"))
+    rows = scores.select(run, key, score)
+    leaders = rows.withColumn("_place", F.row_number().over(best)).where(F.col("_place") <= max(tops)).select(run, key, "_place")  # cut before the shuffle
+    ranked = with_ranks(rows, score, [run], ("_rank", "_desc", "_share")).join(leaders, [run, key], "left").select(run, key, "_rank", "_place")
     a, b = ranked.alias("a"), ranked.alias("b")
     pairs = a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col(f"a.{run}") < F.col(f"b.{run}")))
     both = lambda k: F.count_if((F.col("a._place") <= k) & (F.col("b._place") <= k)).alias(f"top_{k}_overlap")

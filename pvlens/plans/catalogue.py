@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import category, corr, cyclic, row_stats, safe_ratio, safe_relative_change, status
-from ..functions.windows import average_rank, changed, full, islands, ordered, seconds_between
+from ..functions.ordering import percentiles, positions, time_buckets, with_group, with_ranks
+from ..functions.windows import changed, full, islands, ordered
 from ..operators.calibration import candidate_thresholds, rank_stability
 from ..operators.events import confusion, group_alert_events
+from ..operators.profile import timestamp_profile
 
 FOUND: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -74,16 +76,7 @@ SELECT (SELECT count(*) FROM events) AS n, (SELECT count(*) - count(DISTINCT ts)
  CAST(sum(CASE WHEN us / 1e6 > med + 1 THEN greatest(round_even(us / 1e6 / med, 0) - 1, 0) ELSE 0 END) AS BIGINT) AS missing
 FROM g, m GROUP BY med""")
 def ts_profile(spark, d):
-    e = events(spark, d).select("ts")
-    stats = e.agg(F.count("*").alias("n"), (F.count("*") - F.count_distinct("ts")).alias("duplicates"))
-    gaps = e.distinct().select(seconds_between(F.col("ts"), F.lag("ts").over(Window.orderBy("ts"))).alias("s"))
-    med = gaps.agg(F.percentile("s", F.lit(0.5)).alias("med"))
-    g = gaps.crossJoin(F.broadcast(med))  # one row
-    out = g.groupBy("med").agg(
-        F.min("s").alias("lo"), F.max("s").alias("hi"), F.count_if(F.abs(F.col("s") - F.col("med")) > 1).alias("irregular"),
-        F.sum(F.when(F.col("s") > F.col("med") + 1, F.greatest(F.bround(F.col("s") / F.col("med")) - 1, F.lit(0.0))).otherwise(0.0)).cast("long").alias("missing"),
-    )
-    return out.crossJoin(F.broadcast(stats)).select("n", "duplicates", r6("med").alias("median_gap"), r6("lo").alias("min_gap"), r6("hi").alias("max_gap"), "irregular", "missing")
+    return timestamp_profile(events(spark, d), "ts").select("n", "duplicates", r6("median_gap").alias("median_gap"), r6("min_gap").alias("min_gap"), r6("max_gap").alias("max_gap"), "irregular", "missing")
 
 
 @query("SELECT count(*) AS n_rows, (SELECT count(*) FROM (SELECT DISTINCT text, lang, source FROM documents)) AS n_distinct, count(*) - (SELECT count(*) FROM (SELECT DISTINCT text, lang, source FROM documents)) AS duplicates FROM documents")
@@ -118,15 +111,18 @@ def range_flags(spark, d):
 
 @query(f"SELECT column_name, count(value) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, round(min(value), 6) AS lo, round(quantile_cont(value, 0.5), 6) AS median, round(max(value), 6) AS hi FROM ({UNPIVOT}) GROUP BY column_name")
 def numeric_summary(spark, d):
+    """Moments in one pass over the wide rows; medians from the distribution of each column."""
     u = unpivoted(table(spark, d, "lineitem"), NUMERIC)
-    return u.groupBy("column_name").agg(F.count("value").alias("n"), r6(F.avg("value")).alias("mean"), r6(F.stddev_samp("value")).alias("std"), r6(F.min("value")).alias("lo"), r6(F.percentile("value", F.lit(0.5))).alias("median"), r6(F.max("value")).alias("hi"))
+    cells = [F.struct(F.lit(c).alias("column_name"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("lo"), F.max(c).alias("hi")) for c in NUMERIC]
+    moments = table(spark, d, "lineitem").agg(F.array(*cells).alias("x")).select(F.inline("x"))
+    medians = percentiles(u, "value", {"median": 0.5}, ["column_name"])
+    return moments.join(medians, "column_name").select("column_name", "n", *(r6(c).alias(c) for c in ("mean", "std", "lo", "median", "hi")))
 
 
 @query(f"SELECT column_name, round(quantile_cont(value, 0.25), 6) AS p25, round(quantile_cont(value, 0.75), 6) AS p75, round(quantile_cont(value, 0.975), 6) AS p975 FROM ({UNPIVOT}) GROUP BY column_name")
 def schema_summary(spark, d):
-    u = unpivoted(table(spark, d, "lineitem"), NUMERIC)
-    p = F.percentile("value", F.array(F.lit(0.25), F.lit(0.75), F.lit(0.975)))
-    return u.groupBy("column_name").agg(p.alias("p")).select("column_name", *(r6(F.col("p")[i]).alias(n) for i, n in enumerate(("p25", "p75", "p975"))))
+    p = percentiles(unpivoted(table(spark, d, "lineitem"), NUMERIC), "value", {"p25": 0.25, "p75": 0.75, "p975": 0.975}, ["column_name"])
+    return p.select("column_name", *(r6(c).alias(c) for c in ("p25", "p75", "p975")))
 
 
 @query(f"""WITH u AS ({UNPIVOT}), c AS (SELECT column_name, value, count(*) AS k FROM u GROUP BY 1, 2),
@@ -253,11 +249,9 @@ def run_length_periods(spark, d):
 
 @query("WITH f AS (SELECT event_id, event_id - row_number() OVER (ORDER BY event_id) AS g FROM events WHERE value > 100) SELECT min(event_id) AS first_id, max(event_id) AS last_id, count(*) AS n FROM f GROUP BY g HAVING count(*) > 1")
 def consecutive_positions(spark, d):
-    """Islands of consecutive positions. A series of its own per partition avoids the one-task sort."""
-    f = events(spark, d).where("value > 100").select("event_id")
-    w = Window.orderBy("event_id")
-    g = f.withColumn("g", F.col("event_id") - F.row_number().over(w))
-    return g.groupBy("g").agg(F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"), F.count("*").alias("n")).where("n > 1").drop("g")
+    """Islands of consecutive ids: id minus place is the same through a run."""
+    f = positions(events(spark, d).where("value > 100").select("event_id"), "event_id")
+    return f.groupBy(F.col("event_id") - F.col("_pos")).agg(F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"), F.count("*").alias("n")).where("n > 1").select("first_id", "last_id", "n")
 
 
 def _scored(spark, d):
@@ -292,23 +286,25 @@ def neighbour_rows(spark, d):
 
 @query("SELECT event_type, max(n) AS max_count FROM (SELECT event_type, count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN CURRENT ROW AND INTERVAL 60 MINUTE FOLLOWING) AS n FROM events) GROUP BY event_type")
 def max_in_60min(spark, d):
-    s = F.unix_micros(F.col("ts").cast("timestamp"))
-    w = Window.partitionBy("event_type").orderBy("us").rangeBetween(0, 3_600_000_000)
-    return events(spark, d).select("event_type", s.alias("us")).withColumn("n", F.count("*").over(w)).groupBy("event_type").agg(F.max("n").alias("max_count"))
+    hour = 3_600_000_000
+    e = events(spark, d).select("event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    w = Window.partitionBy("event_type", "_bucket").orderBy("us").rangeBetween(0, hour)
+    return time_buckets(e, "us", hour, 0, 1).withColumn("n", F.count("*").over(w)).where("_own").groupBy("event_type").agg(F.max("n").alias("max_count"))
 
 
 @query("SELECT event_id, n - 1 AS others, CASE WHEN n > 1 THEN round((s - value) / (n - 1), 5) END AS mean_others FROM (SELECT event_id, value, count(*) OVER w AS n, sum(value) OVER w AS s FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 10 MINUTE PRECEDING AND INTERVAL 10 MINUTE FOLLOWING))")
 def nearby_10min_stats(spark, d):
-    w = Window.partitionBy("event_type").orderBy("us").rangeBetween(-600_000_000, 600_000_000)
+    near = 600_000_000
     e = events(spark, d).select("event_id", "event_type", "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    n, s = F.count("*").over(w), F.sum("value").over(w)
-    return e.select("event_id", (n - 1).alias("others"), F.when(n > 1, F.round((s - F.col("value")) / (n - 1), 5)).alias("mean_others"))
+    w = Window.partitionBy("event_type", "_bucket").orderBy("us").rangeBetween(-near, near)
+    rows = time_buckets(e, "us", near, 1, 1).withColumns({"n": F.count("*").over(w), "s": F.sum("value").over(w)}).where("_own")
+    return rows.select("event_id", (F.col("n") - 1).alias("others"), F.when(F.col("n") > 1, F.round((F.col("s") - F.col("value")) / (F.col("n") - 1), 5)).alias("mean_others"))
 
 
 @query("SELECT o_orderkey, rank() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC) AS rank_desc, round(cume_dist() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice) * 100, 6) AS percentile FROM orders")
 def rank_min_desc(spark, d):
-    w = Window.partitionBy("o_orderstatus")
-    return table(spark, d, "orders").select("o_orderkey", F.rank().over(w.orderBy(F.desc("o_totalprice"))).cast("long").alias("rank_desc"), r6(F.cume_dist().over(w.orderBy("o_totalprice")) * 100).alias("percentile"))
+    ranked = with_ranks(table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), "o_totalprice", ["o_orderstatus"])
+    return ranked.select("o_orderkey", F.col("rank_desc").cast("long").alias("rank_desc"), r6(F.col("share") * 100).alias("percentile"))
 
 
 @query(f"WITH c AS (SELECT event_id, value - {LAG} AS diff FROM events) SELECT event_id, round(diff, 6) AS diff FROM c WHERE diff IS NOT NULL ORDER BY abs(diff) DESC, event_id LIMIT 10")
@@ -359,7 +355,7 @@ def strong_pairs(spark, d):
 @query("WITH j AS (SELECT o_totalprice AS x, c_acctbal AS y FROM orders JOIN customer ON o_custkey = c_custkey), k AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM j) SELECT count(*) AS n, round(corr(rx, ry), 6) AS rho FROM k")
 def spearman(spark, d):
     j = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_totalprice").alias("x"), F.col("c_acctbal").alias("y"))
-    k = j.select(average_rank(F.col("x")).alias("rx"), average_rank(F.col("y")).alias("ry"))
+    k = with_ranks(with_ranks(j, "x", names=("rx", "_dx", "_sx")), "y", names=("ry", "_dy", "_sy"))
     return k.agg(F.count("*").alias("n"), r6(corr(F.col("rx"), F.col("ry"))).alias("rho"))
 
 
@@ -405,10 +401,11 @@ def support_departures(spark, d):
 
 @query("SELECT event_type, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.975), 6) AS p975, round(quantile_cont(value, 0.99), 6) AS p99, round(median(value) + 2 * mad(value), 6) AS median_2mad FROM events GROUP BY event_type")
 def percentile_threshold(spark, d):
-    e = events(spark, d).select("event_type", "value")
-    med = e.groupBy("event_type").agg(F.percentile("value", F.array(F.lit(0.95), F.lit(0.975), F.lit(0.99), F.lit(0.5))).alias("p"))
-    mad = e.join(F.broadcast(med), "event_type").groupBy("event_type").agg(F.first("p").alias("p"), F.percentile(F.abs(F.col("value") - F.col("p")[3]), F.lit(0.5)).alias("mad"))
-    return mad.select("event_type", *(r6(F.col("p")[i]).alias(n) for i, n in enumerate(("p95", "p975", "p99"))), r6(F.col("p")[3] + 2 * F.col("mad")).alias("median_2mad"))
+    e, shares = events(spark, d).select("event_type", "value"), {"p95": 0.95, "p975": 0.975, "p99": 0.99, "median": 0.5}
+    p = percentiles(e, "value", shares, ["event_type"])
+    apart = with_group(e, p.select("event_type", "median"), ["event_type"]).select("event_type", F.abs(F.col("value") - F.col("median")).alias("apart"))
+    both = p.join(percentiles(apart, "apart", {"mad": 0.5}, ["event_type"]), "event_type")
+    return both.select("event_type", r6("p95").alias("p95"), r6("p975").alias("p975"), r6("p99").alias("p99"), r6(F.col("median") + 2 * F.col("mad")).alias("median_2mad"))
 
 
 THRESHOLDS = (350.0, 400.0, 425.0, 450.0, 475.0)
