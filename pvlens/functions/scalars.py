@@ -75,8 +75,8 @@ def different(a: Column, b: Column) -> Column:
 
 
 def status(score: Column, threshold: float | Column) -> Column:
-    """Strictly above the threshold is an alert."""
-    return F.when(score > threshold, "ALERT").otherwise("NORMAL")
+    """Strictly above the threshold is an alert; a score that is null or NaN has no status."""
+    return F.when(score.isNull() | F.isnan(score), F.lit(None)).when(score > threshold, "ALERT").otherwise("NORMAL")
 
 
 def category(c: Column, cases: Sequence[tuple[Column, str]], other: str) -> Column:

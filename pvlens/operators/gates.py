@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordering import in_chunks, positions
 from ..functions.scalars import finite, status
 from ..functions.windows import seconds_between
 
@@ -21,9 +22,13 @@ def demand(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
 
 def timestamp_gate(df: DataFrame, ts: str = "Timestamp", by: tuple[str, ...] = (), pos: str | None = None, cadence: float | None = None) -> DataFrame:
     """Present, unique, in order of `pos` if given, and evenly spaced if a cadence is given."""
-    w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(pos or ts)
-    step = seconds_between(F.col(ts), F.lag(ts).over(w))
-    seen = df.select(F.col(ts).isNull().alias("_null"), step.alias("_step"))
+    steps = lambda rows, w: rows.select("*", seconds_between(F.col(ts), F.lag(ts).over(w)).alias("_step"))
+    if by:
+        seen = steps(df.select(*by, ts, *[pos] * (pos is not None)), Window.partitionBy(*by).orderBy(pos or ts))
+    else:  # one series, in chunks
+        placed = positions(df.select(ts, *[pos] * (pos is not None)), pos or ts, name="_place")
+        seen = in_chunks(placed, 1, 0, lambda rows, part: steps(rows, Window.partitionBy(*part).orderBy("_place")), pos="_place")
+    seen = seen.select(F.col(ts).isNull().alias("_null"), "_step")
     checks = {"missing_timestamp": F.col("_null"), "repeated_timestamp": F.col("_step") == 0, "backward_timestamp": F.col("_step") < 0}
     if cadence is not None:
         checks["uneven_timestamp"] = F.col("_step") != cadence

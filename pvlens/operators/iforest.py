@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+TREES = "tree int, node int, feature int, threshold double, left int, right int, path double"
+
 
 def average_path(n: float) -> float:
     """Mean depth of an unsuccessful search among n points."""
@@ -42,13 +44,18 @@ def grow(x: np.ndarray, seed: int) -> list[tuple[int, int, float, int, int, floa
 def fit(df: DataFrame, features: Sequence[str], key: str, trees: int = 300, sample: int = 256, seed: int = 42) -> pd.DataFrame:
     """The forest as a table (tree, node, feature, threshold, left, right, path); at most trees * 2 * sample rows.
 
-    Every row goes to a tree with the same small chance, by hash; the smallest hashes of a tree
-    are its sample, so nothing is sorted in full.
+    One hash a row says whether it takes part at all; a row that does is dealt to as few trees as
+    give each about four times its sample (one, in a large table). The smallest hashes of a
+    tree are its sample.
     """
     n = df.count()
-    rate = min(1.0, 4.0 * sample / max(1, n))
-    unit = lambda t: (F.shiftrightunsigned(F.xxhash64(F.lit(seed), t, F.col(key)), 11)).cast("double") * F.lit(2.0**-53)
-    drawn = df.select(key, *features, F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")).withColumn("_u", unit(F.col("tree"))).where(F.col("_u") < rate)
+    per_row = min(trees, max(1, math.ceil(4 * sample * trees / max(1, n))))
+    rate = min(1.0, 4.0 * sample * trees / max(1, n * per_row))
+    unit = lambda *t: F.shiftrightunsigned(F.xxhash64(F.lit(seed), *t, F.col(key)), 11).cast("double") * F.lit(2.0**-53)
+    taking = df.select(key, *features).where(unit(F.lit("part")) < rate)
+    first = F.pmod(F.xxhash64(F.lit(seed), F.lit("deal"), F.col(key)), F.lit(trees))
+    dealt = taking.select("*", F.explode(F.sequence(F.lit(0), F.lit(per_row - 1))).alias("_turn")).withColumn("tree", F.pmod(first + F.col("_turn") * (trees // per_row), F.lit(trees)).cast("int"))
+    drawn = dealt.drop("_turn").withColumn("_u", unit(F.col("tree")))
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
         own = group.sort_values(["_u", key]).head(sample)
@@ -56,21 +63,20 @@ def fit(df: DataFrame, features: Sequence[str], key: str, trees: int = 300, samp
         rows = grow(own[list(features)].to_numpy(float), seed * 100003 + tree)
         return pd.DataFrame([(tree, *r) for r in rows], columns=["tree", "node", "feature", "threshold", "left", "right", "path"])
 
-    schema = "tree int, node int, feature int, threshold double, left int, right int, path double"
-    out = drawn.groupBy("tree").applyInPandas(build, schema).toPandas().sort_values(["tree", "node"])
+    out = drawn.groupBy("tree").applyInPandas(build, TREES).toPandas().sort_values(["tree", "node"])
     out.attrs["psi"] = min(sample, n)
     return out
 
 
 def score(df: DataFrame, forest: pd.DataFrame, features: Sequence[str]) -> DataFrame:
-    """df with anomaly_score in (0, 1); higher is more isolated."""
+    """df with anomaly_score in (0, 1); higher is more isolated. A row with a null or NaN feature has none."""
     norm = average_path(forest.attrs["psi"]) or 1.0
-    tables = [g[["feature", "threshold", "left", "right", "path"]].to_numpy() for _, g in forest.groupby("tree")]
+    tables = [g[["feature", "threshold", "left", "right", "path"]].to_numpy() for _, g in forest.sort_values(["tree", "node"]).groupby("tree")]
     names = list(features)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in names])
+            x = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in names]) if len(batch) else np.zeros((0, len(names)))
             total = np.zeros(len(x))
             for t in tables:
                 at = np.zeros(len(x), np.int64)
@@ -79,8 +85,8 @@ def score(df: DataFrame, forest: pd.DataFrame, features: Sequence[str]) -> DataF
                     f = t[at[row], 0].astype(int)
                     at[row] = np.where(x[row, f] <= t[at[row], 1], t[at[row], 2], t[at[row], 3]).astype(np.int64)
                 total += t[at, 4]
-            scores = 2.0 ** (-(total / len(tables)) / norm)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], [*batch.schema.names, "anomaly_score"])
+            scores = 2.0 ** (-(total / max(1, len(tables))) / norm)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, mask=np.isnan(x).any(1))], [*batch.schema.names, "anomaly_score"])
 
     schema = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", anomaly_score double"
     return df.mapInArrow(run, schema)

@@ -63,38 +63,71 @@ def test_rank_stability_and_freeze(spark):
     assert not calibration.freeze_gates(found.limit(0), 0.9, 0.95, 10, 5).first().freeze
 
 
-def test_eligible_starts_against_a_loop(spark):
-    n, tail, gap = 3, 4, 2
-    df = series(spark, 60, skip=(25,))
-    ok, forbidden = F.col("_pos") != 10, F.col("_pos") == 50
-    occupied = [(35, 38)]
-    got = [r._pos for r in synthetic.eligible_starts(df, n, ok, forbidden, occupied, gap, tail).orderBy("_pos").collect()]
-    positions = [i for i in range(60) if i != 25]
-    want = []
-    for at, p in enumerate(positions):
-        own, guard = positions[at : at + n], positions[at : at + n + tail]
-        before = positions[max(0, at - 1) : at + n + tail]
-        even = all(b - a == 1 for a, b in zip(before, before[1:]))
-        if len(own) == n and 10 not in own and 50 not in guard and even and all(p + n + gap <= a or b + gap <= p for a, b in occupied):
-            want.append(p)
-    assert got == want and got
-
-
-def test_place_inject_and_context(spark):
-    df = series(spark, 400).cache()
-    plan = [synthetic.Scenario("drop", ("Power_Generated",), (4, 6), (0.2, 0.4), "drop"), synthetic.Scenario("slope", ("Power_Generated",), (5, 5), (0.5, 0.5), "gradual"), synthetic.Scenario("never", ("Power_Generated",), (3, 3), (0.5, 0.5), "scale")]
-    ok = {"drop": F.lit(True), "slope": F.lit(True), "never": F.lit(False)}
+def positioned(spark, rows):
+    return spark.createDataFrame(rows, "_pos long, Timestamp timestamp_ntz, Power_Generated double")
+
+
+def test_rooms_against_a_loop(spark):
+    start = dt.datetime(2022, 5, 1)
+    n, tail, most = 200, 6, 5
+    rows = [(i, start + dt.timedelta(minutes=2 * i + (1 if i in (60, 120) else 0)), float(i % 17)) for i in range(n)]
+    ok, forbidden = F.col("Power_Generated") > 3, F.col("_pos").isin(30, 150)
+    got = {r._pos: r.rooms.x for r in synthetic.rooms(positioned(spark, rows), {"x": most}, {"x": ok}, forbidden, tail).collect()}
+    even = [i == 0 or (rows[i][1] - rows[i - 1][1]).total_seconds() == 120 for i in range(n)]
+    for p in range(n):
+        room = 0
+        for length in range(1, most + 1):
+            inside, guard = range(p, p + length), range(p, min(n, p + length + tail))
+            if p + length <= n and all(rows[i][2] > 3 for i in inside) and all(even[i] and i not in (30, 150) for i in guard):
+                room = length
+        assert got[p] == room, p
+
+
+def test_room_beside_events(spark):
+    df = spark.range(60).select(synthetic.room_beside(F.lit(5), F.col("id"), [(20, 24)], 10).alias("room"), "id")
+    got = {r.id: r.room for r in df.collect()}
+    for p in range(60):
+        fits = [n for n in range(1, 6) if p + n + 10 <= 20 or p >= 34]
+        assert got[p] == max(fits, default=0), p
+
+
+def test_place_inject_check_and_context(spark):
+    start = dt.datetime(2022, 5, 1)
+    df = positioned(spark, [(i, start + dt.timedelta(minutes=2 * i), 100.0 + i % 9) for i in range(400)]).withColumn("Air_Temp", F.lit(20.0)).persist()
+    plan = [
+        synthetic.Scenario("drop", ("Power_Generated",), (4, 6), (0.2, 0.4), "lower"), synthetic.Scenario("slope", ("Power_Generated",), (5, 5), (0.5, 0.5), "fade"),
+        synthetic.Scenario("never", ("Power_Generated",), (3, 3), (0.5, 0.5), "raise"), synthetic.Scenario("still", ("Power_Generated",), (2, 2), (0.0, 0.0), "raise"),
+        synthetic.Scenario("sensor", ("Air_Temp", "Power_Generated"), (2, 3), {"Air_Temp": (4.0, 8.0), "Power_Generated": (30.0, 50.0)}, "offset"),
+    ]
+    ok = {s.name: F.lit(s.name != "never") for s in plan}
     events, skipped = synthetic.place(df, plan, ok, F.lit(False), seed=7)
     assert (events, skipped) == synthetic.place(df, plan, ok, F.lit(False), seed=7)
-    assert sorted(e["scenario"] for e in events) == ["drop", "slope"] and [s["reason"] for s in skipped] == ["no_eligible_window"]
+    assert [e["scenario"] for e in events] == ["slope", "drop", "sensor"] and [(x["scenario"], x["reason"]) for x in skipped] == [("never", "no_place"), ("still", "no_effect")]
+    taken = sorted((e["start"], e["start"] + e["n_rows"]) for e in events)
+    assert all(b[0] - a[1] >= 30 for a, b in zip(taken, taken[1:])) and len(events[2]["columns"]) == 1
     out = synthetic.inject(df, events, plan)
-    assert out.where("synthetic_anomaly = 1").count() == sum(e["n_rows"] for e in events) <= 20
-    slope = next(e for e in events if e["scenario"] == "slope")
-    last = slope["start"] + slope["n_rows"] - 1
-    assert out.where(F.col("_pos") == last).first().Power_Generated == pytest.approx((100 + last) * 0.5)
-    spread = out.withColumn("Solar_Radiation", F.when(F.col("_pos") == last + 1, 0.0).otherwise(F.col("Solar_Radiation")))
-    counts = {r.effect_context: r["count"] for r in synthetic.effect_context(df, spread, ["Power_Generated", "Solar_Radiation"]).groupBy("effect_context").count().collect()}
-    assert counts["propagated"] == 1 and counts["direct"] == sum(e["n_rows"] for e in events)
+    slope = events[0]
+    got = {r._pos: r.Power_Generated for r in out.collect()}
+    for j in range(5):
+        p = slope["start"] + j
+        assert abs(got[p] - (100.0 + p % 9) * (1 - 0.5 * (j + 1) / 5)) < 1e-9
+    checks = {r.check: r.violations for r in synthetic.check_copy(df, out, events, plan, ["Power_Generated", "Air_Temp"]).collect()}
+    assert len(checks) == 15 and not any(checks.values())
+    wrong = out.withColumn("Air_Temp", F.when(F.col("_pos") == 3, 99.0).otherwise(F.col("Air_Temp"))).withColumn("synthetic_anomaly", F.when(F.col("_pos") == slope["start"], 0).otherwise(F.col("synthetic_anomaly")))
+    checks = {r.check for r in synthetic.check_copy(df, wrong, events, plan, ["Power_Generated", "Air_Temp"]).collect() if r.violations}
+    assert checks == {"changed_without_label", "column_not_of_the_event", "event_row_unlabelled"}
+    context = synthetic.effect_context(df, out.withColumn("Power_Generated", F.when(F.col("_pos") == 0, 1.0).otherwise(F.col("Power_Generated"))), ["Power_Generated", "Air_Temp"])
+    n = {r.effect_context: r["count"] for r in context.groupBy("effect_context").count().collect()}
+    direct = sum(e["n_rows"] for e in events)
+    assert n == {"direct": direct, "none": 400 - direct - (0 not in range(*taken[0])), "propagated": 1} or 0 in range(*taken[0])
+
+
+def test_influence_and_restore(spark):
+    df = spark.range(20).select(F.col("id").alias("_pos"), F.col("id").cast("double").alias("x"))
+    marked = synthetic.influenced(df, F.col("_pos") == 4, 3)
+    assert [r._pos for r in marked.where("_influenced").orderBy("_pos").collect()] == [4, 5, 6, 7]
+    out = synthetic.restored(df, marked.withColumn("x", F.lit(-1.0)), ["x"], key=["_pos"])
+    assert [r.x for r in out.orderBy("_pos").collect()] == [-1.0 if 4 <= i <= 7 else float(i) for i in range(20)]
 
 
 def test_gates(spark):
