@@ -15,7 +15,9 @@ from ..functions.ordering import percentiles, positions, time_buckets, with_grou
 from ..functions.windows import changed, full, islands, ordered
 from ..operators.calibration import candidate_thresholds, rank_stability
 from ..operators.events import confusion, group_alert_events
+from ..operators.gates import paired
 from ..operators.profile import timestamp_profile
+from ..operators.scores import delta_summary
 
 FOUND: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -33,10 +35,13 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 def queries() -> dict:
+    from . import stage_queries, vision_queries  # noqa: F401  they add theirs
+
     return {k: f for k, (f, _) in FOUND.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return {k: s for k, (_, s) in FOUND.items() if s}
 
 
@@ -324,13 +329,6 @@ def dependency_spread(spark, d):
     return events(spark, d).select("event_id", F.max((F.col("value") > 400).cast("int")).over(by_user().rowsBetween(-14, 0)).alias("affected"))
 
 
-@query("SELECT event_id, CASE WHEN ok = 5 AND n = 5 AND bad = 0 THEN true ELSE false END AS eligible FROM (SELECT event_id, sum(CASE WHEN value > 20 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS ok, count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS n, max(CASE WHEN value > 480 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING) AS bad FROM events)")
-def eligible_starts(spark, d):
-    near, guard = by_user().rowsBetween(0, 4), by_user().rowsBetween(0, 34)
-    ok = (F.min((F.col("value") > 20).cast("int")).over(near) == 1) & (F.count("*").over(near) == 5) & (F.max((F.col("value") > 480).cast("int")).over(guard) == 0)
-    return events(spark, d).select("event_id", ok.alias("eligible"))
-
-
 # --- correlation, distribution, thresholds ---------------------------------------------------
 
 PAIRS = [(a, b) for i, a in enumerate(NUMERIC) for b in NUMERIC[i:]]
@@ -451,42 +449,8 @@ def paired_delta(spark, d):
     base = table(spark, d, "orders").select("o_orderkey", "o_totalprice")
     k = F.col("o_orderkey") % 3
     other = base.select("o_orderkey", F.when(k == 0, F.col("o_totalprice") * 1.1).when(k == 1, F.col("o_totalprice") - 1).otherwise(F.col("o_totalprice")).alias("new"))
-    delta = base.join(other, "o_orderkey").select((F.col("new") - F.col("o_totalprice")).alias("delta"))
-    return delta.agg(F.count("*").alias("n"), F.count_if(F.col("delta") > 0).alias("up"), F.count_if(F.col("delta") < 0).alias("down"), F.count_if(F.col("delta") == 0).alias("same"), F.round(F.avg("delta"), 4).alias("mean_delta"), F.round(F.max(F.abs("delta")), 4).alias("largest"))
-
-
-WINDOWS = [(1, 100, 130), (2, 1000, 1100), (3, 5000, 5005)]
-WINDOWS_SQL = ", ".join(str(w) for w in WINDOWS)
-
-
-@query(f"SELECT w.id AS window_id, count(*) AS n, count(CASE WHEN value > 450 THEN 1 END) AS alerts, count(CASE WHEN value > 450 THEN 1 END) > 0 AS detected, round(max(value), 6) AS max_value, min(CASE WHEN value > 450 THEN event_id END) - min(event_id) AS delay FROM (VALUES {WINDOWS_SQL}) w(id, a, b) JOIN events ON event_id BETWEEN a AND b GROUP BY w.id")
-def event_eval(spark, d):
-    w = F.broadcast(spark.createDataFrame(WINDOWS, "window_id int, a long, b long"))  # a few fixed windows
-    hit = F.col("value") > 450
-    j = events(spark, d).join(w, F.col("event_id").between(F.col("a"), F.col("b")))
-    return j.groupBy("window_id").agg(F.count("*").alias("n"), F.count_if(hit).alias("alerts"), (F.count_if(hit) > 0).alias("detected"), r6(F.max("value")).alias("max_value"), (F.min(F.when(hit, F.col("event_id"))) - F.min("event_id")).alias("delay"))
-
-
-@query(f"SELECT count(*) AS kept FROM events WHERE NOT EXISTS (SELECT 1 FROM (VALUES {WINDOWS_SQL}) w(id, a, b) WHERE event_id BETWEEN a - 10 AND b + 10)")
-def exclusion_windows(spark, d):
-    w = F.broadcast(spark.createDataFrame(WINDOWS, "id int, a long, b long"))
-    return events(spark, d).join(w, F.col("event_id").between(F.col("a") - 10, F.col("b") + 10), "left_anti").agg(F.count("*").alias("kept"))
-
-
-@query(f"SELECT event_id, CASE WHEN direct = 1 THEN 'direct' WHEN spread = 1 THEN 'propagated' ELSE 'none' END AS context FROM (SELECT event_id, direct, max(direct) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS spread FROM (SELECT *, CASE WHEN EXISTS (SELECT 1 FROM (VALUES {WINDOWS_SQL}) w(id, a, b) WHERE event_id BETWEEN a AND b) THEN 1 ELSE 0 END AS direct FROM events))")
-def effect_context(spark, d):
-    direct = F.lit(0)
-    for _, a, b in WINDOWS:
-        direct = F.greatest(direct, F.col("event_id").between(a, b).cast("int"))
-    e = events(spark, d).withColumn("direct", direct)
-    spread = F.max("direct").over(by_user().rowsBetween(-29, 0))
-    return e.select("event_id", category(F.col("direct"), [(F.col("direct") == 1, "direct"), (spread == 1, "propagated")], "none").alias("context"))
-
-
-@query("SELECT event_id, round(CASE WHEN value > 400 THEN value * 0.5 ELSE value END, 6) AS value, value > 400 AS changed FROM events")
-def recompute_restore(spark, d):
-    mask = F.col("value") > 400
-    return events(spark, d).select("event_id", r6(F.when(mask, F.col("value") * 0.5).otherwise(F.col("value"))).alias("value"), mask.alias("changed"))
+    both = paired(other, base, "o_orderkey").withColumn("score_delta", F.col("new") - F.col("o_totalprice_baseline"))
+    return delta_summary(both).select("n", "up", "down", "same", F.round("mean", 4).alias("mean_delta"), F.round("largest", 4).alias("largest"))
 
 
 @query("WITH t AS (SELECT event_type, user_id FROM (SELECT event_type, user_id, row_number() OVER (PARTITION BY event_type ORDER BY count(*) DESC, user_id) AS n FROM events GROUP BY 1, 2) WHERE n <= 20) SELECT a.event_type AS a, b.event_type AS b, count(*) AS shared, round(count(*) / CAST(40 - count(*) AS DOUBLE), 6) AS jaccard FROM t a JOIN t b ON a.user_id = b.user_id AND a.event_type < b.event_type GROUP BY 1, 2")
@@ -498,11 +462,13 @@ def topk_overlap_jaccard(spark, d):
     return j.groupBy(F.col("a.event_type").alias("a"), F.col("b.event_type").alias("b")).agg(F.count("*").alias("shared")).select("a", "b", "shared", r6(F.col("shared") / (40 - F.col("shared"))).alias("jaccard"))
 
 
-@query("SELECT (SELECT count(*) FROM orders) AS n, CAST(0 AS BIGINT) AS lost, CAST(0 AS BIGINT) AS extra")
+@query("SELECT count(*) AS n, count(CASE WHEN o_orderkey % 3 = 2 AND o_orderkey % 7 = 0 THEN 1 END) AS lost, count(CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 5 = 0 THEN 1 END) AS extra FROM orders")
 def partition_union_reconstruct(spark, d):
+    """A union that leaves rows out and repeats others: both differences are found, with repeats counted."""
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
-    union = o.where("o_orderkey % 3 = 0").unionByName(o.where("o_orderkey % 3 = 1")).unionByName(o.where("o_orderkey % 3 = 2"))
-    counts = o.exceptAll(union).agg(F.count("*").alias("lost")).crossJoin(union.exceptAll(o).agg(F.count("*").alias("extra")))
+    parts = [o.where("o_orderkey % 3 = 0"), o.where("o_orderkey % 3 = 1"), o.where("o_orderkey % 3 = 2 and o_orderkey % 7 <> 0"), o.where("o_orderkey % 3 = 0 and o_orderkey % 5 = 0")]
+    union = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    counts = o.exceptAll(union).agg(F.count("*").alias("lost")).crossJoin(union.exceptAll(o).agg(F.count("*").alias("extra")))  # one row each
     return o.agg(F.count("*").alias("n")).crossJoin(counts)
 
 
