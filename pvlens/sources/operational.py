@@ -63,11 +63,15 @@ def drop_duplicates(df: DataFrame, keep: str | bool = "first", key: Sequence[str
     return df.withColumn("_n", F.row_number().over(w.orderBy(order))).where("_n = 1").drop("_n")
 
 
+def typed(rows: DataFrame, timestamp: str = S.TIMESTAMP, numeric: Sequence[str] | None = None, pattern: str = "d-M-yyyy H:m") -> DataFrame:
+    """Text to values: bad timestamps and bad numbers become null."""
+    numeric = [c for c in (numeric or rows.columns) if c not in (timestamp, "_pos")]
+    return rows.select(*(parse_timestamp(F.trim(F.col(c)), pattern).alias(c) if c == timestamp else parse_number(blank_to_null(F.col(c))).alias(c) if c in numeric else F.col(c) for c in rows.columns))
+
+
 def load(spark: SparkSession, path: str, timestamp: str = S.TIMESTAMP, numeric: Sequence[str] | None = None, pattern: str = "d-M-yyyy H:m", keep: str | bool | None = "first", sort: bool = True) -> DataFrame:
-    """Typed rows: bad timestamps and bad numbers become null, order is (timestamp nulls last, _pos)."""
+    """Typed rows without duplicates, in the order of (timestamp, nulls last; _pos)."""
     raw = read_text_columns(spark, path).drop("_file")
     S.require_columns(raw, [timestamp])
-    rows = drop_duplicates(raw, keep) if keep is not None else raw
-    numeric = [c for c in (numeric or raw.columns) if c not in (timestamp, "_pos")]
-    typed = rows.select(*(parse_timestamp(F.trim(F.col(c)), pattern).alias(c) if c == timestamp else parse_number(blank_to_null(F.col(c))).alias(c) if c in numeric else F.col(c) for c in rows.columns))
-    return typed.orderBy(F.col(timestamp).asc_nulls_last(), "_pos") if sort else typed
+    rows = typed(drop_duplicates(raw, keep) if keep is not None else raw, timestamp, numeric, pattern)
+    return rows.orderBy(F.col(timestamp).asc_nulls_last(), "_pos") if sort else rows
