@@ -19,6 +19,14 @@ from .events import group_alert_events
 MOST_RULES = 1000
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """A table of a row a rule as a table of its own: what is built on it no longer carries the plan that made it."""
+    rows = df.limit(MOST_RULES + 1).collect()
+    if len(rows) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
+    return df.sparkSession.createDataFrame(rows, df.schema)
+
+
 def candidate_thresholds(scores: DataFrame, rules: Sequence[tuple[str, str, float]], score: str = "anomaly_score") -> DataFrame:
     """declared, rule, threshold of (name, "percentile" | "mad", value) rules.
 

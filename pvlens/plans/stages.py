@@ -102,10 +102,10 @@ def stability(parts: DataFrame, inputs: Sequence[str], key: str, seeds: Sequence
 def calibrate(scored: DataFrame, rules: Sequence[tuple[str, str, float]], rows: tuple[int, int], percentage: tuple[float, float], isolated: float, extreme: float, target: float, by: tuple[str, ...] = (), low_light: Column | None = None, odd: Column | None = None) -> dict[str, DataFrame]:
     """Candidates from the calibration rows, what each flags, and the choice; then a look at the evaluation rows with the frozen threshold."""
     seen = scored.where("partition = 'calibration'")
-    candidates = calibration.candidate_thresholds(seen, rules)
+    candidates = calibration.settled(calibration.candidate_thresholds(seen, rules))
     summary = calibration.flag_summary(seen, candidates, low_light=low_light, extreme=odd, by=by)
-    gated = calibration.gate_candidates(summary, rows, percentage, isolated, extreme)
-    choice = calibration.select_threshold(gated, target)
+    gated = calibration.settled(calibration.gate_candidates(summary, rows, percentage, isolated, extreme))
+    choice = calibration.settled(calibration.select_threshold(gated, target))
     after = calibration.flag_summary(scored.where("partition = 'evaluation'"), choice.select("declared", "rule", "threshold"), low_light=low_light, extreme=odd, by=by)
     return {"candidates": gated, "choice": choice, "evaluation": after}
 

@@ -101,7 +101,7 @@ def write_text(spark: SparkSession, text: str, path: str) -> None:
 
 
 def appended(raw: DataFrame, new: DataFrame, columns: Sequence[str], pos: str = "_pos") -> DataFrame:
-    """The raw text of every prior field, unchanged, with new columns beside it; doubles are written with 17 digits.
+    """The raw text of every prior field, unchanged, with new columns beside it; doubles are written with 17 digits, which read back equal.
 
     Rows meet on `pos`; one without a partner is an error.
     """
@@ -148,10 +148,11 @@ def carry_out(plan: DataFrame, manifest: str) -> int:
     A handful of reviewed files: every one is moved by the driver. If a move fails those done are moved back.
     """
     spark = plan.sparkSession
-    if not plan.where("problem is not null").isEmpty():
+    rows = plan.collect()  # read once: the plan's own scans would miss the files that have moved
+    if any(r.problem is not None for r in rows):
         raise ValueError("the plan has problems")
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    moves = [pair for r in plan.collect() for pair in ((r.image_path, r.quarantine_image_path), (r.label_path, r.quarantine_label_path))]
+    moves = [pair for r in rows for pair in ((r.image_path, r.quarantine_image_path), (r.label_path, r.quarantine_label_path))]
     done: list[tuple[str, str]] = []
 
     def move(source: str, target: str) -> None:
@@ -165,7 +166,7 @@ def carry_out(plan: DataFrame, manifest: str) -> int:
         for source, target in moves:
             move(source, target)
             done.append((source, target))
-        plan.coalesce(1).write.option("header", True).csv(manifest)
+        spark.createDataFrame(rows, plan.schema).coalesce(1).write.option("header", True).csv(manifest)
     except Exception:
         for source, target in reversed(done):
             move(target, source)
