@@ -192,8 +192,9 @@ def training_summary(log: DataFrame, map50: str = "map50", map95: str = "map50_9
 
 def class_metrics(metrics: DataFrame, classes: Sequence[str]) -> DataFrame:
     """class_id, class_name, precision, recall, map50, map50_95 from one row of arrays, best class first."""
-    cells = F.arrays_zip(*(F.transform(c, lambda x: x.cast("double")).alias(c) for c in ("precision", "recall", "map50", "map50_95")))
-    rows = metrics.select(F.posexplode(cells).alias("class_id", "m")).select("class_id", *(F.col("m")[i].alias(n) for i, n in enumerate(("precision", "recall", "map50", "map50_95"))))
+    names = ("recall", "map50", "map50_95")
+    cells = F.transform("precision", lambda x, i: F.struct(x.cast("double").alias("precision"), *(F.get(F.col(c), i).cast("double").alias(c) for c in names)))
+    rows = metrics.select(F.posexplode(cells).alias("class_id", "m")).select("class_id", "m.*")
     return named_classes(rows, classes).orderBy(F.desc_nulls_last("map50_95"), "class_id")
 
 
