@@ -105,7 +105,7 @@ def learn_lexicon(rows: DataFrame, most: int = 64, least_texts: int = 4, least_o
     follow a different word in most of them: copies of one text teach nothing.
     """
     count = lambda toxic: F.count_if(F.col("toxic") == toxic)
-    pairs = rows.select("text", "toxic").mapInArrow(_word_batches, "word string, after string, toxic int").groupBy("word", "after").agg(count(1).alias("p"), count(0).alias("n"))
+    pairs = rows.select("text", "toxic").mapInArrow(_in_slices(_word_batches, 64), "word string, after string, toxic int").groupBy("word", "after").agg(count(1).alias("p"), count(0).alias("n"))
     stats = pairs.groupBy("word").agg(F.sum("p").alias("p"), F.sum("n").alias("n"), F.count_if(F.col("p") > 0).alias("company"))
     total = rows.agg(count(1).alias("p"), count(0).alias("n")).first()
     odds = F.log((F.col("p") + 0.5) / (total.p + 1)) - F.log((F.col("n") + 0.5) / (total.n + 1))
@@ -275,4 +275,4 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
 
     rows = docs.select(F.col("doc_id").alias("_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").alias("_text"), *(F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)))
     schema = f"doc_id {fields['doc_id']}, held_out boolean, score double, predicted int" + "".join(f", `{c}` {fields[c]}" for c in keep)
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(_in_slices(run), schema)
