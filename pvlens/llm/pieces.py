@@ -141,7 +141,7 @@ class Model:
     types: bytes
     prefix: bool
     squeeze: bool = False
-    limit: int = 300_000
+    limit: int = 500_000
 
     @classmethod
     def load(cls, path: str) -> Model:
@@ -274,7 +274,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool =
                 for text in batch.column("text").to_pylist():
                     text = text or ""
                     packed = own.packed(text)
-                    spoken = own.decode(memoryview(packed).cast("I"))
+                    spoken = own.decode(array("I", packed))
                     ids.append(packed)
                     counts.append(len(packed) // 4)
                     crcs.append(zlib.crc32(packed))
