@@ -16,6 +16,7 @@ from .near_dedup import near_duplicate_classes
 from .pieces import encode_documents
 from .sharding import shard_documents
 from .substring_dedup import remove_repeats
+from .token_counts import count_tokens
 from .token_files import read_token_files, write_token_files
 from .topk import exact_topk
 from .toxicity import score_documents
@@ -67,8 +68,12 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"))
 
 
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents")).drop("n_direct")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_line_dedup, op2_exact_dedup, op3_substring_dedup, op4_sharding, op5_exact_topk, op6_minhash_near_dedup, op7_toxicity, op8_token_files, op9_mixing, op10_sentencepiece)
+    found = (op1_line_dedup, op2_exact_dedup, op3_substring_dedup, op4_sharding, op5_exact_topk, op6_minhash_near_dedup, op7_toxicity, op8_token_files, op9_mixing, op10_sentencepiece, op13_token_counts)
     return {f.__name__: f for f in found}
 
 
