@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from .line_dedup import dedup_lines
 from .mixing import curriculum
 from .near_dedup import near_duplicate_classes
 from .pieces import encode_documents
+from .periodic_runs import periodic_runs
 from .sharding import shard_documents
 from .substring_dedup import remove_repeats
 from .token_counts import count_tokens
@@ -68,12 +70,33 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"))
 
 
+def planted(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The contract's periodic tail in one document of ten; rows without an id keep their words."""
+    h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if h % 10 or not words:
+        return words
+    g, n = h // 10, len(words)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a : a + p] * (1 + (n - a) // p))[: n - a]
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(table(spark, sf_dir, "documents"), rewrite=planted)
+    line = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    milli = F.expr("1000 * length div period")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "start", "length", "period", milli.alias("exponent_milli"),
+        F.sha2(F.encode(F.array_join(line, ""), "UTF-8"), 256).alias("runs_sha256"), F.sha2(F.encode("collapsed_text", "UTF-8"), 256).alias("collapsed_sha256"),
+    )
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents")).drop("n_direct")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_line_dedup, op2_exact_dedup, op3_substring_dedup, op4_sharding, op5_exact_topk, op6_minhash_near_dedup, op7_toxicity, op8_token_files, op9_mixing, op10_sentencepiece, op13_token_counts)
+    found = (op1_line_dedup, op2_exact_dedup, op3_substring_dedup, op4_sharding, op5_exact_topk, op6_minhash_near_dedup, op7_toxicity, op8_token_files, op9_mixing, op10_sentencepiece, op12_periodic_runs, op13_token_counts)
     return {f.__name__: f for f in found}
 
 
