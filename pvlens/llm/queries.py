@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .common import shared_dir, table
 from .exact_dedup import exact_groups
+from .filter_audit import filter_audit
 from .line_dedup import dedup_lines
 from .mixing import curriculum
 from .near_dedup import near_duplicate_classes
@@ -70,6 +71,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def planted(doc_id: int | None, words: list[bytes]) -> list[bytes]:
     """The contract's periodic tail in one document of ten; rows without an id keep their words."""
     h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
@@ -96,7 +101,7 @@ def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_line_dedup, op2_exact_dedup, op3_substring_dedup, op4_sharding, op5_exact_topk, op6_minhash_near_dedup, op7_toxicity, op8_token_files, op9_mixing, op10_sentencepiece, op12_periodic_runs, op13_token_counts)
+    found = (op1_line_dedup, op2_exact_dedup, op3_substring_dedup, op4_sharding, op5_exact_topk, op6_minhash_near_dedup, op7_toxicity, op8_token_files, op9_mixing, op10_sentencepiece, op11_filter_audit, op12_periodic_runs, op13_token_counts)
     return {f.__name__: f for f in found}
 
 
@@ -126,5 +131,47 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
 
+#: Every order applied step by step to the counts of (part, letters of the filters failed).
+FILTER_AUDIT_SQL = r"""
+WITH words AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first_id
+  FROM documents
+), failed AS (
+  SELECT part,
+         CASE WHEN len(w) < 100 THEN 'A' ELSE '' END
+         || CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 10 * length(t) THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+         || CASE WHEN doc_id > first_id OR (doc_id IS NULL AND first_id IS NOT NULL) THEN 'E' ELSE '' END AS fails,
+         coalesce(l.good, false) AS good, coalesce(l.toxic, false) AS toxic
+  FROM words LEFT JOIN (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id) l USING (doc_id)
+), counts AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM failed GROUP BY part, fails
+), letters AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+  FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), steps AS (
+  SELECT filter_order, step, substr(filter_order, step, 1) AS letter, substr(filter_order, 1, step - 1) AS before
+  FROM orders, (SELECT unnest(range(1, 6)) AS step)
+), marked AS (
+  SELECT c.*, s.*, contains(fails, letter) AS bad, before <> '' AND regexp_matches(fails, '[' || before || '#]') AS gone FROM counts c, steps s
+), done AS (
+  SELECT part, filter_order, step, letter,
+         coalesce(sum(n) FILTER (WHERE NOT gone AND NOT bad), 0) AS kept, coalesce(sum(n) FILTER (WHERE NOT gone AND bad), 0) AS removed,
+         coalesce(sum(n) FILTER (WHERE gone AND bad), 0) AS redundant, coalesce(sum(n) FILTER (WHERE fails = letter), 0) AS unique_fails,
+         coalesce(sum(good) FILTER (WHERE NOT gone AND bad), 0) AS good_lost, coalesce(sum(toxic) FILTER (WHERE NOT gone AND bad), 0) AS toxic_lost
+  FROM marked GROUP BY ALL
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+FROM done
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": EXACT_DEDUP_SQL, "op5_exact_topk": TOPK_SQL}
+    return {"op2_exact_dedup": EXACT_DEDUP_SQL, "op5_exact_topk": TOPK_SQL, "op11_filter_audit": FILTER_AUDIT_SQL}
