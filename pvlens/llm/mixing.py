@@ -43,8 +43,8 @@ def targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float
 
 
 def due(consumed: Column, target: Column, tilt: Column) -> Column:
-    """Training time in [0, 1] at which a source's demand reaches `consumed` words."""
-    u, q = consumed / target, 1 - tilt
+    """Training time in [0, 1] at which a source's demand reaches `consumed` words; 0 of a source that asks for none."""
+    u, q = F.coalesce(F.try_divide(consumed, target), F.lit(0.0)), 1 - tilt
     root = q + F.sqrt(q * q + 4 * tilt * u)
     return F.when(root > 0, F.least(F.lit(1.0), 2 * u / root)).otherwise(F.lit(0.0))
 
@@ -58,24 +58,28 @@ def curriculum(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: flo
     is the sum of its words. A source takes round(target) words exactly: the document across
     the target is taken in part. Null texts and texts without words have size 0 and take
     nothing; null sources are a source of their own; repeated rows count each; an empty table
-    gives no rows. Prefix sums run inside (source, hash bucket), shifted by the bucket totals
-    before, so a hot source is spread over many tasks.
+    gives no rows. A source without words has target 0 and takes nothing. A kept column of a name
+    above comes back with the suffix _kept. Prefix sums run inside (source, hash bucket), shifted by the bucket totals
+    before, so a hot source is spread over many tasks; rows without an id are spread by their text.
     """
+    own = ("doc_id", "source", "size", "source_size", "target", "taken", "takes")
+    held = {c: f"_keep_{i}" for i, c in enumerate(keep)}
     buckets = max(1, math.ceil(docs.select("doc_id").count() / rows_per_bucket))
     key = F.col("doc_id").cast("long")
-    order = F.xxhash64(key, F.lit(seed), F.lit("queue"))
+    order = F.when(key.isNull(), F.xxhash64("text", F.lit(seed), F.lit("queue"))).otherwise(F.xxhash64(key, F.lit(seed), F.lit("queue")))
     sized = docs.select(
         key.alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        *keep,
-    ).select("*", order.alias("_order"), F.pmod(order, F.lit(buckets)).cast("int").alias("_bucket"))
+        order.alias("_order"),
+        *(F.col(c).alias(name) for c, name in held.items()),
+    ).select("*", F.pmod("_order", F.lit(buckets)).cast("int").alias("_bucket"))
     totals = sized.groupBy("source", "_bucket").agg(F.sum("size").alias("_words"))
     before = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     shifted = totals.select("source", "_bucket", F.coalesce(F.sum("_words").over(before), F.lit(0)).alias("_shift"))
     goal = targets(totals.groupBy("source").agg(F.sum("_words").alias("source_size")), weights, share, max_repeats)
     plan = shifted.alias("a").join(goal.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select("a.*", "b.source_size", "b.turn", "b.target")
-    tie = [c for c in ("doc_id", "size", *[k for k in keep if k == "text"])]
+    tie = ["doc_id", "size", *[name for c, name in held.items() if c == "text"]]
     inside = Window.partitionBy("source", "_bucket").orderBy("_order", *tie).rowsBetween(Window.unboundedPreceding, -1)
     queued = sized.withColumn("_inner", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     joined = (
@@ -94,7 +98,7 @@ def curriculum(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: flo
     return joined.withColumn("takes", F.filter(F.array(*takes), lambda x: x["words"] > 0)).select(
         "doc_id", "source", "size", "source_size", "target",
         F.aggregate("takes", F.lit(0).cast("long"), lambda a, x: a + x["words"]).alias("taken"),
-        "takes", *keep,
+        "takes", *(F.col(name).alias(f"{c}_kept" if c in own else c) for c, name in held.items()),
     )
 
 
