@@ -142,7 +142,7 @@ def train_dictionary(docs: DataFrame, path: str, sample_docs: int = 1000, max_ch
     smallest hashes: long documents do not need a dictionary. Empty where nothing can be learned.
     """
     order = F.xxhash64(F.col("doc_id").cast("long"), F.lit("dictionary"))
-    rows = smallest_hashes(docs, order, sample_docs).where(F.length("text").between(1, max_chars))
+    rows = smallest_hashes(docs.where(F.length("text").between(1, max_chars)), order, sample_docs)
     rows = rows.select("text", order.alias("_o")).orderBy("_o", "text").limit(sample_docs)
     samples = encoder(path).encode([r.text for r in rows.collect()])
     if not samples:
