@@ -13,6 +13,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .windows import micros
+
 
 def with_group(df: DataFrame, facts: DataFrame, by: Sequence[str]) -> DataFrame:
     """df with the columns of facts, which has one row a group; null groups match."""
@@ -28,8 +30,8 @@ def with_group(df: DataFrame, facts: DataFrame, by: Sequence[str]) -> DataFrame:
 def blocked(df: DataFrame, order: str, by: Sequence[str] = (), blocks: int = 64) -> DataFrame:
     """df with _block: 0, 1, ... ascending in `order`, of about equal numbers of rows in each group; nulls are in block 0."""
     value = F.col(order)
-    if dict(df.dtypes)[order].startswith("timestamp"):
-        value = F.unix_micros(value.cast("timestamp"))
+    if (kind := dict(df.dtypes)[order]).startswith("timestamp"):
+        value = F.unix_micros(value) if kind == "timestamp" else micros(value)
     value = value.cast("double")
     shares = F.array(*[F.lit(i / blocks) for i in range(1, blocks)])
     bounds = df.groupBy(*by).agg(F.percentile_approx(value, shares, F.lit(20 * blocks)).alias("_bounds"))

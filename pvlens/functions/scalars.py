@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -27,7 +28,15 @@ def parse_number(c: Column) -> Column:
 
 
 def parse_timestamp(c: Column, pattern: str = "d-M-yyyy H:m") -> Column:
-    return F.try_to_timestamp(c, F.lit(pattern)).cast("timestamp_ntz")
+    """A naive timestamp, read as it stands: no zone has a part in it, so hours that a zone skips exist. Null where the text does not fit.
+
+    pattern: d, M, yyyy, H, m, s, doubled for two digits; anything else stands for itself.
+    """
+    pieces = re.findall(r"([dMyHms])(\1*)|([^dMyHms]+)", pattern)
+    shape = "".join(re.escape(other) if other else rf"(\d{{{len(more) + 1}}})" if more else r"(\d{1,2})" for _, more, other in pieces)
+    letters = [letter for letter, _, other in pieces if not other]
+    part = lambda x: F.regexp_extract(c, f"^{shape}$", letters.index(x) + 1).try_cast("int") if x in letters else F.lit(0)
+    return F.try_make_timestamp_ntz(part("y"), part("M"), part("d"), part("H"), part("m"), part("s").cast("decimal(16,6)"))
 
 
 def blank_to_null(c: Column) -> Column:

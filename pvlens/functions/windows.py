@@ -19,8 +19,19 @@ def full(agg: Column, value: Column, n: int, w: WindowSpec) -> Column:
     return F.when(F.count(value).over(frame) == n, agg.over(frame))
 
 
+def micros(c: Column) -> Column:
+    """Microseconds since 1970 of a naive timestamp, on its own clock: never an instant of the session's zone."""
+    since = c.cast("timestamp_ntz") - F.lit("1970-01-01").cast("timestamp_ntz")
+    return (since.cast("interval second").cast("decimal(20,6)") * 1_000_000).cast("long")
+
+
+def naive(us: Column) -> Column:
+    """The naive timestamp of `micros`."""
+    return F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), us.cast("decimal(18,0)") / 1_000_000)
+
+
 def seconds_between(a: Column, b: Column) -> Column:
-    return (F.unix_micros(a.cast("timestamp")) - F.unix_micros(b.cast("timestamp"))) / F.lit(1_000_000)
+    return (micros(a) - micros(b)) / F.lit(1_000_000)
 
 
 def islands(df: DataFrame, starts: Column, w: WindowSpec, name: str = "island") -> DataFrame:

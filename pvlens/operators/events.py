@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordering import numbered_runs, positions
-from ..functions.windows import seconds_between
+from ..functions.windows import micros, seconds_between
 
 
 def group_alert_events(scored: DataFrame, ts: str = "Timestamp", score: str = "anomaly_score", status: str = "status", by: tuple[str, ...] = (), gap_seconds: float = 120, exact: bool = True) -> DataFrame:
@@ -51,7 +51,7 @@ def classify_alert_events(scored: DataFrame, runs: DataFrame, ts: str = "Timesta
         inside = inside & F.col(f"_by_{c}").eqNullSafe(F.col(c))
     rows = scored.where(F.col(status) == "ALERT").select(F.col(ts).alias("_ts"), F.col(context).alias("_context"), F.col(label).alias("_label"), *(F.col(c).alias(f"_by_{c}") for c in by))
     # Runs do not overlap: a row meets its run through the hour that both lie in.
-    hour = lambda c: F.floor(F.unix_micros(c.cast("timestamp")) / F.lit(3_600_000_000))
+    hour = lambda c: F.floor(micros(c) / F.lit(3_600_000_000))
     spread = runs.select("event_id", *by, "start_timestamp", "end_timestamp", F.explode(F.sequence(hour(F.col("start_timestamp")), hour(F.col("end_timestamp")))).alias("_hour"))
     met = spread.join(rows.withColumn("_at", hour(F.col("_ts"))), (F.col("_hour") == F.col("_at")) & inside)
     seen = met.groupBy("event_id", *by).agg(F.sort_array(F.collect_set("_context")).alias("effect_contexts"), F.sort_array(F.collect_set("_label")).alias("direct_event_ids"))

@@ -17,7 +17,7 @@ from pyspark.sql.window import WindowSpec
 from .. import schema as S
 from ..functions.ordering import in_chunks, positions, with_group
 from ..functions.scalars import cyclic, row_stats, safe_ratio, safe_relative_change
-from ..functions.windows import full
+from ..functions.windows import full, micros
 
 LOW_LIGHT = 5.0
 
@@ -38,9 +38,9 @@ def add_basic(df: DataFrame, series: str | None = None) -> DataFrame:
     ts = F.col(S.TIMESTAMP)
     hour, minute = F.hour(ts), F.minute(ts)
     of_day = hour * 60 + minute
-    micros = F.unix_micros(ts.cast("timestamp"))
+    at = micros(ts)
     by = [series] if series else []
-    df = with_group(df, df.groupBy(*by).agg(F.min(micros).alias("_start")), by)
+    df = with_group(df, df.groupBy(*by).agg(F.min(at).alias("_start")), by)
     start = F.col("_start")
     rtd = row_stats(F.array(*S.RTDS))
     hs, hc = cyclic(hour, 24)
@@ -48,7 +48,7 @@ def add_basic(df: DataFrame, series: str | None = None) -> DataFrame:
     product = F.col("Array_Voltage") * F.col("Array_Current")
     residual = F.col("Power_Generated") - product
     return df.select(
-        *(c for c in df.columns if c != "_start"), hour.cast("short").alias("hour"), minute.cast("short").alias("minute"), of_day.cast("short").alias("minute_of_day"), ((micros - start) / 6e7).alias("elapsed_minutes_from_start"),
+        *(c for c in df.columns if c != "_start"), hour.cast("short").alias("hour"), minute.cast("short").alias("minute"), of_day.cast("short").alias("minute_of_day"), ((at - start) / 6e7).alias("elapsed_minutes_from_start"),
         hs.alias("hour_sin"), hc.alias("hour_cos"), ms.alias("minute_of_day_sin"), mc.alias("minute_of_day_cos"),
         *(rtd[k].alias(f"rtd_{k}") for k in ("mean", "std", "min", "max", "range")),
         product.alias("electrical_power_product"), residual.alias("power_consistency_residual"), F.abs(residual).alias("power_consistency_abs_error"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions.ordering import distribution, percentiles, positions
 from ..functions.scalars import blank_to_null, category, close, corr, finite, parse_number, parse_timestamp, safe_ratio
-from ..functions.windows import changed, islands, ordered
+from ..functions.windows import changed, islands, micros, ordered, seconds_between
 
 #: Which columns the review counts to which category, and its recommendations.
 TIME_COLUMNS = ("Timestamp", "hour", "minute", "minute_of_day", "elapsed_minutes_from_start", "hour_sin", "hour_cos", "minute_of_day_sin", "minute_of_day_cos")
@@ -281,22 +281,21 @@ def focused_groups(pairs: DataFrame, groups: dict[str, Sequence[str]]) -> DataFr
 
 def near_events(df: DataFrame, moments: Sequence, minutes: float = 20, ts: str = "Timestamp") -> DataFrame:
     """Rows within `minutes` of a few known moments, with the moment and offset_minutes."""
-    at = df.sparkSession.createDataFrame([(m,) for m in moments], "moment timestamp_ntz")
-    offset = (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("moment").cast("timestamp"))) / 6e7
+    at = df.sparkSession.createDataFrame([(str(m),) for m in moments], "moment string").select(F.col("moment").cast("timestamp_ntz").alias("moment"))
+    offset = seconds_between(F.col(ts), F.col("moment")) / 60
     return df.join(F.broadcast(at), F.abs(offset) <= minutes).withColumn("offset_minutes", offset)
 
 
 def aligned(near: DataFrame, value: str, first, second, by: Sequence[str] = ()) -> DataFrame:
     """Two of those moments compared offset by offset: n, Pearson r, mean absolute difference."""
-    side = lambda m, name: near.where(F.col("moment") == F.lit(m).cast("timestamp_ntz")).select(*by, "offset_minutes", F.col(value).alias(name))
+    side = lambda m, name: near.where(F.col("moment") == F.lit(str(m)).cast("timestamp_ntz")).select(*by, "offset_minutes", F.col(value).alias(name))
     both = side(first, "x").join(side(second, "y"), [*by, "offset_minutes"]).where("x is not null and y is not null")
     return both.agg(F.count("*").alias("n"), corr(F.col("x"), F.col("y")).alias("r"), F.avg(F.abs(F.col("x") - F.col("y"))).alias("mae"))
 
 
 def spike_review(df: DataFrame, column: str, event: Column, series: str = "series", ts: str = "Timestamp", minutes: float = 10) -> DataFrame:
     """series, event maximum, maximum of all other rows, mean of the neighbours within `minutes` of the event, and whether the event is beyond history."""
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    rows = df.select(series, micros.alias("_us"), F.col(column).alias("value"), F.coalesce(event, F.lit(False)).alias("_event"))
+    rows = df.select(series, micros(F.col(ts)).alias("_us"), F.col(column).alias("value"), F.coalesce(event, F.lit(False)).alias("_event"))
     span = rows.where("_event").groupBy(series).agg(F.min("_us").alias("_lo"), F.max("_us").alias("_hi"))
     near = ~F.col("_event") & F.col("_us").between(F.col("_lo") - minutes * 6e7, F.col("_hi") + minutes * 6e7)
     got = rows.join(span, series).groupBy(series).agg(F.max(F.when(F.col("_event"), F.col("value"))).alias("event_maximum"), F.max(F.when(~F.col("_event"), F.col("value"))).alias("history_maximum"), F.avg(F.when(near, F.col("value"))).alias("neighbour_mean"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ordering import percentiles, time_buckets, with_ranks
 from ..functions.scalars import close, corr
-from ..functions.windows import seconds_between
+from ..functions.windows import micros, seconds_between
 from .review import long_form
 
 SHARES = {"median": 0.5, "p90": 0.9, "p95": 0.95, "p975": 0.975, "p99": 0.99}
@@ -76,7 +76,7 @@ def top_rows(scores: DataFrame, k: int = 10, by: Sequence[str] = ("partition",),
 def top_summary(scores: DataFrame, k: int = 10, by: Sequence[str] = ("partition",), score: str = "anomaly_score", ts: str = "Timestamp", context: str = "context", minutes: int = 60) -> DataFrame:
     """by..., rows, span in hours, most of them in any `minutes`, rows in context (1): of the k highest scores."""
     width = minutes * 60_000_000
-    top = top_rows(scores, k, by, score, ts).select(*by, ts, context, F.unix_micros(F.col(ts).cast("timestamp")).alias("_us"))
+    top = top_rows(scores, k, by, score, ts).select(*by, ts, context, micros(F.col(ts)).alias("_us"))
     w = Window.partitionBy(*by, "_bucket").orderBy("_us").rangeBetween(0, width)
     dense = time_buckets(top, "_us", width, 0, 1).withColumn("_n", F.count("*").over(w)).where("_own").groupBy(*by).agg(F.max("_n").alias("most_in_window"))
     span = top.groupBy(*by).agg(F.count("*").alias("rows"), (seconds_between(F.max(ts), F.min(ts)) / 3600).alias("span_hours"), F.count_if(F.col(context) == 1).alias("in_context"))
@@ -86,9 +86,9 @@ def top_summary(scores: DataFrame, k: int = 10, by: Sequence[str] = ("partition"
 def neighbour_means(df: DataFrame, at: DataFrame, columns: Sequence[str], ts: str = "Timestamp", minutes: float = 10, by: Sequence[str] = ()) -> DataFrame:
     """at with the means of `columns` over the rows within `minutes` of each of its rows, itself left out."""
     width = int(minutes * 60_000_000)
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    rows = df.select(*by, micros.alias("_us"), *columns).withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("_us") / width) - 1, F.floor(F.col("_us") / width) + 1)))
-    own = at.withColumn("_at", micros).withColumn("_bucket", F.floor(F.col("_at") / width))
+    at_us = micros(F.col(ts))
+    rows = df.select(*by, at_us.alias("_us"), *columns).withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("_us") / width) - 1, F.floor(F.col("_us") / width) + 1)))
+    own = at.withColumn("_at", at_us).withColumn("_bucket", F.floor(F.col("_at") / width))
     near = rows.select(*by, "_bucket", "_us", *(F.col(c).alias(f"_near_{c}") for c in columns))
     met = own.join(near, [*by, "_bucket"], "left").where(F.col("_us").isNull() | ((F.abs(F.col("_us") - F.col("_at")) <= width) & (F.col("_us") != F.col("_at"))))
     means = met.groupBy(*by, ts).agg(*(F.avg(f"_near_{c}").alias(f"{c}_near") for c in columns))

@@ -35,7 +35,7 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 def queries() -> dict:
-    from . import stage_queries, vision_queries  # noqa: F401  they add theirs
+    from . import stage_queries, stream_queries, vision_queries  # noqa: F401  they add theirs
 
     return {k: f for k, (f, _) in FOUND.items()}
 
@@ -522,6 +522,20 @@ def iforest_fit_score(spark, d):
     return score(rows, fit(rows, x, "vec_id", seed=42), x).select("vec_id", "anomaly_score")
 
 
+@query("SELECT vec_id, CAST(64 AS INTEGER) AS inside, true AS same_score FROM embeddings")
+def iforest_sql_score(spark, d):
+    """A fitted forest scored by expressions: every row in one leaf box of each tree, and the score that Arrow batches give."""
+    from ..operators.iforest import fit, score, score_sql
+
+    e = table(spark, d, "embeddings")
+    x = [f"x{i}" for i in range(e.agg(F.max(F.size("embedding"))).first()[0] or 0)]
+    rows = e.select("vec_id", *(F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(x)))
+    forest = fit(rows, x, "vec_id", trees=64, seed=42)
+    other = score(rows, forest, x).select("vec_id", F.col("anomaly_score").alias("_other"))
+    found = score_sql(rows, forest, x, with_boxes=True).select("vec_id", "inside", "anomaly_score")
+    return found.join(other, "vec_id").select("vec_id", "inside", (F.abs(F.col("anomaly_score") - F.col("_other")) < 1e-12).alias("same_score"))
+
+
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 4) AS quantity, CAST(grouping(l_returnflag) + grouping(l_linestatus) AS BIGINT) AS level FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
 def cube_rollup_ext(spark, d):
     return table(spark, d, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 4).alias("quantity"), (F.grouping("l_returnflag") + F.grouping("l_linestatus")).cast("long").alias("level"))

@@ -15,8 +15,9 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.scalars import status
+from ..functions.windows import micros
 
-EVENT = "series string, start_timestamp timestamp, end_timestamp timestamp, row_count long, maximum_anomaly_score double"
+EVENT = "series string, start_timestamp timestamp_ntz, end_timestamp timestamp_ntz, row_count long, maximum_anomaly_score double"
 
 
 def read_replay(spark: SparkSession, path: str, schema: str | T.StructType, files_per_step: int = 1) -> DataFrame:
@@ -57,5 +58,5 @@ def alert_runs(stream: DataFrame, series: str = "series", ts: str = "Timestamp",
             }
         )
 
-    rows = stream.select(F.col(series).cast("string").alias("series"), F.unix_micros(F.col(ts).cast("timestamp")).alias("ts"), F.col(score).cast("double").alias("score"), (F.col("status") == "ALERT").alias("alert")).where("ts is not null")
+    rows = stream.select(F.col(series).cast("string").alias("series"), micros(F.col(ts)).alias("ts"), F.col(score).cast("double").alias("score"), (F.col("status") == "ALERT").alias("alert")).where("ts is not null")
     return rows.groupBy("series").applyInPandasWithState(step, EVENT, "start long, end long, n long, top double", "append", GroupStateTimeout.NoTimeout)
