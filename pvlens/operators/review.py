@@ -11,6 +11,7 @@ from .. import schema as S
 from ..functions.ordering import distribution, percentiles, positions
 from ..functions.scalars import blank_to_null, category, close, corr, finite, parse_number, parse_timestamp, safe_ratio
 from ..functions.windows import changed, islands, micros, ordered, seconds_between
+from .gram import correlations  # noqa: F401  one of the reviews
 
 #: Which columns the review counts to which category, and its recommendations.
 TIME_COLUMNS = ("Timestamp", "hour", "minute", "minute_of_day", "elapsed_minutes_from_start", "hour_sin", "hour_cos", "minute_of_day_sin", "minute_of_day_cos")
@@ -260,17 +261,6 @@ def residual_statistics(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return facts.join(percentiles(long, "value", {"median": 0.5}, ["column_name"]), "column_name")
 
 
-def correlations(df: DataFrame, columns: Sequence[str], strong: float = 0.95, batch: int = 200) -> DataFrame:
-    """a, b, n, r, strong for every pair of columns, over the rows where both have a value; the moments of `batch` pairs a pass."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    out = None
-    for at in range(0, len(pairs), batch):
-        cells = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.count_if(F.col(a).isNotNull() & F.col(b).isNotNull()).alias("n"), corr(F.col(a).cast("double"), F.col(b).cast("double")).alias("r")) for a, b in pairs[at : at + batch]]
-        part = df.agg(F.array(*cells).alias("x")).select(F.inline("x"))
-        out = part if out is None else out.unionByName(part)
-    return out.withColumn("strong", F.coalesce(F.abs("r") >= strong, F.lit(False))).orderBy(F.desc(F.abs("r")), "a", "b")
-
-
 def focused_groups(pairs: DataFrame, groups: dict[str, Sequence[str]]) -> DataFrame:
     """name, pairs, minimum, maximum of |r| among the columns of each declared group."""
     members = pairs.sparkSession.createDataFrame([(g, c) for g, cs in groups.items() for c in cs], "name string, column string")

@@ -145,6 +145,18 @@ def feature_correlations(spark, d):
     return review.correlations(t, _PAIRED, 0.9).select("a", "b", "n", *_round(("r",)), "strong")
 
 
+_ALL = S.S81[1:]
+
+
+@query(f"""WITH t AS (SELECT series, n, {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in _ALL)} FROM ({SQL81})), l AS MATERIALIZED (UNPIVOT t ON {', '.join(_ALL)} INTO NAME c VALUE v),
+o AS (SELECT c, row_number() OVER () AS i FROM (SELECT unnest([{', '.join(f"'{c}'" for c in _ALL)}]) AS c)), k AS (SELECT series, n, c, v, i FROM l JOIN o USING (c)),
+p AS (SELECT x.c AS a, y.c AS b, count(*) AS n, covar_pop(x.v, y.v) AS cov, stddev_pop(x.v) * stddev_pop(y.v) AS den FROM k x JOIN k y ON x.series = y.series AND x.n = y.n AND x.i < y.i GROUP BY x.c, y.c)
+SELECT a, b, n, CASE WHEN den > 1e-12 THEN round(cov / den, 4) + 0.0 END AS r FROM p""")
+def feature_correlation_matrix(spark, d):
+    """All 3,160 pairs of the 80 columns in one scan."""
+    return review.correlations(featured(spark, d), _ALL).where("n > 0").select("a", "b", "n", *_round(("r",), 4))
+
+
 @query(f"""SELECT 'electrical_power_product' AS column_name, count(*) AS n, round(avg(x), 5) AS mean, round(stddev_samp(x), 5) AS std, round(min(x), 5) AS minimum, round(quantile_cont(x, 0.5), 5) AS median, round(max(x), 5) AS maximum FROM (SELECT Array_Voltage * Array_Current AS x FROM ({SQL14}))
 UNION ALL SELECT 'power_consistency_residual', count(*), round(avg(x), 5), round(stddev_samp(x), 5), round(min(x), 5) + 0.0, round(quantile_cont(x, 0.5), 5), round(max(x), 5) FROM (SELECT Power_Generated - Array_Voltage * Array_Current AS x FROM ({SQL14}))""")
 def residual_statistics(spark, d):
