@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..operators import calibration, events, features, gates, profile, review, scores, serving, synthetic
+from ..operators import calibration, events, features, freeze, gates, profile, review, scores, serving, synthetic
 from ..operators.iforest import fit, score
-from ..sources import operational
+from ..sources import operational, publish
+from ..sources.folders import working_folder
 
 
 def passed(report: DataFrame, name: str) -> DataFrame:
@@ -30,9 +31,13 @@ def clean(spark: SparkSession, path: str, numeric: Sequence[str] = tuple(S.MEASU
 
 
 def engineer(df: DataFrame, series: str, place: str) -> dict[str, DataFrame]:
-    """14 columns to 81, validated after every stage: table, inventory, missing by width."""
-    gates.numeric_gate(df, S.MEASUREMENTS)
-    out = features.features(df, series)
+    """14 columns to 81, validated after every stage: table, inventory, missing by width.
+
+    The table is computed once, by the job that writes it and checks the measurements; all that follows reads what was written.
+    """
+    spark = df.sparkSession
+    contract = publish.Contract(ts=S.TIMESTAMP, series=[series], unique=True, finite=S.MEASUREMENTS)
+    out = publish.publish(features.features(df, series), working_folder(spark, "engineered"), contract)
     passed(review.validate_basic(df, out, (series, place)), "basic")
     passed(review.validate_rolling(out, series, place), "rolling")
     passed(review.validate_change(out, series, place), "change")
@@ -99,14 +104,22 @@ def stability(parts: DataFrame, inputs: Sequence[str], key: str, seeds: Sequence
     return {"scores": rows, "pairs": agreed, "gates": calibration.freeze_gates(agreed, least, median, 20, overlap)}
 
 
-def calibrate(scored: DataFrame, rules: Sequence[tuple[str, str, float]], rows: tuple[int, int], percentage: tuple[float, float], isolated: float, extreme: float, target: float, by: tuple[str, ...] = (), low_light: Column | None = None, odd: Column | None = None) -> dict[str, DataFrame]:
-    """Candidates from the calibration rows, what each flags, and the choice; then a look at the evaluation rows with the frozen threshold."""
+def calibrate(scored: DataFrame, rules: Sequence[tuple[str, str, float]], rows: tuple[int, int], percentage: tuple[float, float], isolated: float, extreme: float, target: float, by: tuple[str, ...] = (), low_light: Column | None = None, odd: Column | None = None, chain: str | None = None) -> dict[str, DataFrame]:
+    """Candidates from the calibration rows, what each flags, and the choice; then a look at the evaluation rows with the frozen threshold.
+
+    chain: a folder in which the choice is frozen first; the evaluation rows are read only against that manifest.
+    """
     seen = scored.where("partition = 'calibration'")
     candidates = calibration.settled(calibration.candidate_thresholds(seen, rules))
     summary = calibration.flag_summary(seen, candidates, low_light=low_light, extreme=odd, by=by)
     gated = calibration.settled(calibration.gate_candidates(summary, rows, percentage, isolated, extreme))
     choice = calibration.settled(calibration.select_threshold(gated, target))
-    after = calibration.flag_summary(scored.where("partition = 'evaluation'"), choice.select("declared", "rule", "threshold"), low_light=low_light, extreme=odd, by=by)
+    kept = scored.where("partition = 'evaluation'")
+    if chain is not None:
+        picked = freeze.choice_of(choice)
+        freeze.freeze(scored.sparkSession, chain, "threshold", picked, {"rules": serving.canonical_hash([list(r) for r in rules])})
+        kept = freeze.opened(scored, F.col("partition") == "evaluation", chain, "threshold", freeze.choice_of(choice))
+    after = calibration.flag_summary(kept, choice.select("declared", "rule", "threshold"), low_light=low_light, extreme=odd, by=by)
     return {"candidates": gated, "choice": choice, "evaluation": after}
 
 
@@ -119,8 +132,13 @@ def generate(df: DataFrame, scenarios: Sequence[synthetic.Scenario], ok: dict[st
     return {"events": chosen, "skipped": skipped, "table": synthetic.effect_context(features.features(df, series), again, S.S81[1:], [pos]), "checks": checks}
 
 
-def evaluate(baseline: DataFrame, copy: DataFrame, detector: serving.Detector, key: Sequence[str], by: tuple[str, ...] = ()) -> dict[str, DataFrame]:
-    """Scores of a copy and of its untouched twin: paired rows, confusion, differences, events and alert events."""
+def evaluate(baseline: DataFrame, copy: DataFrame, detector: serving.Detector, key: Sequence[str], by: tuple[str, ...] = (), chain: str | None = None) -> dict[str, DataFrame]:
+    """Scores of a copy and of its untouched twin: paired rows, confusion, differences, events and alert events.
+
+    chain: the folder in which this detector was frozen as step `detector`; another one is an error.
+    """
+    if chain is not None:
+        freeze.demanded(copy.sparkSession, chain, "detector", detector.hashes())
     labels = ["synthetic_anomaly", "synthetic_anomaly_id", "effect_context"]
     gates.labels_gate(copy)
     own = [*key, *[c for c in (S.TIMESTAMP,) if c not in key]]
