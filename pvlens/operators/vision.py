@@ -198,20 +198,26 @@ def class_metrics(metrics: DataFrame, classes: Sequence[str]) -> DataFrame:
     return named_classes(rows, classes).orderBy(F.desc_nulls_last("map50_95"), "class_id")
 
 
-def pick_examples(class_sets: DataFrame, most: int, image: str = "image", classes: str = "classes") -> list[str]:
+def pick_examples(class_sets: DataFrame, most: int, image: str = "image", classes: str = "classes", most_sets: int = 1 << 16) -> list[str]:
     """Images that show as many classes as they can: each pick adds the most classes not shown yet, ties to the first image.
 
-    The loop is over classes, a handful: each step asks the table for its best image.
+    One job: of the images that show the same classes only the first can be picked, so the choice is among as many as
+    there are sets of classes (at most 2^k of k classes; more than `most_sets` is an error). A null set shows nothing.
     """
-    shown: list[str] = []
-    picked: list[str] = []
-    while len(picked) < most:
-        fresh = F.size(F.array_except(F.col(classes), F.array(*(F.lit(x) for x in shown)).cast("array<string>")))
-        best = class_sets.where(~F.col(image).isin(picked) if picked else F.lit(True)).select(image, classes, fresh.alias("_fresh")).orderBy(F.desc("_fresh"), image).first()
-        if best is None or (picked and best._fresh == 0):
+    shows = F.sort_array(F.array_distinct(F.coalesce(F.col(classes), F.array().cast("array<string>"))))
+    firsts = class_sets.select(shows.alias("_set"), F.col(image).alias("_image")).groupBy("_set").agg(F.min("_image").alias("_image"))
+    sets = firsts.limit(most_sets + 1).collect()
+    if len(sets) > most_sets:
+        raise ValueError(f"more than {most_sets} sets of classes")
+    bit = {c: 1 << i for i, c in enumerate(sorted({c for r in sets for c in r["_set"]}))}
+    masks = {r["_image"]: sum(bit[c] for c in r["_set"]) for r in sets}
+    picked, shown = [], 0
+    while masks and len(picked) < most:
+        best = min(masks, key=lambda x: (-(masks[x] & ~shown).bit_count(), x))
+        if picked and not masks[best] & ~shown:
             break
-        picked.append(best[image])
-        shown = sorted({*shown, *best[classes]})
+        picked.append(best)
+        shown |= masks.pop(best)
     return picked
 
 

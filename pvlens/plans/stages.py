@@ -45,6 +45,26 @@ def engineer(df: DataFrame, series: str, place: str) -> dict[str, DataFrame]:
     return {"table": out, "inventory": inventory, "missing_by_width": review.missing_by_width(inventory)}
 
 
+def split_by_time(df: DataFrame, bounds: Sequence[tuple[str, str, str]], folder: str, ts: str = S.TIMESTAMP, rows: dict[str, int] | None = None, by: Sequence[str] = (), name: str = "partition") -> DataFrame:
+    """df with the partition that each row's time lies in, written to `folder` by the job that checks it, and read again.
+
+    bounds: name, first and last time (both inclusive), in order and apart. Every row lies in exactly one; both bounds of each are
+    times of the table (with `by`, of some series); rows: how many each must hold. No time is missing or comes twice in a
+    series. Anything else is an error, and nothing is published.
+    """
+    spans = [(n, F.lit(lo).cast("timestamp_ntz"), F.lit(hi).cast("timestamp_ntz")) for n, lo, hi in bounds]
+    for (a, _, end), (b, start, _) in zip(bounds, bounds[1:]):
+        if start <= end:
+            raise ValueError(f"{b} begins before {a} ends")
+    part = F.lit(None).cast("string")
+    for n, lo, hi in reversed(spans):
+        part = F.when(F.col(ts).between(lo, hi), n).otherwise(part)
+    own = lambda n: F.col(name).eqNullSafe(F.lit(n))
+    checks: dict[str, Column] = {"in_no_partition": F.col(name).isNull()}
+    contract = publish.Contract(ts=ts, series=by, unique=True, checks=checks, bounds={n: (own(n), F.col(ts), lo, hi, (rows or {}).get(n)) for n, lo, hi in bounds})
+    return publish.publish(df.withColumn(name, part), folder, contract)
+
+
 def quality_review(df: DataFrame, series: str, place: str) -> dict[str, DataFrame]:
     return {
         "ranges": profile.range_flags(df), "dates": review.date_coverage(df, by=[series]), "negative": review.negative_readings(df, "Solar_Radiation", series, place),

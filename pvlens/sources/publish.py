@@ -60,6 +60,8 @@ class Contract:
     cadence: float | None = None
     finite: Sequence[str] = ()
     checks: dict[str, Column | str] = field(default_factory=dict)
+    #: Of a part: (its rows, a column, the least and the greatest value that the part must have, how many rows).
+    bounds: dict[str, tuple[Column, Column, str, str, int | None]] = field(default_factory=dict)
 
     def metrics(self) -> dict[str, Column]:
         found = {"rows": F.count(F.lit(1))}
@@ -69,14 +71,19 @@ class Contract:
             found["repeated_timestamp"] = F.count_if(F.col("_step") == 0)
         if self.cadence is not None:
             found["uneven_timestamp"] = F.count_if(F.col("_step") != self.cadence)
+        for name, (own, value, _, _, _) in self.bounds.items():
+            found |= {f"{name}.first": F.min(F.when(own, value)).cast("string"), f"{name}.last": F.max(F.when(own, value)).cast("string"), f"{name}.rows": F.count_if(own)}
         found |= {f"not_finite_{c}": F.count_if(~finite(F.col(c).cast("double"))) for c in self.finite}
         return found | {f"check_{k}": F.count_if(F.coalesce(F.expr(c) if isinstance(c, str) else c, F.lit(False))) for k, c in self.checks.items()}
 
     def broken(self, seen: dict) -> dict:
         """What was seen and should not have been."""
         declared = {k: getattr(self, k) for k in ("rows", "first", "last") if getattr(self, k) is not None}
+        for name, (_, _, first, last, rows) in self.bounds.items():
+            declared |= {f"{name}.first": first, f"{name}.last": last} | ({} if rows is None else {f"{name}.rows": rows})
         wrong = {k: seen.get(k) for k, v in declared.items() if seen.get(k) != v}
-        return wrong | {k: n for k, n in seen.items() if k not in ("rows", "first", "last") and n}
+        facts = {"rows", "first", "last", *(f"{n}.{k}" for n in self.bounds for k in ("first", "last", "rows"))}
+        return wrong | {k: n for k, n in seen.items() if k not in facts and n}
 
 
 def publish(df: DataFrame, path: str, contract: Contract, mode: str = "error") -> DataFrame:
