@@ -69,32 +69,60 @@ def rules_of_thresholds(x: Any) -> bool:
     return all(number(r.get("percentile"), 50, 100) if r.get("strategy") == "calibration_percentile" else r.get("strategy") == "calibration_median_plus_k_mad" and number(r.get("k"), 0) for r in x)
 
 
-def scenario_problem(spec: Any) -> str | None:
-    """What is wrong with one scenario, or None."""
-    if not isinstance(spec, dict) or not isinstance(spec.get("enabled"), bool):
-        return "enabled is no boolean"
-    rows = spec.get("duration_samples")
-    if not (isinstance(rows, list) and len(rows) == 2 and all(whole(n, 1) for n in rows) and rows[0] <= rows[1]):
-        return "duration range"
-    if spec.get("duration_minutes") != [2 * n for n in rows]:
-        return "minutes and samples disagree"
-    if not names(spec.get("affected_variables")):
-        return "affected variables"
-    severity = spec.get("severity")
-    if not isinstance(severity, dict):
-        return "severity"
-    offset = "magnitude_ranges" in severity
-    if offset and severity.get("direction_choices") != [-1, 1]:
-        return "direction choices"
-    ranges = [x.get("range") for x in severity["magnitude_ranges"].values()] if offset else [severity.get("range")]
-    for r in ranges:
-        if not (isinstance(r, list) and len(r) == 2 and number(r[0], 0) and number(r[1], r[0])) or (not offset and r[1] >= 1):
-            return "severity range"
-    return None
+#: The scenarios in order, what each changes and under which rule of context; a sensor's excursion has
+#: magnitudes in both directions, the others a share of the value, 0 alone where power all but goes.
+SCENARIOS = {
+    "sudden_power_drop": (("Power_Generated", "Array_Voltage"), "power_daylight"),
+    "sustained_power_reduction": (("Power_Generated", "Array_Voltage"), "power_daylight"),
+    "temporary_near_zero_power": (("Power_Generated", "Array_Voltage"), "power_daylight"),
+    "sudden_power_spike": (("Power_Generated", "Array_Voltage"), "power_daylight"),
+    "gradual_power_degradation": (("Power_Generated", "Array_Voltage"), "power_daylight"),
+    "radiation_power_inconsistency": (("Solar_Radiation",), "power_daylight"),
+    "sensor_excursion": (("Air_Temp", "Relative_Humidity"), "finite_sensor_any_light"),
+}
+CONTEXT_SETTINGS = {
+    "overlap_allowed": False, "require_entire_window_eligible": True, "require_finite_inputs": True, "require_contiguous_sampling": True, "eligibility_reference": "untouched_baseline",
+    "power_consistency_policy": "scale_power_and_voltage_by_same_factor_keep_current", "derived_feature_policy": "recompute_causally_in_evaluation_copy",
+}
+
+
+def span(x: Any, lo: float = 0, hi: float = math.inf, below: float = math.inf, zero: bool = False) -> bool:
+    """Two numbers in order within [lo, hi], the second above 0 (or zero allowed) and below `below`."""
+    return isinstance(x, list) and len(x) == 2 and number(x[0], lo) and number(x[1], x[0], hi) and x[1] < below and (zero or x[1] > 0)
+
+
+def samples(x: Any) -> bool:
+    return span(x, 1) and all(whole(n) for n in x)
+
+
+def scenario_rules(name: str) -> list[Rule]:
+    """The rules of one scenario's entry; a name that is not among the fixed ones has one rule, which fails."""
+    if name not in SCENARIOS:
+        return [("a scenario that is known", lambda c: False)]
+    variables, context = SCENARIOS[name]
+    shared = [
+        holds("enabled", lambda x: isinstance(x, bool), "yes or no"), holds("duration_samples", samples, "two numbers of rows in order"),
+        ("duration_minutes: two minutes a row", lambda c: samples(at(c, "duration_samples")) and at(c, "duration_minutes") == [2 * n for n in at(c, "duration_samples")]),
+        holds("affected_variables", lambda x: x == list(variables), f"{', '.join(variables)}"), holds("context_rule", lambda x: x == context, context),
+    ]
+    if context == "finite_sensor_any_light":
+        magnitudes = lambda x: isinstance(x, dict) and bool(x) and all(span(at(v, "range")) for v in x.values())
+        return [*shared, holds("severity.direction_choices", lambda x: x == [-1, 1], "both directions"), holds("severity.magnitude_ranges", magnitudes, "a range above 0 for each sensor")]
+    return [*shared, holds("severity.range", lambda x: span(x, below=1, zero=name == "temporary_near_zero_power"), "shares in order, below 1")]
+
+
+def broken_scenarios(x: Any) -> list[str]:
+    """What is wrong with which scenario."""
+    return [f"{name}: {text}" for name, own in x.items() for text, test in scenario_rules(name) if not test(own if isinstance(own, dict) else {})]
 
 
 def good_scenarios(x: Any) -> bool:
-    return isinstance(x, dict) and bool(x) and all(scenario_problem(s) is None for s in x.values())
+    return isinstance(x, dict) and list(x) == list(SCENARIOS) and not broken_scenarios(x)
+
+
+def placed(x: Any) -> bool:
+    """No window, or one of naive moments in order."""
+    return x is MISSING or x is None or (isinstance(x, dict) and None not in (ends := (moment(x.get("start")), moment(x.get("end")))) and ends[0] <= ends[1])
 
 
 VERSION = holds("schema_version", lambda x: x == 1, "must be 1")
@@ -122,7 +150,9 @@ RULES: dict[str, list[Rule]] = {
     ],
     "scenarios": [
         VERSION, holds("sampling_interval_seconds", lambda x: x == 120, "two minutes"), holds("scenarios", good_scenarios, "scenarios with durations, severities and variables"),
-        holds("context.overlap_allowed", lambda x: x is False, "no overlap"), holds("context.minimum_gap_minutes", lambda x: number(x, 60), "an hour or more"), holds("context.max_modified_row_fraction_per_copy", lambda x: number(x, 1e-12, 0.05), "at most 5 %"),
+        *(holds(f"context.{k}", lambda x, v=v: type(x) is type(v) and x == v, str(v)) for k, v in CONTEXT_SETTINGS.items()), ("context.placement_window: moments in order", lambda c: placed(at(c, "context.placement_window"))),
+        *(holds(f"context.power_event_min_{k}", lambda x: number(x) and x > 0, "above 0") for k in ("radiation_w_m2", "power_w")), holds("context.start_position.manual_override", lambda x: x is None, "none"),
+        holds("enabled", lambda x: isinstance(x, bool), "yes or no"), holds("core_features", lambda x: x == list(CORE), "the core features in order"), holds("context.minimum_gap_minutes", lambda x: number(x, 60), "an hour or more"), holds("context.max_modified_row_fraction_per_copy", lambda x: number(x, 1e-12, 0.05), "at most 5 %"),
         holds("context.known_transition_exclusions.half_window_minutes", lambda x: number(x, 20), "20 minutes or more"),
     ],
     "vision_training": [VERSION, holds("task", lambda x: x == "detect", "detection"), *(holds(k, lambda x: whole(x, 1), "a positive number") for k in ("image_size", "epochs", "batch_size")), holds("random_seed", lambda x: whole(x, 0), "a seed"), holds("deterministic", lambda x: x is True, "deterministic")],

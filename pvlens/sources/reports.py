@@ -54,7 +54,9 @@ def quarantine_plan(review: DataFrame, files: DataFrame, root: str = "quarantine
     """Moves of reviewed images and their empty labels; nothing is moved here.
 
     review: split, image_path, review_status, empty_label; files: path, length, sha256 and, if
-    known, blank (only white space) of the dataset and of the quarantine. `problem` names the first rule a row breaks, null if none.
+    known, blank (only white space) of the dataset and of the quarantine. `problem` is the code of the first rule a row
+    breaks, null if none: split, status, record, outside (not below its split's images), repeated, no_image, no_label,
+    label_has_text, occupied (the target exists).
     """
     label = F.regexp_replace(F.regexp_replace("image_path", "/images/", "/labels/"), r"\.[^.]*$", ".txt")
     moved = lambda c: F.concat(F.lit(f"{root}/"), c)
@@ -63,16 +65,14 @@ def quarantine_plan(review: DataFrame, files: DataFrame, root: str = "quarantine
         blank = F.col("blank") if "blank" in files.columns else F.lit(None).cast("boolean")
         own = files.select(F.col("path").alias(f"_{name}"), F.col("length").alias(f"_{name}_length"), blank.alias(f"_{name}_blank"), F.col("sha256").alias(f"{name}_sha256"))
         plan = plan.join(own, column == F.col(f"_{name}"), "left")
-    problem = (
-        F.when(~F.coalesce(F.col("split").isin("train", "val", "test"), F.lit(False)), "unsupported split")
-        .when(~F.col("review_status").eqNullSafe("NEEDS_MANUAL_REVIEW"), "not marked for review")
-        .when(~F.lower(F.col("empty_label").cast("string")).eqNullSafe("true"), "not recorded as empty")
-        .when(F.col("_times") > 1, "repeated image")
-        .when(F.col("_image").isNull(), "image not found")
-        .when(F.col("_label").isNull(), "label not found")
-        .when(~F.coalesce(F.col("_label_blank"), F.col("_label_length") == 0), "label no longer empty")
-        .when(F.col("_target_image").isNotNull() | F.col("_target_label").isNotNull(), "target exists")
-    )
+    inside = F.contains(F.concat(F.lit("/"), "image_path"), F.concat(F.lit("/"), "split", F.lit("/images/"))) & ~F.col("image_path").rlike(r"(^|/)\.\.(/|$)")
+    empty = F.coalesce(F.col("_label_blank"), F.col("_label_length") == 0)
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    rules = {
+        "split": yes(F.col("split").isin("train", "val", "test")), "status": F.col("review_status").eqNullSafe("NEEDS_MANUAL_REVIEW"), "record": F.lower(F.col("empty_label").cast("string")).eqNullSafe("true"),
+        "outside": yes(inside), "repeated": F.col("_times") == 1, "no_image": F.col("_image").isNotNull(), "no_label": F.col("_label").isNotNull(), "label_has_text": yes(empty), "occupied": F.col("_target_image").isNull() & F.col("_target_label").isNull(),
+    }
+    problem = F.get(F.filter(F.array(*(F.when(~kept, F.lit(code)) for code, kept in rules.items())), lambda x: x.isNotNull()), F.lit(0))
     return plan.select("split", "image_path", "label_path", moved(F.col("image_path")).alias("quarantine_image_path"), moved(F.col("label_path")).alias("quarantine_label_path"), "image_sha256", "label_sha256", problem.alias("problem"))
 
 

@@ -164,11 +164,11 @@ def test_sinks_round_trip(spark, tmp_path):
 
 
 def test_quarantine_plan(spark):
-    review = [("train", f"train/images/{c}.jpg", "NEEDS_MANUAL_REVIEW", "true") for c in "abcd"] + [("x", "x/images/e.jpg", "NEEDS_MANUAL_REVIEW", "true"), ("val", "val/images/f.jpg", "DONE", "true")]
+    review = [("train", f"train/images/{c}.jpg", "NEEDS_MANUAL_REVIEW", "true") for c in "abcd"] + [("x", "x/images/e.jpg", "NEEDS_MANUAL_REVIEW", "true"), ("val", "val/images/f.jpg", "DONE", "true"), ("val", "train/images/g.jpg", "NEEDS_MANUAL_REVIEW", "true"), ("val", "val/images/../h.jpg", "NEEDS_MANUAL_REVIEW", "true")]
     files = [(f"train/images/{c}.jpg", 9, c) for c in "abd"] + [("train/labels/a.txt", 0, "0"), ("train/labels/b.txt", 4, "1"), ("train/labels/d.txt", 0, "0"), ("quarantine/train/images/d.jpg", 9, "d")]
     plan = reports.quarantine_plan(spark.createDataFrame(review, "split string, image_path string, review_status string, empty_label string"), spark.createDataFrame(files, "path string, length long, sha256 string"))
     got = {r.image_path[-5]: r.problem for r in plan.collect()}
-    assert got == {"a": None, "b": "label no longer empty", "c": "image not found", "d": "target exists", "e": "unsupported split", "f": "not marked for review"}
+    assert got == {"a": None, "b": "label_has_text", "c": "no_image", "d": "occupied", "e": "split", "f": "status", "g": "outside", "h": "outside"}
 
 
 def test_replay_runs_cross_steps(spark, tmp_path):

@@ -208,10 +208,26 @@ def test_configurations():
     split["partitions"]["calibration"]["start"] = "2022-04-28 02:42:00"
     with pytest.raises(ValueError, match="partitions.*without overlap"):
         configs.check("split", split | {"schema_version": 2})
-    drop = {"enabled": True, "duration_samples": [1, 3], "duration_minutes": [2, 6], "affected_variables": ["Power_Generated"], "severity": {"range": [0.1, 0.3]}}
-    assert configs.scenario_problem(drop) is None
-    assert configs.scenario_problem(drop | {"duration_minutes": [2, 5]}) == "minutes and samples disagree"
-    assert configs.scenario_problem(drop | {"severity": {"range": [0.1, 1.0]}}) == "severity range"
+    drop = {"enabled": True, "duration_samples": [1, 3], "duration_minutes": [2, 6], "affected_variables": ["Power_Generated", "Array_Voltage"], "context_rule": "power_daylight", "severity": {"range": [0.1, 0.3]}}
+    sensor = drop | {"affected_variables": ["Air_Temp", "Relative_Humidity"], "context_rule": "finite_sensor_any_light", "severity": {"direction_choices": [-1, 1], "magnitude_ranges": {"Air_Temp": {"range": [2, 5]}}}}
+    every = {n: drop for n in configs.SCENARIOS} | {"radiation_power_inconsistency": drop | {"affected_variables": ["Solar_Radiation"]}, "sensor_excursion": sensor}
+    assert configs.good_scenarios(every) and not configs.good_scenarios(dict(reversed(every.items()))) and not configs.good_scenarios({"sudden_power_drop": drop})
+    wrong = lambda name, **change: configs.broken_scenarios({name: every[name] | change})
+    assert wrong("sudden_power_drop") == [] == wrong("sensor_excursion")
+    assert wrong("sudden_power_drop", duration_minutes=[2, 5], enabled=1) == ["sudden_power_drop: enabled: yes or no", "sudden_power_drop: duration_minutes: two minutes a row"]
+    for severity, names in (({"range": [0.1, 1.0]}, ("sudden_power_drop",)), ({"range": [0, 0]}, ("sudden_power_drop", "sudden_power_spike")), ({"range": [0.3, 0.1]}, ("temporary_near_zero_power",)), ({}, ("sudden_power_drop",))):
+        assert all(wrong(n, severity=severity) for n in names)
+    assert not wrong("temporary_near_zero_power", severity={"range": [0, 0]})
+    assert wrong("sensor_excursion", severity=sensor["severity"] | {"direction_choices": [1]}) and wrong("sensor_excursion", context_rule="power_daylight") and wrong("sudden_power_drop", affected_variables=["Power_Generated"])
+    context = configs.CONTEXT_SETTINGS | {
+        "minimum_gap_minutes": 60, "max_modified_row_fraction_per_copy": 0.05, "known_transition_exclusions": {"half_window_minutes": 20}, "power_event_min_radiation_w_m2": 100, "power_event_min_power_w": 5.0, "start_position": {"manual_override": None},
+        "placement_window": {"start": "2022-04-27 00:00:00", "end": "2022-04-28 00:00:00"},
+    }
+    whole = {"schema_version": 1, "enabled": True, "core_features": list(review.CORE), "sampling_interval_seconds": 120, "scenarios": every, "context": context}
+    assert configs.check("scenarios", whole) is whole and configs.check("scenarios", whole | {"context": {k: v for k, v in context.items() if k != "placement_window"}})
+    for change in ({"placement_window": {"start": "2022-04-29", "end": "2022-04-28"}}, {"placement_window": {"start": "2022-04-27T00:00:00+02:00", "end": "2022-04-28"}}, {"overlap_allowed": 0}, {"require_finite_inputs": False}, {"power_event_min_power_w": 0}, {"start_position": {"manual_override": 4}}, {"eligibility_reference": "copy"}):
+        with pytest.raises(ValueError, match="context"):
+            configs.check("scenarios", whole | {"context": context | change})
     good = [{"id": "p", "strategy": "calibration_percentile", "percentile": 95.0}, {"id": "m", "strategy": "calibration_median_plus_k_mad", "k": 2.0}]
     assert configs.rules_of_thresholds(good) and not configs.rules_of_thresholds([good[0], good[0]])
     assert configs.dataset_classes({"names": {0: "a", 1: "b"}, "nc": 2, "train": "x", "val": "y"}) == ("a", "b")
