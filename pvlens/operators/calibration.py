@@ -138,3 +138,32 @@ def freeze_gates(stability: DataFrame, least: float, median: float, top: int, ov
     for c in checks.values():
         every = every & c
     return s.select(*(c.alias(k) for k, c in checks.items()), every.alias("freeze"))
+
+
+def freeze_criteria(stability: DataFrame, shifts: DataFrame, variants: DataFrame, extremes_in_top: DataFrame, inputs: Sequence[str], needed: Sequence[str], least: float, overlaps: dict[int, float], most_extremes: int, variant: str = "no_time", wider: str = "core", narrower: str = "compact") -> DataFrame:
+    """One row of five booleans and `freeze`, their conjunction: may a variant be frozen?
+
+    ranks_agree: the least Spearman of two seeds is at least `least`, the mean share of the top k that two seeds have in common
+    at least overlaps[k] (stability as from `rank_stability`); shift_below_wider: every seed's calibration shift (shifts: seed, shift) is
+    smaller than the wider variant's (variants: variant, shift); extremes_do_not_fill_top: extremes_in_top (one row, n) is at most
+    `most_extremes`; inputs_complete: the inputs are the needed ones, each once; narrower_no_better: the narrower variant's
+    shift is the larger. Where a number is missing its gate does not pass.
+    """
+    s = stability.agg(F.min("spearman").alias("_least"), *(F.avg(F.col(f"top_{k}_overlap") / k).alias(f"_top_{k}") for k in overlaps))
+    of = lambda name: F.max(F.when(F.col("variant") == name, F.col("shift"))).alias(f"_{name}")
+    v = variants.agg(of(wider), of(narrower), of(variant))
+    seeds = shifts.agg(F.max(F.abs("shift")).alias("_largest"), F.count_if(F.col("shift").isNull()).alias("_unknown"), F.count("*").alias("_seeds"))
+    top = extremes_in_top.agg(F.max("n").alias("_extremes"))
+    row = s.crossJoin(v).crossJoin(seeds).crossJoin(top)  # one row each
+    agree = F.col("_least") >= least
+    for k, share in overlaps.items():
+        agree = agree & (F.col(f"_top_{k}") >= share)
+    checks = {
+        "ranks_agree": agree, "shift_below_wider": (F.col("_seeds") > 0) & (F.col("_unknown") == 0) & (F.col("_largest") < F.abs(F.col(f"_{wider}"))), "extremes_do_not_fill_top": F.col("_extremes") <= most_extremes,
+        "inputs_complete": F.lit(len(set(inputs)) == len(inputs) and set(inputs) == set(needed)), "narrower_no_better": F.col(f"_{variant}") < F.col(f"_{narrower}"),
+    }
+    checks = {k: F.coalesce(c, F.lit(False)) for k, c in checks.items()}
+    every = F.lit(True)
+    for c in checks.values():
+        every = every & c
+    return row.select(*(c.alias(k) for k, c in checks.items()), every.alias("freeze"))

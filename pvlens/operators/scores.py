@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.ordering import percentiles, time_buckets, with_ranks
 from ..functions.scalars import close, corr
 from ..functions.windows import micros, seconds_between
+from .merkle import encoded
 from .review import long_form
 
 SHARES = {"median": 0.5, "p90": 0.9, "p95": 0.95, "p975": 0.975, "p99": 0.99}
@@ -117,14 +118,12 @@ def reproduction(saved: DataFrame, fresh: DataFrame, key: Sequence[str] = ("Time
 
 
 def table_digest(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row: rows and a digest of the table that does not depend on the order of its rows.
+    """One row: rows and a digest of the table that does not depend on the order of its rows; `merkle.merkle_tree` sees order.
 
-    Each row's SHA-256 over its values (doubles with 17 digits) is cut into four words; sums of the words
-    modulo 2^64 combine before the shuffle, so no task holds the table.
+    Each row's SHA-256, over an encoding that no other row shares, is cut into eight words; the sums of the words
+    combine before the shuffle, so no task holds the table.
     """
-    kinds = dict(df.dtypes)
-    text = [F.format_string("%.17g", c) if kinds[c] in ("double", "float") else F.col(c).cast("string") for c in columns]
-    line = F.sha2(F.encode(F.concat_ws("|", *(F.coalesce(x, F.lit("~")) for x in text)), "UTF-8"), 256)
+    line = F.sha2(F.encode(encoded(df, columns), "UTF-8"), 256)
     words = [F.conv(F.substring(line, 1 + 8 * i, 8), 16, 10).cast("decimal(20,0)") for i in range(8)]
     sums = [F.sum(w).alias(f"_w{i}") for i, w in enumerate(words)]
     digest = F.sha2(F.encode(F.concat_ws("|", *(F.col(f"_w{i}").cast("string") for i in range(8))), "UTF-8"), 256)

@@ -248,7 +248,7 @@ def score_reproduction(spark, d):
     return scores.reproduction(o.where("o_orderkey % 4 <> 0"), fresh, ["o_orderkey"], tolerance=0.2).select("matched", "unmatched", r6("largest").alias("largest"), "beyond")
 
 
-@query("""WITH h AS (SELECT sha256(concat_ws('|', CAST(o_orderkey AS VARCHAR), o_orderstatus)) AS h FROM orders), s AS (SELECT count(*) AS rows, """ + ", ".join(f"CAST(sum(CAST('0x' || substr(h, {1 + 8 * i}, 8) AS BIGINT)) AS VARCHAR) AS w{i}" for i in range(8)) + f""" FROM h) SELECT rows, sha256(concat_ws('|', {', '.join(f'w{i}' for i in range(8))})) AS digest FROM s""")
+@query("""WITH h AS (SELECT sha256(coalesce(strlen(CAST(o_orderkey AS VARCHAR)) || ':' || o_orderkey, '-') || coalesce(strlen(o_orderstatus) || ':' || o_orderstatus, '-')) AS h FROM orders), s AS (SELECT count(*) AS rows, """ + ", ".join(f"CAST(sum(CAST('0x' || substr(h, {1 + 8 * i}, 8) AS BIGINT)) AS VARCHAR) AS w{i}" for i in range(8)) + f""" FROM h) SELECT rows, sha256(concat_ws('|', {', '.join(f'w{i}' for i in range(8))})) AS digest FROM s""")
 def table_digest(spark, d):
     return scores.table_digest(table(spark, d, "orders"), ["o_orderkey", "o_orderstatus"])
 

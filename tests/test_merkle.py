@@ -47,3 +47,11 @@ def test_plain_digest(spark):
     lines = "".join(f"{t:%Y-%m-%d %H:%M:%S}|{'' if x is None else format(x, '.17g')}\n" for t, x in rows)
     df = spark.createDataFrame(rows[::-1], "Timestamp timestamp_ntz, anomaly_score double")
     assert merkle.score_digest(df) == hashlib.sha256(lines.encode()).hexdigest()
+
+
+def test_order_blind_digest_is_injective(spark):
+    from pvlens.operators import scores
+
+    of = lambda *rows: scores.table_digest(spark.createDataFrame(list(rows), "a string, b string"), ["a", "b"]).first()
+    assert len({of(r).digest for r in (("a|b", "c"), ("a", "b|c"), (None, "c"), ("~", "c"), ("-", "c"))}) == 5
+    assert of(("a", "b"), ("c", "d")) == of(("c", "d"), ("a", "b")) and of(("a", "b")).rows == 1
