@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .windows import micros
 
 
-def with_group(df: DataFrame, facts: DataFrame, by: Sequence[str]) -> DataFrame:
+def with_group(df: DataFrame, facts: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
     """df with the columns of facts, which has one row a group; null groups match."""
     if not by:
         return df.crossJoin(F.broadcast(facts))  # one row
@@ -24,7 +24,7 @@ def with_group(df: DataFrame, facts: DataFrame, by: Sequence[str]) -> DataFrame:
     same = F.lit(True)
     for i, c in enumerate(by):
         same = same & F.col(c).eqNullSafe(F.col(f"_by_{i}"))
-    return df.join(named, same).drop(*(f"_by_{i}" for i in range(len(by))))
+    return df.join(named, same, how).drop(*(f"_by_{i}" for i in range(len(by))))
 
 
 def blocked(df: DataFrame, order: str, by: Sequence[str] = (), blocks: int = 64) -> DataFrame:
