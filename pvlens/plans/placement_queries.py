@@ -1,15 +1,15 @@
-"""Queries that place synthetic events on every series of the telemetry table, with their SQL.
+"""Queries that place synthetic events on every series of the telemetry table and review what they do, with their SQL.
 
-Each series allows one start for each scenario, so that SQL can say what a draw must find.
+For a placement each series allows one start for each scenario, so that SQL can say what a draw must find.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import placement, synthetic
+from ..operators import features, placement, synthetic
 from .catalogue import query, r6
-from .telemetry import SQL14, telemetry
+from .telemetry import SQL14, featured, telemetry
 
 GAP, TAIL, SHARE = 5, 2, 3 / 32
 _FIRST = "(5 + series % 7)"
@@ -52,3 +52,30 @@ def series_injection(spark, d):
     t, events, _ = _decided(spark, d)
     out = placement.inject_all(t, events, _plan(), ["series"], "n")
     return out.select("series", "n", F.col("synthetic_anomaly_type").alias("kind"), r6("Power_Generated").alias("power"), r6("Array_Voltage").alias("voltage"), r6("Air_Temp").alias("air"))
+
+
+_RATIOS = f"""WITH m AS (SELECT series, n, Power_Generated AS b, CASE WHEN n BETWEEN 10 AND 14 THEN Power_Generated * 0.001 ELSE Power_Generated END AS s FROM ({SQL14})),
+l AS (SELECT *, lag(b) OVER w AS lb, lag(s) OVER w AS ls FROM m WINDOW w AS (PARTITION BY series ORDER BY n)),
+r AS (SELECT *, lb IS NULL OR abs(lb) < 1 OR b IS NULL AS none_before, ls IS NULL OR abs(ls) < 1 OR s IS NULL AS none_after FROM l)
+"""
+
+
+def _near_zero(spark, d):
+    """Power of a thousandth in rows 10 to 14 of every series, with all 81 columns computed again."""
+    t, inside = telemetry(spark, d), F.col("n").between(10, 14)
+    hit = t.withColumn("Power_Generated", F.when(inside, F.col("Power_Generated") * 0.001).otherwise(F.col("Power_Generated")))
+    again = features.features(hit, "series").withColumn("synthetic_anomaly", inside.cast("int"))
+    return featured(spark, d), again, "power_generated_relative_change", "Power_Generated", 1.0, ["series"], "n"
+
+
+@query(_RATIOS + "SELECT series, n, round(ls, 6) AS previous, round(s, 6) AS current, CASE WHEN n BETWEEN 10 AND 14 THEN 1 ELSE 0 END AS label, abs(ls) < 1 AS explained FROM r WHERE none_after AND NOT none_before")
+def near_zero_nulls(spark, d):
+    """Ratios that are null because the power before them was brought near zero."""
+    return synthetic.near_zero_rows(*_near_zero(spark, d)).withColumns({"previous": r6("previous"), "current": r6("current")})
+
+
+@query(_RATIOS + """SELECT series, count(CASE WHEN none_before THEN 1 END) AS nulls_before, count(CASE WHEN none_after THEN 1 END) AS nulls_after, count(CASE WHEN none_after AND NOT none_before THEN 1 END) AS additional,
+count(CASE WHEN none_after AND NOT none_before AND NOT abs(ls) < 1 THEN 1 END) AS unexplained, CAST(0 AS BIGINT) AS unguarded, CAST(0 AS BIGINT) AS endless, count(CASE WHEN none_after AND NOT none_before AND NOT abs(ls) < 1 THEN 1 END) = 0 AS safe FROM r GROUP BY series""")
+def near_zero_safeguard(spark, d):
+    """Of each series, whether the floor under its ratios held."""
+    return synthetic.near_zero_review(*_near_zero(spark, d))

@@ -69,3 +69,17 @@ def test_jobs_do_not_grow_with_series(spark):
         return found
 
     assert jobs(1, "one") == jobs(7, "seven")
+
+
+def test_near_zero_review(spark):
+    """A floor that holds, a null without cause, a ratio that should not be; null keys; one series without a key."""
+    was = [("a", i, 10.0, 0.0 if i else None, 0) for i in range(5)] + [(None, i, 10.0, 0.0 if i else None, 0) for i in range(3)]
+    now = [("a", 0, 10.0, None, 0), ("a", 1, 0.5, -0.95, 1), ("a", 2, 0.2, None, 1), ("a", 3, 10.0, None, 0), ("a", 4, 10.0, 0.0, 0), (None, 0, 0.5, None, 1), (None, 1, 10.0, float("inf"), 0), (None, 2, 10.0, None, 0)]
+    schema = "s string, _pos long, p double, r double, synthetic_anomaly int"
+    base, copy = spark.createDataFrame(was, schema), spark.createDataFrame(now, schema)
+    rows = synthetic.near_zero_rows(base, copy, "r", "p", 1.0, ["s"]).orderBy("s", "_pos").collect()
+    assert [tuple(r) for r in rows] == [(None, 2, 10.0, 10.0, 0, False), ("a", 2, 0.5, 0.2, 1, True), ("a", 3, 0.2, 10.0, 0, True)]
+    got = {r.s: tuple(r)[1:] for r in synthetic.near_zero_review(base, copy, "r", "p", 1.0, ["s"]).collect()}
+    assert got == {"a": (1, 3, 2, 0, 0, 0, True), None: (1, 2, 1, 1, 1, 1, False)}
+    alone = synthetic.near_zero_review(base.where("s = 'a'"), copy.where("s = 'a'"), "r", "p", 1.0).first()
+    assert tuple(alone) == (1, 3, 2, 0, 0, 0, True)
