@@ -74,6 +74,24 @@ def join_counted(rows: DataFrame, keyed: DataFrame, on: Sequence[str], n: str =
     return near.unionByName(rest)
 
 
+def join_dealt(rows: DataFrame, wide: DataFrame, on: Sequence[str], most: int = 4096) -> DataFrame:
+    """Inner join of rows, a written table, with wide, which has one row of any width a key.
+
+    Keys that hold more than a `most`-th of all rows number fewer than `most`; only they and their counts are
+    broadcast. Their rows are dealt over copies of the wide row, of which there are fewer than 2 * most in
+    all, so that no key and copy holds more than about a `most`-th of the rows.
+    """
+    on = list(on)
+    bound = max(1, rows.count() // most)
+    hot = materialize(rows.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > bound), "join-hot")
+    copies = F.broadcast(hot.select(*on, F.ceil(F.col("_n") / F.lit(bound)).cast("int").alias("_copies")))
+    n = F.coalesce(F.col("_copies"), F.lit(1))
+    others = [c for c in rows.columns if c not in on]
+    dealt = rows.join(copies, on, "left").withColumn("_copy", F.pmod(F.xxhash64(*others), n).cast("int")).drop("_copies")
+    copied = wide.join(copies, on, "left").withColumn("_copy", F.explode(F.sequence(F.lit(0), n - 1))).drop("_copies")
+    return dealt.join(copied, [*on, "_copy"]).drop("_copy")
+
+
 def identity(text: str = "text", doc_id: str = "doc_id") -> list[Column]:
     """_d, _t, _text: what makes two rows the same document, and its text; a null text counts as empty.
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import identified, identity, join_counted, materialize
+from .common import identified, identity, join_counted, join_dealt, materialize
 
 
 def _digest(text: str) -> tuple[int, int]:
@@ -195,7 +195,10 @@ def deleted_lines(docs: DataFrame, min_chars: int = 20, min_block_lines: int = 1
     pair, out = _align_batches(min_block_lines)
 
     def aligned(pairs: DataFrame) -> DataFrame:
-        return materialize(pairs.join(other, ["_fd", "_ft"]).mapInArrow(pair, out).where(F.size("_gone") > 0), "line-aligned")
+        """pairs: _d, _t, _fd, _ft. One document may be the partner of most others: its lines are copied, the pairs dealt over the copies."""
+        pairs = materialize(pairs, "line-pairs")
+        both = join_dealt(pairs, other, ["_fd", "_ft"]).join(later.select(*own), ["_d", "_t"])
+        return materialize(both.mapInArrow(pair, out).where(F.size("_gone") > 0), "line-aligned")
 
     def left_of(links: DataFrame, found: DataFrame) -> DataFrame:
         """Links with a line that no alignment has taken so far."""
@@ -203,7 +206,7 @@ def deleted_lines(docs: DataFrame, min_chars: int = 20, min_block_lines: int = 1
         need = links.select("*", F.explode(F.when(F.col("kind") == PAIR, F.array("o", F.col("o") + 1)).otherwise(F.array("o"))).alias("_o"))
         return need.join(gone, ["_d", "_t", "_o"], "left_anti").drop("_o").distinct()
 
-    found = aligned(later.select(*own, F.explode("_with").alias("_w")).select(*own, F.col("_w._d").alias("_fd"), F.col("_w._t").alias("_ft")))
+    found = aligned(later.select("_d", "_t", F.explode("_with").alias("_w")).select("_d", "_t", F.col("_w._d").alias("_fd"), F.col("_w._t").alias("_ft")))
     frequent = later.select("_d", "_t", F.inline("_met")).where("_n > 1")
     left = materialize(left_of(frequent, found), "line-left")
     # The holders of a link are met in samples of about 16, 256, ... of them, by hash, while lines are left.
@@ -211,13 +214,15 @@ def deleted_lines(docs: DataFrame, min_chars: int = 20, min_block_lines: int = 1
     reach = 16
     while not left.isEmpty():
         open_keys = left.groupBy("key").agg(F.count("*").alias("_open"))
-        sample = links.join(open_keys, "key").join(held.select("key", "_n"), "key").where((unit * F.col("_n") >= reach / 16 - (reach == 16)) & (unit * F.col("_n") < reach))
+        open_keys = materialize(open_keys.join(held.select("key", F.col("_n").alias("_held")), "key"), "line-open")
+        counted = open_keys.withColumn("_share", F.col("_held"))
+        sample = join_counted(links, counted, ["key"], "_share").where((unit * F.col("_held") >= reach / 16 - (reach == 16)) & (unit * F.col("_held") < reach))
         # Many open documents of one link spread over salts; each salt has the sample.
         salts = F.ceil(F.col("_open") / F.lit(salt_rows)).cast("int")
         sample = sample.select("key", F.col("_d").alias("_fd"), F.col("_t").alias("_ft"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("_salt"))
-        dealt = left.join(open_keys, "key").withColumn("_salt", F.pmod(F.xxhash64("_d", "_t"), salts).cast("int"))
+        dealt = join_counted(left, open_keys.select("key", "_open", F.col("_open").alias("_share")), ["key"], "_share").withColumn("_salt", F.pmod(F.xxhash64("_d", "_t"), salts).cast("int"))
         pairs = dealt.join(sample, ["key", "_salt"]).where(F.struct("_fd", "_ft") < F.struct("_d", "_t")).select("_d", "_t", "_fd", "_ft").distinct()
-        more = aligned(pairs.join(later.select(*own), ["_d", "_t"]))
+        more = aligned(pairs)
         found = found.unionByName(more)
         left = materialize(left_of(left, more).where(F.col("_n") > reach), "line-left")
         reach *= 16

@@ -1,6 +1,7 @@
 import collections
 import random
 
+from pvlens.llm.common import join_dealt
 from pvlens.llm.line_dedup import align, dedup_lines
 
 SCHEMA = "doc_id long, text string"
@@ -63,3 +64,20 @@ def test_same_as_aligning_with_every_earlier_document(spark):
     pool = [f"long line number {i} of the pool" for i in range(14)] + [f"s{i}" for i in range(10)]
     texts = ["\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 9))) for _ in range(150)]
     assert kept(spark, texts, rare_docs=6) == brute(texts, 20, 6)
+
+
+def test_hot_partner_is_dealt_over_copies(spark):
+    # Key 0 holds half of the rows, key 9 has no wide row, key 8 has no row.
+    rows = spark.createDataFrame([(0 if i % 2 else i % 10, i) for i in range(400)], "key long, own long")
+    wide = spark.createDataFrame([(k, [k] * 3) for k in range(9)], "key long, lines array<long>")
+    plain = sorted(map(tuple, rows.join(wide, "key").select("key", "own", "lines").collect()))
+    for most in (1, 7, 4096):
+        assert sorted(map(tuple, join_dealt(rows, wide, ["key"], most).select("key", "own", "lines").collect())) == plain
+    assert join_dealt(rows.limit(0), wide, ["key"]).count() == 0
+
+
+def test_footer_of_all_documents(spark):
+    footer = "all rights reserved by the company that wrote this page"
+    texts = [f"document {i} has a line of its own here\n{footer}" for i in range(300)]
+    got = kept(spark, texts)
+    assert got[0] == texts[0] and all(got[i] == texts[i].split("\n")[0] for i in range(1, 300))
