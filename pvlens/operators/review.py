@@ -270,7 +270,9 @@ def focused_groups(pairs: DataFrame, groups: dict[str, Sequence[str]]) -> DataFr
 
 
 def near_events(df: DataFrame, moments: Sequence, minutes: float = 20, ts: str = "Timestamp") -> DataFrame:
-    """Rows within `minutes` of a few known moments, with the moment and offset_minutes."""
+    """Rows within `minutes` of a few known moments, with the moment and offset_minutes; more than 10,000 moments are an error: join them as intervals."""
+    if len(moments) > 10_000:
+        raise ValueError(f"{len(moments)} moments are too many to broadcast; use intervals.overlaps")
     at = df.sparkSession.createDataFrame([(str(m),) for m in moments], "moment string").select(F.col("moment").cast("timestamp_ntz").alias("moment"))
     offset = seconds_between(F.col(ts), F.col("moment")) / 60
     return df.join(F.broadcast(at), F.abs(offset) <= minutes).withColumn("offset_minutes", offset)
@@ -284,12 +286,20 @@ def aligned(near: DataFrame, value: str, first, second, by: Sequence[str] = ())
 
 
 def spike_review(df: DataFrame, column: str, event: Column, series: str = "series", ts: str = "Timestamp", minutes: float = 10) -> DataFrame:
-    """series, event maximum, maximum of all other rows, mean of the neighbours within `minutes` of the event, and whether the event is beyond history."""
-    rows = df.select(series, micros(F.col(ts)).alias("_us"), F.col(column).alias("value"), F.coalesce(event, F.lit(False)).alias("_event"))
-    span = rows.where("_event").groupBy(series).agg(F.min("_us").alias("_lo"), F.max("_us").alias("_hi"))
-    near = ~F.col("_event") & F.col("_us").between(F.col("_lo") - minutes * 6e7, F.col("_hi") + minutes * 6e7)
-    got = rows.join(span, series).groupBy(series).agg(F.max(F.when(F.col("_event"), F.col("value"))).alias("event_maximum"), F.max(F.when(~F.col("_event"), F.col("value"))).alias("history_maximum"), F.avg(F.when(near, F.col("value"))).alias("neighbour_mean"))
-    return got.withColumn("beyond_history", F.col("event_maximum") > F.col("history_maximum"))
+    """series, event maximum, maximum of all other rows, mean of the neighbours within `minutes` of a row of an event, and whether the event is beyond history.
+
+    Series without an event have no row; rows between two events that are far from both are no neighbours.
+    """
+    width = int(minutes * 6e7)
+    rows = df.select(F.col(series).alias("_series"), micros(F.col(ts)).alias("_us"), F.col(column).alias("value"), F.coalesce(event, F.lit(False)).alias("_event"))
+    tops = rows.groupBy("_series").agg(F.max(F.when(F.col("_event"), F.col("value"))).alias("event_maximum"), F.max(F.when(~F.col("_event"), F.col("value"))).alias("history_maximum"), F.count_if("_event").alias("_events"))
+    slot = F.floor(F.col("_us") / F.lit(max(1, width)))
+    times = rows.where("_event").select("_series", F.col("_us").alias("_at"), F.explode(F.sequence(slot - 1, slot + 1)).alias("_slot"))
+    others = rows.where(~F.col("_event")).withColumn("_slot", slot)
+    same = (others["_series"] == times["_series"]) & (others["_slot"] == times["_slot"]) & (F.abs(others["_us"] - times["_at"]) <= width)
+    means = others.join(times, same, "left_semi").groupBy("_series").agg(F.avg("value").alias("neighbour_mean"))
+    got = tops.where("_events > 0").join(means, "_series", "left")
+    return got.select(F.col("_series").alias(series), "event_maximum", "history_maximum", "neighbour_mean", (F.col("event_maximum") > F.col("history_maximum")).alias("beyond_history"))
 
 
 def changed_columns(baseline: DataFrame, synthetic: DataFrame, columns: Sequence[str], event: str = "synthetic_anomaly_id", key: Sequence[str] = ("series", "n")) -> DataFrame:

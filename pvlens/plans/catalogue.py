@@ -35,7 +35,7 @@ def query(sql: str | None = None, name: str | None = None):
 
 
 def queries() -> dict:
-    from . import compare_queries, model_queries, placement_queries, stage_queries, stream_queries, vision_queries  # noqa: F401  they add theirs
+    from . import compare_queries, model_queries, placement_queries, stage_queries, stream_queries, transition_queries, vision_queries  # noqa: F401  they add theirs
 
     return {k: f for k, (f, _) in FOUND.items()}
 
