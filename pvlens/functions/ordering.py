@@ -27,14 +27,19 @@ def with_group(df: DataFrame, facts: DataFrame, by: Sequence[str], how: str = "i
     return df.join(named, same, how).drop(*(f"_by_{i}" for i in range(len(by))))
 
 
-def blocked(df: DataFrame, order: str, by: Sequence[str] = (), blocks: int = 64) -> DataFrame:
-    """df with _block: 0, 1, ... ascending in `order`, of about equal numbers of rows in each group; nulls are in block 0."""
+def blocked(df: DataFrame, order: str, by: Sequence[str] = (), blocks: int = 64, count: str | None = None) -> DataFrame:
+    """df with _block: 0, 1, ... ascending in `order`, of about equal numbers of rows in each group; nulls are in block 0.
+
+    count: a column of positive counts where df is an aggregate; the bounds read it too, so Spark shuffles the counts once and
+    reuses that shuffle for bounds and rows instead of reading the input again.
+    """
     value = F.col(order)
     if (kind := dict(df.dtypes)[order]).startswith("timestamp"):
         value = F.unix_micros(value) if kind == "timestamp" else micros(value)
     value = value.cast("double")
     shares = F.array(*[F.lit(i / blocks) for i in range(1, blocks)])
-    bounds = df.groupBy(*by).agg(F.percentile_approx(value, shares, F.lit(20 * blocks)).alias("_bounds"))
+    sampled = value if count is None else F.when(F.col(count) > 0, value)
+    bounds = df.groupBy(*by).agg(F.percentile_approx(sampled, shares, F.lit(20 * blocks)).alias("_bounds"))
     cut = F.when(value.isNull() | F.col("_bounds").isNull(), 0).otherwise(F.size(F.filter("_bounds", lambda b: b < value)))
     return with_group(df, bounds, by).withColumn("_block", cut.cast("int")).drop("_bounds")
 
@@ -42,7 +47,7 @@ def blocked(df: DataFrame, order: str, by: Sequence[str] = (), blocks: int = 64)
 def distribution(df: DataFrame, value: str, by: Sequence[str] = (), blocks: int = 64) -> DataFrame:
     """by..., value, n, below, total: one row a distinct value that is not null, how often it comes, how many rows lie below it, and the rows of its group."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("value")).agg(F.count("*").alias("n"))
-    cut = blocked(counts, "value", by, blocks)
+    cut = blocked(counts, "value", by, blocks, "n")
     sums = cut.groupBy(*by, "_block").agg(F.sum("n").alias("_rows"))
     w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))  # at most `blocks` rows a group
     before = sums.select(*by, "_block", F.coalesce(F.sum("_rows").over(w.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_rows").over(w).alias("total"))
