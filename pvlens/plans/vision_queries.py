@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import vision
+from ..sources import detections
 from .catalogue import query, r6, table
 
 CLASSES = ("view", "click", "purchase", "cart", "search")
@@ -113,6 +114,18 @@ def frame_log(spark, d):
     return vision.frame_log(_frames(spark, d), 3, 5.0).select("video", "frame_index", "analysed", r6("video_time").alias("video_time"), "analysed_so_far")
 
 
+@query("SELECT user_id AS video, event_id AS frame_index, round(event_id / 5.0, 6) AS video_time, 1 AS number, event_type AS class_name, round(value / 500, 6) AS confidence FROM events WHERE event_id % 3 = 0 AND value / 500 > 0.2")
+def detection_rows(spark, d):
+    return detections.detection_rows(vision.frame_log(_frames(spark, d), 3, 5.0)).select("video", "frame_index", r6("video_time").alias("video_time"), "number", "class_name", r6("confidence").alias("confidence"))
+
+
+@query("WITH e AS (SELECT *, event_id % 3 = 0 AND value / 500 > 0.2 AS h FROM events) SELECT user_id AS video, count(*) AS frames, round(count(*) / 5.0, 6) AS duration_seconds, count(CASE WHEN h THEN 1 END) AS total_detections, count(CASE WHEN h AND event_type = 'view' THEN 1 END) AS n_view, round(max(CASE WHEN h AND event_type = 'view' THEN value / 500 END), 6) AS highest_view FROM e GROUP BY user_id")
+def video_records(spark, d):
+    """The nested summary of each video, with the entries of one class."""
+    got = detections.summary_records(vision.frame_log(_frames(spark, d), 3, 5.0), CLASSES, 3, 5.0, clean="view")
+    return got.select("video", "frames", r6("duration_seconds").alias("duration_seconds"), "total_detections", F.col("detections_by_class")["view"].alias("n_view"), F.round(F.col("highest_by_class")["view"], 6).alias("highest_view"))
+
+
 @query("WITH e AS (SELECT CAST(o_orderkey AS BIGINT) AS epoch, (o_orderkey * 37 % 1009) / 2000.0 AS a, (o_orderkey * 53 % 1013) / 3000.0 AS b, (o_orderkey * 71 % 1019) / 100.0 AS loss FROM orders) SELECT count(*) AS epochs, max(epoch) AS last_epoch, (SELECT epoch FROM e ORDER BY CAST(0.1 * a + 0.9 * b AS DOUBLE) DESC, epoch LIMIT 1) AS best_epoch, round(max(CAST(0.1 * a + 0.9 * b AS DOUBLE)), 6) AS best_fitness, round(min(loss), 4) AS lowest_loss FROM e")
 def training_summary(spark, d):
     k = F.col("o_orderkey").cast("long")
