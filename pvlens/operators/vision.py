@@ -151,9 +151,9 @@ def condition_summary(detections: DataFrame, classes: Sequence[str], by: str = "
     return detections.groupBy(by).agg(condition(found, F.count_if(F.col("class_name") != clean)).alias("condition"), *cells)
 
 
-def detection_table(detections: DataFrame, by: str = "image") -> DataFrame:
-    """Detections of each image numbered by falling confidence."""
-    w = Window.partitionBy(by).orderBy(F.desc("confidence"), "class_name", "x1", "y1")
+def detection_table(detections: DataFrame, by: str = "image", ties: Sequence[str] = ()) -> DataFrame:
+    """Detections of each image numbered by falling confidence, then class and corner; ties: columns that settle what is left equal."""
+    w = Window.partitionBy(by).orderBy(F.desc("confidence"), "class_name", "x1", "y1", *ties)
     return detections.withColumn("number", F.row_number().over(w))
 
 

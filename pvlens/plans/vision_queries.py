@@ -85,9 +85,9 @@ def prediction_summary(spark, d):
     return vision.prediction_summary(_boxes(spark, d)).select("image", "detections", r6("highest").alias("highest"), "in_bounds")
 
 
-@query("SELECT user_id AS image, event_id AS frame_index, CAST(row_number() OVER (PARTITION BY user_id ORDER BY value / 500 DESC, event_type, event_id % 100, event_id % 70) AS INTEGER) AS number FROM events")
+@query("SELECT user_id AS image, event_id AS frame_index, CAST(row_number() OVER (PARTITION BY user_id ORDER BY value / 500 DESC, event_type, event_id % 100, event_id % 70, event_id) AS INTEGER) AS number FROM events")
 def detection_table(spark, d):
-    return vision.detection_table(_boxes(spark, d)).select("image", "frame_index", "number")
+    return vision.detection_table(_boxes(spark, d), ties=["frame_index"]).select("image", "frame_index", "number")
 
 
 @query("SELECT user_id AS image, event_id AS frame_index, " + ", ".join(f"round(greatest(0, least({t}, ({c} {s} {w} / 2) * {t})), 4) AS {n}" for n, c, w, s, t in (("x1", "(event_id % 11 / 10.0)", "0.3", "-", "640"), ("x2", "(event_id % 11 / 10.0)", "0.3", "+", "640"), ("y1", "(event_id % 9 / 8.0)", "0.5", "-", "480"), ("y2", "(event_id % 9 / 8.0)", "0.5", "+", "480"))) + " FROM events")
