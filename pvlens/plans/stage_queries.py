@@ -9,7 +9,7 @@ from .. import schema as S
 from ..operators import events, features, profile, review, scores, serving, synthetic
 from ..operators.calibration import flag_summary
 from .catalogue import query, r6, table
-from .telemetry import PART_SQL, SQL14, SQL31, SQL61, SQL81, featured, telemetry
+from .telemetry import PART_SQL, SQL14, SQL31, SQL61, SQL81, featured, sql81, telemetry
 
 
 def parted(df):
@@ -265,7 +265,13 @@ def _direct():
     return F.col("n").between(10, 14)
 
 
-@query(f"SELECT series, n, CASE WHEN n BETWEEN 10 AND 14 THEN 'direct' WHEN n BETWEEN 15 AND 43 THEN 'propagated' ELSE 'none' END AS context FROM ({SQL14})")
+def _context_sql():
+    halved = ", ".join(f'"{c}"' if c != "Power_Generated" else "CASE WHEN n BETWEEN 10 AND 14 THEN Power_Generated / 2 ELSE Power_Generated END AS Power_Generated" for c in ("series", "n", "event_id", *S.S14))
+    same = " AND ".join(f"coalesce((a.{c} IS NULL AND b.{c} IS NULL) OR abs(a.{c} - b.{c}) <= 1e-10 + 1e-12 * abs(b.{c}), false)" for c in S.S81[1:])
+    return f"SELECT a.series, a.n, CASE WHEN a.n BETWEEN 10 AND 14 THEN 'direct' WHEN NOT ({same}) THEN 'propagated' ELSE 'none' END AS context FROM ({sql81(f'SELECT {halved} FROM ({SQL14})')}) a JOIN ({SQL81}) b ON a.series = b.series AND a.n = b.n"
+
+
+@query(_context_sql())
 def effect_context(spark, d):
     """Halved power in five rows; all 81 columns computed again; what differs without a label is propagated."""
     t = telemetry(spark, d)
