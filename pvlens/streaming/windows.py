@@ -8,17 +8,14 @@ window stays open, so the last windows come out too. Naive timestamps are used t
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.windows import micros, naive
 
-EVENT = "series string, start_timestamp timestamp_ntz, end_timestamp timestamp_ntz, row_count long, maximum_anomaly_score double, mean_anomaly_score double"
-#: What the processor of alert events keeps its state in.
+#: Where a replay keeps its state: on disk, so that open windows need not fit in memory.
 STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
@@ -42,63 +39,20 @@ def sessions(stream: DataFrame, ts: str, delay: str, gap: str, by: Sequence[str]
     return _bounds(in_event_time(stream, ts, delay).groupBy(*by, F.session_window("_at", gap).alias("_window")).agg(*aggregates), by)
 
 
-class ExactRuns(StatefulProcessor):
-    """Runs of rows exactly `gap` microseconds apart, kept as intervals by their start.
-
-    A row joins the run that ends a gap before it and the run that begins a gap after it, in whatever order rows
-    come. A run leaves when the watermark has passed the time at which a row could still lengthen it; a
-    timer at that time wakes its key, so quiet series are closed too. The state of a key is its runs within the delay.
-    """
-
-    def __init__(self, gap: int):
-        self.gap = gap
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.runs = handle.getMapState("runs", "start long", "last long, n long, top double, total double")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = {k[0]: tuple(v) for k, v in self.runs.iterator()}
-        before, by_end = dict(held), {v[0]: k for k, v in held.items()}
-        for batch in rows:
-            for at, score in zip(batch["us"].tolist(), batch["score"].tolist()):
-                start, last, n, top, total = at, at, 1, score, score
-                if (left := by_end.pop(at - self.gap, None)) is not None:
-                    _, m, high, some = held.pop(left)
-                    start, n, top, total = left, n + m, max(top, high), some + total
-                if (right := held.pop(at + self.gap, None)) is not None:
-                    last, n, top, total = right[0], n + right[1], max(top, right[2]), total + right[3]
-                held[start], by_end[last] = (last, n, top, total), start
-        for start in before.keys() - held.keys():
-            self.runs.removeKey((start,))
-        for start, run in held.items():
-            if before.get(start) != run:
-                self.runs.updateValue((start,), run)
-                self.handle.registerTimer((run[0] + self.gap) // 1000 + 1)
-        return iter(())
-
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
-        done = sorted((k[0], *v) for k, v in self.runs.iterator() if v[0] + self.gap < passed)
-        for run in done:
-            self.runs.removeKey((run[0],))
-        if done:
-            times = [pd.to_datetime([r[i] for r in done], unit="us") for i in (0, 1)]
-            yield pd.DataFrame({"series": key[0], "start_timestamp": times[0], "end_timestamp": times[1], "row_count": [r[2] for r in done], "maximum_anomaly_score": [r[3] for r in done], "mean_anomaly_score": [r[4] / r[2] for r in done]})
-
-    def close(self) -> None:
-        pass
-
-
 def alert_events(stream: DataFrame, delay: str, series: str = "series", ts: str = "Timestamp", score: str = "anomaly_score", gap_seconds: int = 120) -> DataFrame:
     """Runs of ALERT rows exactly `gap_seconds` apart, of each series, whatever the order within the delay: append mode.
 
-    What `group_alert_events` finds with exact=True, where a series has no time twice; state in `STATE_STORE`. All rows move the watermark, alerts or not: the filter reads the event time, so that Spark
-    leaves it behind the watermark.
+    What `group_alert_events` finds with exact=True, where a series has no time twice. Rows whose times leave the same
+    remainder by the gap are whole gaps apart, so within a remainder a session of less than two gaps is an exact run,
+    which Spark merges from rows in any order. All rows move the watermark, alerts or not: the filter reads the event
+    time, so that Spark leaves it behind the watermark.
     """
+    gap = int(gap_seconds * 1_000_000)
     rows = in_event_time(stream, ts, delay).where(F.when(F.col("_at").isNotNull(), F.col("status") == "ALERT"))
-    rows = rows.select(F.col(series).cast("string").alias("series"), "_at", micros(F.col(ts)).alias("us"), F.col(score).cast("double").alias("score"))
-    return rows.groupBy("series").transformWithStateInPandas(ExactRuns(gap_seconds * 1_000_000), EVENT, "append", "eventTime")
+    rows = rows.select(F.col(series).cast("string").alias("series"), "_at", F.unix_micros("_at").alias("_us"), F.col(score).cast("double").alias("_score"))
+    runs = rows.groupBy("series", F.pmod("_us", F.lit(gap)).alias("_phase"), F.session_window("_at", f"{gap * 3 // 2} microseconds").alias("_window"))
+    facts = runs.agg(F.min("_us").alias("_first"), F.max("_us").alias("_last"), F.count("*").alias("row_count"), F.max("_score").alias("maximum_anomaly_score"), F.avg("_score").alias("mean_anomaly_score"))
+    return facts.select("series", naive(F.col("_first")).alias("start_timestamp"), naive(F.col("_last")).alias("end_timestamp"), "row_count", "maximum_anomaly_score", "mean_anomaly_score")
 
 
 def close_replay(spark: SparkSession, folder: str, ts: str = "Timestamp", after: dt.timedelta = dt.timedelta(days=400)) -> None:
@@ -111,14 +65,16 @@ def close_replay(spark: SparkSession, folder: str, ts: str = "Timestamp", after:
         row.coalesce(1).write.mode("append").parquet(folder)
 
 
-def run_out(found: DataFrame, out: str, checkpoint: str, seconds: int = 600) -> DataFrame:
-    """Process all that is there, append it to `out` as Parquet, and read it. State is kept in `STATE_STORE`."""
+def run_out(found: DataFrame, out: str, checkpoint: str, seconds: float | None = None) -> DataFrame:
+    """Process all that is there, append it to `out` as Parquet, and read it. State is kept in `STATE_STORE`; `seconds` is a limit, if given."""
     spark = found.sparkSession
     before = spark.conf.get(STATE_STORE[0])
     spark.conf.set(*STATE_STORE)
     try:
         query = found.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-        if not query.awaitTermination(seconds):
+        if seconds is None:
+            query.awaitTermination()
+        elif not query.awaitTermination(seconds):
             query.stop()
             raise TimeoutError(f"the replay did not end within {seconds} seconds")
     finally:
