@@ -122,3 +122,21 @@ def time_buckets(df: DataFrame, micros: str, width: int, before: int, after: int
     own = F.floor(F.col(micros) / F.lit(width))
     copied = df.withColumn("_bucket", F.explode(F.sequence(own - after, own + before)))
     return copied.withColumn("_own", F.col("_bucket") == own)
+
+
+def counts_ahead(df: DataFrame, micros: str, width: int, by: Sequence[str] = ()) -> DataFrame:
+    """by..., micros, n: of each distinct time, how many rows of its group lie from it to `width` microseconds later, both ends included.
+
+    One running count a bucket, of equal times added up before: work in proportion to the rows, however many a frame holds.
+    A time's count is what has come by its frame's end less what came before it. Null times have no row.
+    """
+    us = F.col(micros)
+    times = df.where(us.isNotNull()).groupBy(*by, us.alias("_us")).agg(F.count("*").alias("_rows"))
+    own = F.floor(F.col("_us") / F.lit(width))
+    mark = lambda bucket, at, rows, sign: F.struct(bucket.alias("_bucket"), at.alias("_at"), rows.alias("_rows"), F.lit(sign).alias("_sign"))
+    # A point begins its own frame (-1), as a copy it fills those of the bucket before (0); a frame's end (1) comes after the points of its time.
+    marks = F.inline(F.array(mark(own, F.col("_us"), F.col("_rows"), -1), mark(own - 1, F.col("_us"), F.col("_rows"), 0), mark(own, F.col("_us") + width, F.lit(0).cast("long"), 1)))
+    w = Window.partitionBy(*by, "_bucket").orderBy("_at", "_sign").rowsBetween(Window.unboundedPreceding, 0)
+    run = times.select(*by, "_us", marks).withColumn("_come", F.sum("_rows").over(w))
+    part = F.when(F.col("_sign") == 1, F.col("_come")).otherwise(F.col("_rows") - F.col("_come"))
+    return run.where("_sign <> 0").groupBy(*by, "_bucket", F.col("_us").alias(micros)).agg(F.sum(part).alias("n")).drop("_bucket")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import category, corr, cyclic, row_stats, safe_ratio, safe_relative_change, status
-from ..functions.ordering import percentiles, positions, time_buckets, with_group, with_ranks
+from ..functions.ordering import counts_ahead, percentiles, positions, time_buckets, with_group, with_ranks
 from ..functions.windows import changed, full, islands, ordered
 from ..operators.calibration import candidate_thresholds, rank_stability
 from ..operators.events import confusion, group_alert_events
@@ -293,8 +293,7 @@ def neighbour_rows(spark, d):
 def max_in_60min(spark, d):
     hour = 3_600_000_000
     e = events(spark, d).select("event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    w = Window.partitionBy("event_type", "_bucket").orderBy("us").rangeBetween(0, hour)
-    return time_buckets(e, "us", hour, 0, 1).withColumn("n", F.count("*").over(w)).where("_own").groupBy("event_type").agg(F.max("n").alias("max_count"))
+    return counts_ahead(e, "us", hour, ["event_type"]).groupBy("event_type").agg(F.max("n").alias("max_count"))
 
 
 @query("SELECT event_id, n - 1 AS others, CASE WHEN n > 1 THEN round((s - value) / (n - 1), 5) END AS mean_others FROM (SELECT event_id, value, count(*) OVER w AS n, sum(value) OVER w AS s FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 10 MINUTE PRECEDING AND INTERVAL 10 MINUTE FOLLOWING))")
