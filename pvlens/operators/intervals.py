@@ -24,24 +24,31 @@ def _level(lo: Column, hi: Column) -> Column:
     return F.least(F.lit(LEVELS), F.ceil(F.log2(width.cast("double"))).cast("int"))
 
 
-def _cells(df: DataFrame, lo: str, hi: str, unit: int) -> DataFrame:
-    """df with _level and _cell: a row for each of the (one or two) cells of its own level that an interval touches."""
-    at = lambda c: F.floor(F.col(c) / F.lit(unit)).cast("long")
-    placed = df.withColumn("_u", at(lo)).withColumn("_v", at(hi)).withColumn("_level", _level(F.col("_u"), F.col("_v")))
-    cell = lambda c: F.expr(f"shiftright({c}, _level)")
-    return placed.withColumn("_cell", F.explode(F.sequence(cell("_u"), cell("_v")))).drop("_u", "_v")
+def _unit(c: Column, unit: int) -> Column:
+    return F.floor(c / F.lit(unit)).cast("long")
 
 
-def _above(df: DataFrame, other: DataFrame) -> DataFrame:
-    """df with its cells lifted to every wider level that the other side uses, its own among them."""
+def _cells(df: DataFrame) -> DataFrame:
+    """df with _cell: a row for each of the (one or two) cells of level _level that an interval touches."""
+    cells = df.withColumn("_cell", F.explode(F.sequence(F.expr("shiftright(_u, _level)"), F.expr("shiftright(_v, _level)"))))
+    return cells.drop("_u", "_v")
+
+
+def _above(df: DataFrame, other: DataFrame, own: bool) -> DataFrame:
+    """df at every wider level that the other side uses and, with own, at its own if that is used."""
     used = F.array(*(F.lit(r[0]) for r in other.select("_level").distinct().sort("_level").collect())).cast("array<int>")  # at most LEVELS numbers
-    lifted = df.select("*", F.explode(F.filter(used, lambda x: x >= F.col("_level"))).alias("_up"))
-    return lifted.withColumn("_cell", F.expr("shiftright(_cell, _up - _level)")).drop("_level").withColumnRenamed("_up", "_level")
+    lifted = df.select("*", F.explode(F.filter(used, lambda x: x >= F.col("_level") if own else x > F.col("_level"))).alias("_up"))
+    return lifted.drop("_level").withColumnRenamed("_up", "_level")
 
 
 def _salted(left: DataFrame, right: DataFrame, on: Sequence[str], most: int) -> tuple[DataFrame, DataFrame]:
-    """Both sides with _salt: where a key has over `most` rows on the left, they are dealt to salts and the right's rows copied to each."""
-    heavy = left.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > most).select(*on, F.ceil(F.col("_n") / F.lit(most)).cast("int").alias("_salts"))
+    """Both sides with _salt: where a key has over `most` rows on the left, they are dealt to salts and the right's rows copied to each.
+
+    Keys are counted only in groups with over `most` rows. Of such groups and keys there is at most one for `most` rows, so they are broadcast.
+    """
+    large = left.groupBy(on[0]).agg(F.count("*").alias("_n")).where(F.col("_n") > most).select(on[0])
+    held = left.join(F.broadcast(large), on[0], "left_semi")
+    heavy = F.broadcast(held.groupBy(*on).agg(F.count("*").alias("_n")).where(F.col("_n") > most).select(*on, F.ceil(F.col("_n") / F.lit(most)).cast("int").alias("_salts")))
     count = F.coalesce("_salts", F.lit(1))
     dealt = left.join(heavy, list(on), "left").withColumn("_salt", F.pmod(F.xxhash64("_lid"), count).cast("int")).drop("_salts")
     copied = right.join(heavy, list(on), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), count - 1))).drop("_salts")
@@ -60,19 +67,21 @@ def overlaps(left: DataFrame, right: DataFrame, left_span: tuple[str, str], righ
     b = right.where(F.col(right_span[0]) <= F.col(right_span[1])).select(*(F.col(c).alias(f"_by_{i}") for i, c in enumerate(by)), F.col(ids[1]).alias("_rid"), F.col(right_span[0]).cast("long").alias("_from"), F.col(right_span[1]).cast("long").alias("_to"))
     group = range(len(by))
     key = [(F.xxhash64(*(f"_by_{i}" for i in group)) if by else F.lit(0).cast("long")).alias("_group")]
-    a, b = (_cells(x.select("*", *key), lo, hi, unit) for x, lo, hi in ((a, "_lo", "_hi"), (b, "_from", "_to")))
+    a, b = (x.select("*", *key, _unit(F.col(lo), unit).alias("_u"), _unit(F.col(hi), unit).alias("_v")).withColumn("_level", _level(F.col("_u"), F.col("_v"))) for x, lo, hi in ((a, "_lo", "_hi"), (b, "_from", "_to")))
     on = ["_group", "_level", "_cell"]
     met = None
-    # The left in its own cells meets the right lifted to them, and the other way round for wider cells of the right.
-    for x, y in ((a, _above(b, a)), (_above(a, b), b)):
-        dealt, copied = _salted(x, y.withColumnsRenamed({f"_by_{i}": f"_other_{i}" for i in group}), on, most)
+    # The left in its own cells meets the right lifted to them, and the other way round for wider cells of the right. A pair counts
+    # in the cell that holds the first point it shares, so it is found once.
+    first = F.expr("shiftright(_shared, _level)") == F.col("_cell")
+    for x, y in ((a, _above(b, a, True)), (_above(a, b, False), b)):
+        dealt, copied = _salted(_cells(x), _cells(y).withColumnsRenamed({f"_by_{i}": f"_other_{i}" for i in group}), on, most)
         meet = (F.col("_lo") <= F.col("_to")) & (F.col("_from") <= F.col("_hi"))
         for i in group:  # hashes of groups may agree
             meet = meet & F.col(f"_by_{i}").eqNullSafe(F.col(f"_other_{i}"))
-        pairs = dealt.join(copied, [*on, "_salt"]).where(meet).select(*(f"_by_{i}" for i in group), "_lid", "_rid")
+        both = dealt.join(copied, [*on, "_salt"]).where(meet).withColumn("_shared", _unit(F.greatest("_lo", "_from"), unit))
+        pairs = both.where(first).select(*(f"_by_{i}" for i in group), "_lid", "_rid")
         met = pairs if met is None else met.unionByName(pairs)
-    found = met.distinct()
-    return found.select(*(F.col(f"_by_{i}").alias(c) for i, c in enumerate(by)), F.col("_lid").alias(ids[0] if ids[0] != ids[1] else f"left_{ids[0]}"), F.col("_rid").alias(ids[1] if ids[0] != ids[1] else f"right_{ids[1]}"))
+    return met.select(*(F.col(f"_by_{i}").alias(c) for i, c in enumerate(by)), F.col("_lid").alias(ids[0] if ids[0] != ids[1] else f"left_{ids[0]}"), F.col("_rid").alias(ids[1] if ids[0] != ids[1] else f"right_{ids[1]}"))
 
 
 def apart(left: DataFrame, right: DataFrame, left_span: tuple[str, str], right_span: tuple[str, str], ids: tuple[str, str], by: Sequence[str] = (), gap: int = 0, unit: int = 1) -> DataFrame:
