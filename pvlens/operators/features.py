@@ -16,8 +16,8 @@ from pyspark.sql.window import WindowSpec
 
 from .. import schema as S
 from ..functions.ordering import in_chunks, positions, with_group
-from ..functions.scalars import cyclic, row_stats, safe_ratio, safe_relative_change
-from ..functions.windows import full, micros
+from ..functions.scalars import column_stats, cyclic, safe_ratio, safe_relative_change
+from ..functions.windows import micros, trailing
 
 LOW_LIGHT = 5.0
 
@@ -39,18 +39,21 @@ def add_basic(df: DataFrame, series: str | None = None) -> DataFrame:
     hour, minute = F.hour(ts), F.minute(ts)
     of_day = hour * 60 + minute
     at = micros(ts)
-    by = [series] if series else []
-    df = with_group(df, df.groupBy(*by).agg(F.min(at).alias("_start")), by)
+    rtd = {f"rtd_{k}": c for k, c in column_stats(S.RTDS).items()}
+    df = df.withColumns(rtd)
+    if series:  # in the windows' own order, so the rows are not read and joined again for it
+        df = df.withColumn("_start", F.min(at).over(Window.partitionBy(series).orderBy(S.TIMESTAMP).rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        df = with_group(df, df.agg(F.min(at).alias("_start")), [])
     start = F.col("_start")
-    rtd = row_stats(F.array(*S.RTDS))
     hs, hc = cyclic(hour, 24)
     ms, mc = cyclic(of_day, 1440)
     product = F.col("Array_Voltage") * F.col("Array_Current")
     residual = F.col("Power_Generated") - product
     return df.select(
-        *(c for c in df.columns if c != "_start"), hour.cast("short").alias("hour"), minute.cast("short").alias("minute"), of_day.cast("short").alias("minute_of_day"), ((at - start) / 6e7).alias("elapsed_minutes_from_start"),
+        *(c for c in df.columns if c != "_start" and c not in rtd), hour.cast("short").alias("hour"), minute.cast("short").alias("minute"), of_day.cast("short").alias("minute_of_day"), ((at - start) / 6e7).alias("elapsed_minutes_from_start"),
         hs.alias("hour_sin"), hc.alias("hour_cos"), ms.alias("minute_of_day_sin"), mc.alias("minute_of_day_cos"),
-        *(rtd[k].alias(f"rtd_{k}") for k in ("mean", "std", "min", "max", "range")),
+        *rtd,
         product.alias("electrical_power_product"), residual.alias("power_consistency_residual"), F.abs(residual).alias("power_consistency_abs_error"),
         F.coalesce((F.col("Solar_Radiation") <= LOW_LIGHT).cast("byte"), F.lit(0).cast("byte")).alias("low_light_context"),
     )
@@ -58,9 +61,8 @@ def add_basic(df: DataFrame, series: str | None = None) -> DataFrame:
 
 def add_rolling(df: DataFrame, series: str | None = None) -> DataFrame:
     S.require_columns(df, S.S31)
-    agg = {"mean": F.avg, "std": F.stddev_pop, "min": F.min, "max": F.max}
-    step = lambda rows, w: rows.select("*", *(full(agg[s](c), F.col(c), n, w).alias(f"{c.lower()}_roll_{s}_{label}") for c, s, n, label in S.ROLLING_SPECS))
-    return _stage(df, series, max(S.WIDTHS.values()) - 1, step)
+    wanted = [(f"{c.lower()}_roll_{s}_{label}", c, s, n) for c, s, n, label in S.ROLLING_SPECS]
+    return _stage(df, series, max(S.WIDTHS.values()) - 1, lambda rows, w: trailing(rows, wanted, w))
 
 
 def add_change(df: DataFrame, series: str | None = None, minutes: float = 2.0, power_floor: float = 1.0, solar_floor: float = 5.0) -> DataFrame:

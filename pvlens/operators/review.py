@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -165,30 +167,74 @@ def validate_basic(source: DataFrame, df: DataFrame, key: Sequence[str] = ("seri
     return violations(both, checks)
 
 
+def _windows_again(specs: Sequence[tuple[str, str, int, str]], ordered_sources: Sequence[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow: one row of counts a batch. Rows come series by series with their place (from 1); the rows that windows reach back to are kept.
+
+    Numbers compare as in Spark: NaN is equal to itself and above all others.
+    """
+    back = max(n for *_, n, _ in specs) - 1
+    frames: dict[str, set[int]] = {}
+    for c, _, n, _ in specs:
+        frames.setdefault(c, set()).add(n)
+    wanted = {(c, s, n) for c, s, n, _ in specs}
+
+    def values(batch, name):
+        cells = batch.column(name)
+        return cells.fill_null(0.0).to_numpy(zero_copy_only=False), cells.is_valid().to_numpy(zero_copy_only=False)
+
+    def at_most(a, b):
+        return (a <= b) | np.isnan(b)
+
+    def check(batches):
+        kept, last = {c: (np.zeros(back), np.zeros(back, bool)) for c in frames}, 0
+        for batch in batches:
+            rows = batch.num_rows
+            if not rows:
+                continue
+            place = batch.column("_place").to_numpy()
+            if ((place != 1) & (place != np.append(last, place[:-1]) + 1)).any():
+                raise ValueError("rows did not come in the order of their series")
+            last = place[-1]
+            differs, misplaced, unordered = (np.zeros(rows, bool) for _ in range(3))
+            again, whole, cells = {}, {}, {}
+            with np.errstate(all="ignore"):
+                for c in frames:
+                    held, known = (np.concatenate(x) for x in zip(kept[c], values(batch, c)))
+                    kept[c] = held[-back:], known[-back:]
+                    for n in frames[c]:
+                        window = [slice(back - k, back - k + rows) for k in range(n - 1, -1, -1)]
+                        whole[c, n] = (place >= n) & np.logical_and.reduce([known[k] for k in window])
+                        again[c, "mean", n] = mean = sum(held[k] for k in window) / n
+                        if (c, "std", n) in wanted:
+                            again[c, "std", n] = np.sqrt(sum((held[k] - mean) ** 2 for k in window) / n)
+                        if (c, "min", n) in wanted:
+                            again[c, "min", n] = np.fmin.reduce([held[k] for k in window])
+                        if (c, "max", n) in wanted:
+                            again[c, "max", n] = np.maximum.reduce([held[k] for k in window])
+                for c, s, n, label in specs:
+                    cell, there = cells[c, s, n] = values(batch, f"{c.lower()}_roll_{s}_{label}")
+                    want = again[c, s, n]
+                    differs |= whole[c, n] & ~(there & at_most(np.abs(cell - want), 1e-6 + 1e-9 * np.abs(want)))
+                    misplaced |= whole[c, n] != there
+                for c in ordered_sources:
+                    for n in frames[c]:
+                        for a, b in (("min", "mean"), ("mean", "max")):
+                            (low, has_low), (high, has_high) = cells[c, a, n], cells[c, b, n]
+                            unordered |= has_low & has_high & ~at_most(low, high + 1e-9)
+            counts = {"value_differs": differs, "null_outside_warm_up": misplaced, "statistics_out_of_order": unordered}
+            yield pa.RecordBatch.from_pydict({k: pa.array([int(x.sum())], pa.int64()) for k, x in counts.items()})
+
+    return check
+
+
 def validate_rolling(df: DataFrame, series: str = "series", place: str = "n") -> DataFrame:
-    """The 61-column stage: every window computed again from the list of its rows, nulls in the warm-up alone, order of the statistics."""
+    """The 61-column stage: every window computed again from its rows, nulls in the warm-up alone, order of the statistics."""
     S.require_columns(df, S.S61)
-    checks: dict[str, Column] = {}
-    lists, bad_value, bad_null = {}, F.lit(False), F.lit(False)
-    for c, s, n, label in S.ROLLING_SPECS:
-        held = lists.setdefault((c, n), F.collect_list(c).over(Window.partitionBy(series).orderBy(place).rowsBetween(-(n - 1), 0)).alias(f"_list_{c}_{n}"))
-    rows = df.select("*", *lists.values())
-    for c, s, n, label in S.ROLLING_SPECS:
-        held, cell = F.col(f"_list_{c}_{n}"), F.col(f"{c.lower()}_roll_{s}_{label}")
-        mean = F.aggregate(held, F.lit(0.0), lambda a, x: a + x) / n
-        square = F.aggregate(held, F.lit(0.0), lambda a, x: a + (x - mean) ** 2) / n  # noqa: B023
-        again = {"mean": mean, "std": F.sqrt(square), "min": F.array_min(held), "max": F.array_max(held)}[s]
-        full_window = F.size(held) == n
-        bad_value = bad_value | (full_window & ~close(cell, again, 1e-9, 1e-6))
-        bad_null = bad_null | (full_window & cell.isNull()) | (~full_window & cell.isNotNull())
-    checks["value_differs"], checks["null_outside_warm_up"] = bad_value, bad_null
-    out_of_order = F.lit(False)
-    for c in ("power_generated", "solar_radiation"):
-        for w in S.WIDTHS:
-            lo, mid, hi = (F.col(f"{c}_roll_{s}_{w}") for s in ("min", "mean", "max"))
-            out_of_order = out_of_order | (lo > mid + 1e-9) | (mid > hi + 1e-9)
-    checks["statistics_out_of_order"] = out_of_order
-    return violations(rows, checks)
+    names = list(dict.fromkeys([c for c, *_ in S.ROLLING_SPECS] + S.ROLLING))
+    rows = df.select(F.row_number().over(Window.partitionBy(series).orderBy(place)).cast("long").alias("_place"), *(F.col(c).cast("double").alias(c) for c in names))
+    kinds = ("value_differs", "null_outside_warm_up", "statistics_out_of_order")
+    counts = rows.mapInArrow(_windows_again(S.ROLLING_SPECS, ("Power_Generated", "Solar_Radiation")), ", ".join(f"{k} long" for k in kinds))
+    return counts.agg(F.array(*(F.struct(F.lit(k).alias("check"), F.coalesce(F.sum(k), F.lit(0).cast("long")).alias("violations")) for k in kinds)).alias("x")).select(F.inline("x"))
 
 
 def validate_change(df: DataFrame, series: str = "series", place: str = "n", power_floor: float = 1.0, solar_floor: float = 5.0) -> DataFrame:
@@ -206,9 +252,8 @@ def validate_change(df: DataFrame, series: str = "series", place: str = "n", pow
         before, base = F.col(f"_last_{c}"), F.col(f"{c.lower()}_roll_mean_30m")
         guarded = guarded | ~close(F.col(f"{c.lower()}_relative_change"), safe_ratio(F.col(c) - before, before, floor), 1e-9, 1e-9)
         guarded = guarded | ~close(F.col(f"{name}_deviation_ratio_30m"), safe_ratio(F.col(c) - base, base, floor), 1e-9, 1e-9) | ~close(F.col(f"{name}_deviation_from_30m_mean"), F.col(c) - base, 1e-9, 1e-9)
-    endless = F.lit(False)
-    for c in S.CHANGE:
-        endless = endless | (F.col(c).isNotNull() & ~finite(F.col(c)))
+    largest = F.greatest(*(F.abs(F.col(c)) for c in S.CHANGE))  # passes over nulls; NaN is above all
+    endless = largest.isNotNull() & ~finite(largest)
     return violations(rows, {"difference_differs": diff, "rate_differs": rate, "first_row_has_a_difference": first, "ratio_differs": guarded, "not_finite": endless})
 
 
