@@ -37,11 +37,12 @@ def blocked(df: DataFrame, order: str, by: Sequence[str] = (), blocks: int = 64,
     if (kind := dict(df.dtypes)[order]).startswith("timestamp"):
         value = F.unix_micros(value) if kind == "timestamp" else micros(value)
     value = value.cast("double")
+    df, value = df.withColumn("_cut_by", value), F.col("_cut_by")  # a column: inside the comparison below it would be computed again for every bound
     shares = F.array(*[F.lit(i / blocks) for i in range(1, blocks)])
     sampled = value if count is None else F.when(F.col(count) > 0, value)
     bounds = df.groupBy(*by).agg(F.percentile_approx(sampled, shares, F.lit(20 * blocks)).alias("_bounds"))
     cut = F.when(value.isNull() | F.col("_bounds").isNull(), 0).otherwise(F.size(F.filter("_bounds", lambda b: b < value)))
-    return with_group(df, bounds, by).withColumn("_block", cut.cast("int")).drop("_bounds")
+    return with_group(df, bounds, by).withColumn("_block", cut.cast("int")).drop("_bounds", "_cut_by")
 
 
 def distribution(df: DataFrame, value: str, by: Sequence[str] = (), blocks: int = 64) -> DataFrame:

@@ -35,7 +35,9 @@ def parse_timestamp(c: Column, pattern: str = "d-M-yyyy H:m") -> Column:
     pieces = re.findall(r"([dMyHms])(\1*)|([^dMyHms]+)", pattern)
     shape = "".join(re.escape(other) if other else rf"(\d{{{len(more) + 1}}})" if more else r"(\d{1,2})" for _, more, other in pieces)
     letters = [letter for letter, _, other in pieces if not other]
-    part = lambda x: F.regexp_extract(c, f"^{shape}$", letters.index(x) + 1).try_cast("int") if x in letters else F.lit(0)
+    # One match for all parts; a text that does not fit has none.
+    parts = F.split(F.when(c.rlike(f"^{shape}$"), F.regexp_replace(c, f"^{shape}$", " ".join(f"${i + 1}" for i in range(len(letters))))), " ")
+    part = lambda x: parts[letters.index(x)].try_cast("int") if x in letters else F.lit(0)
     return F.try_make_timestamp_ntz(part("y"), part("M"), part("d"), part("H"), part("m"), part("s").cast("decimal(16,6)"))
 
 

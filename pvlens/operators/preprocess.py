@@ -11,6 +11,7 @@ from .. import schema as S
 from ..functions.ordering import positions, with_group
 from ..functions.scalars import close
 from ..sources import operational
+from ..sources.folders import stored
 from .freeze import touched
 
 HELPERS = ("_pos", "_file")
@@ -58,8 +59,10 @@ def validate_cleaned(raw: DataFrame, clean: DataFrame, numeric: Sequence[str] =
     given, got = ([c for c in df.columns if c not in HELPERS] for df in (raw, clean))
     lost, added = [c for c in given if c not in got], [c for c in got if c not in given]
     shared = [c for c in numeric if c in given and c in got]
-    once = operational.drop_duplicates(raw)
-    first, second = operational.typed(raw, ts, shared, pattern), operational.typed(clean, ts, shared, out_pattern)
+    # Both sides are read, told apart and parsed once; every check then reads the values.
+    first = stored(operational.typed(operational.number_duplicates(raw, "_copy"), ts, shared, pattern))
+    second = stored(operational.typed(clean, ts, shared, out_pattern))
+    once = first.where("_copy = 1").drop("_copy")
     timed, whole = ts in got, not [c for c in required if c not in got]
 
     stand_in = second if timed else second.withColumn(ts, F.lit(None).cast("timestamp_ntz"))
@@ -78,6 +81,6 @@ def validate_cleaned(raw: DataFrame, clean: DataFrame, numeric: Sequence[str] =
     one = lambda name, n: n.select(F.lit(name).alias("check"), F.col("n").cast("long").alias("violations"))
     nothing = lambda n: raw.sparkSession.range(1).select(F.lit(n).alias("n"))
     out = counts.unionByName(one("timestamp_steps_back", backward_steps(second, ts, pos) if timed else nothing(0)))
-    content = differing_rows(operational.typed(once, ts, shared, pattern), second, [c for c in given if c in got], shared, ts, pos) if whole else nothing(1)
+    content = differing_rows(once, second, [c for c in given if c in got], shared, ts, pos) if whole else nothing(1)
     files = nothing(0) if before is None or after is None else touched(before, after).agg(F.count("*").alias("n"))
     return out.unionByName(one("content_differs", content)).unionByName(one("raw_file_changed", files))

@@ -8,6 +8,7 @@ from .. import schema as S
 from ..functions.ordering import positions
 from ..operators import intervals, merkle, preprocess
 from ..sources import operational
+from ..sources.folders import stored
 from .catalogue import query, table
 from .telemetry import SQL14, telemetry
 
@@ -77,7 +78,7 @@ def cleaned_checks(spark, d):
     texts = [F.when(e % 97 == 3, "bad").otherwise(F.date_format(ts, "d-M-yyyy H:m")).alias(S.TIMESTAMP), *(F.col(c).cast("string").alias(c) for c in _CLEANED), e.cast("string").alias("event_id")]
     own = telemetry(spark, d).select(*texts, e.alias("_pos"))
     raw = own.unionByName(own.where("_pos % 50 = 0").withColumn("_pos", F.col("_pos") + (1 << 50)))
-    rows = operational.typed(operational.drop_duplicates(raw), numeric=_CLEANED).withColumn("_late", ts.isNull())
+    rows = stored(operational.typed(operational.drop_duplicates(raw), numeric=_CLEANED).withColumn("_late", ts.isNull()))
     rows = positions(rows.withColumn("_order", F.coalesce(ts, F.lit("9999-12-31 23:59:59").cast("timestamp_ntz"))), "_order", ["_late", "_pos"], name="_place")
     wind = F.col("Wind_Speed") + F.when(F.col("_pos") % 311 == 0, 1.0).otherwise(0.0)
     kept = F.when(F.col("_pos") % 509 != 1, F.date_format(ts, "yyyy-MM-dd HH:mm:ss"))

@@ -53,6 +53,12 @@ def scan_pinned(spark: SparkSession, path: str, layout: Sequence[str], timestamp
     return raw.select(*cells, "_pos")
 
 
+def number_duplicates(df: DataFrame, name: str) -> DataFrame:
+    """df with the number (from 1, by _pos) of each row among those equal in every column but _pos and _file."""
+    w = Window.partitionBy(*(c for c in df.columns if c not in ("_pos", "_file"))).orderBy("_pos")
+    return df.withColumn(name, F.row_number().over(w))
+
+
 def drop_duplicates(df: DataFrame, keep: str | bool = "first", key: Sequence[str] | None = None) -> DataFrame:
     """Rows equal in every column (but _pos): the first, the last, or none (keep=False) stays."""
     key = list(key or [c for c in df.columns if c not in ("_pos", "_file")])

@@ -1,6 +1,10 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from pvlens.functions import ordering
+from pvlens.functions.scalars import parse_timestamp
 from pvlens.operators import freeze, preprocess
 from pvlens.sources import operational
 
@@ -53,3 +57,26 @@ def test_steps_back_across_chunks_and_gaps(spark):
     values = [1, 5, None, None, 4, 5, 9, None, 8, 9, 2]
     df = spark.createDataFrame(list(enumerate(values)), "_pos long, v int")
     assert preprocess.backward_steps(df, "v", size=3).first().n == 3
+
+
+def test_both_sides_are_parsed_once_for_all_checks(pair):
+    _, raw, clean = pair
+    plan = preprocess.validate_cleaned(raw, clean, NUMERIC, ["Timestamp", "x", "y"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan and "regexp" not in plan and "row_number() windowspecdefinition(Timestamp" not in plan
+
+
+def test_bounds_meet_a_column_and_no_expression(spark):
+    t = spark.sql("SELECT id, timestamp_ntz'2022-01-01 00:00:00' + make_dt_interval(0, 0, int(id % 50), 0) AS at FROM range(1000)")
+    plan = ordering.positions(t, "at", ["id"])._jdf.queryExecution().optimizedPlan().toString()
+    inside = re.findall(r"lambdafunction\((.{0,160})", plan)
+    assert inside and not any("cast" in x.split(", lambda b")[0] or " - " in x.split(", lambda b")[0] for x in inside)
+    assert [r[0] for r in ordering.positions(t, "at", ["id"]).orderBy("at", "id").select("_pos").collect()] == list(range(1000))
+
+
+def test_timestamps_that_fit_and_do_not(spark):
+    texts = ["1-2-2022 3:04", "01-02-2022 03:04\n", "1-2-2022 3:04 ", "1-2-2022", "31-2-2022 1:00", "1 2 2022 3 4", "", None, "1-2-22 3:04", "1-2-2022 24:00"]
+    t = spark.createDataFrame([(x,) for x in texts], "t string")
+    got = [r[0] and str(r[0]) for r in t.select(parse_timestamp(F.col("t"))).collect()]
+    assert got == ["2022-02-01 03:04:00"] * 2 + [None] * 8
+    run = t.limit(1).select(parse_timestamp(F.lit("20220201 030405"), "yyyyMMdd HHmmss")).first()[0]
+    assert str(run) == "2022-02-01 03:04:05"
